@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callwatch.llm import mixing, sharding
+from callwatch.llm import mixing, near_dedup, quality_rules, sharding
 from callwatch.runtime import table
 
 
@@ -14,17 +14,25 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_documents(spark, sf_dir))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_documents(spark, sf_dir)).drop("copies")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_documents(spark, sf_dir), width=2)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(_documents(spark, sf_dir))
     return placed.select("doc_id", "slot", "shard")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op8_sharding)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_mixing, op6_near_dedup, op8_sharding)}
 
 
 def oracles() -> dict[str, str]:
