@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, so that
+    tasks can import it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        here = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='callwatch-')}/{here.name}", "zip", here.parent, here.name)
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand in the tasks."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark from whatever store ``sf_dir`` names."""
