@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callwatch.llm import mixing, near_dedup, quality_rules, sharding
+from callwatch.llm import mixing, near_dedup, quality_rules, sharding, token_counts, token_files
 from callwatch.runtime import table
 
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -22,6 +25,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_documents(spark, sf_dir)).drop("copies")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_documents(spark, sf_dir), TOKENIZER)
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir), width=2)
 
@@ -31,8 +38,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "slot", "shard")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_documents(spark, sf_dir), TOKENIZER)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_mixing, op6_near_dedup, op8_sharding)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_mixing, op5_token_files, op6_near_dedup, op8_sharding, op9_token_counts)}
 
 
 def oracles() -> dict[str, str]:
