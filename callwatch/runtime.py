@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -58,3 +59,16 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Ids that a join may broadcast: some tens of MB in an executor.
+MOST_BROADCAST = 1_000_000
+
+
+def restricted(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is among ``ids`` (one column of longs);
+    null counts as a value. The ids are broadcast if they are few enough, so that
+    wide rows stay where they are, and else both sides are shuffled."""
+    wanted = written(ids.toDF("__wanted").distinct())
+    few = wanted.count() <= MOST_BROADCAST
+    return df.join(F.broadcast(wanted) if few else wanted, F.col(column).eqNullSafe(F.col("__wanted")), "left_semi")
