@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callwatch.runtime import written
+from callwatch.runtime import in_tasks, written
 
 
-def _star(arcs: DataFrame) -> DataFrame:
+def _star(arcs: DataFrame, rows: int) -> DataFrame:
     """(u, v) -> (u, v, m) with m the least of u and its neighbours."""
-    least = arcs.groupBy(F.col("u").alias("__u")).agg(F.min("v").alias("__m"))
-    return arcs.join(least, F.col("u") == F.col("__u")).select("u", "v", F.least("u", "__m").alias("m"))
+    least = in_tasks(arcs.groupBy(F.col("u").alias("__u")).agg(F.min("v").alias("__m")), rows)
+    return in_tasks(arcs.join(least, F.col("u") == F.col("__u")).select("u", "v", F.least("u", "__m").alias("m")), rows)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,17 +25,17 @@ def components(edges: DataFrame) -> DataFrame:
     and a checksum reach the driver. Loops and repeated edges are allowed; rows
     with a null end are ignored. No edges give no rows.
     """
-    plain = edges.filter("a is not null and b is not null")
-    now = written(plain.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
-    while True:
+    plain = edges.filter("a <> b")
+    now = written(plain.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    rows, seen = now.count(), None
+    while rows:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        starred = _star(written(large))
+        large = _star(both, 2 * rows).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        starred = _star(written(in_tasks(large.distinct(), rows)), rows)
         small = starred.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(starred.select("u", F.col("m").alias("v")))
-        now = written(small.distinct())
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        now = written(in_tasks(small.distinct(), rows))
+        row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (row[0], row[1]) == seen:
             break
-        seen = mark
+        rows, seen = row[0], (row[0], row[1])
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

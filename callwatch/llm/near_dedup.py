@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 
 from callwatch.llm.graph import components
 from callwatch.llm.words import WordHashes, mix, pieces, shingles, texts
-from callwatch.runtime import map_arrow, written
+from callwatch.runtime import in_tasks, map_arrow, restricted, written
 
 WIDTH = 5
 PERCENT = 80
 #: Bands and rows: at a similarity of 0.8, all bands miss with probability 5e-7.
 BANDS, ROWS = 48, 6
 #: Rounds in which each bucket compares its members with one of them.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Pairs that a task checks.
+PAIRS_PER_TASK = 4_000
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -108,15 +110,15 @@ def _check(width: int, percent: int):
     return run
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of representatives whose texts are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
-    own = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
-    own = written(own)
-    right = own.select(F.col("doc_id").alias("__b"), F.col("text").alias("text_b"))
-    left = own.select(F.col("doc_id").alias("__a"), F.col("text").alias("text_a"))
-    full = pairs.join(right, F.col("b") == F.col("__b")).join(left, F.col("a") == F.col("__a"))
-    return map_arrow(full.select("a", "b", "text_a", "text_b"), _check(width, percent), "a long, b long").distinct()
+def _similar(pairs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of representatives whose texts (node, text of
+    ``members``) are similar enough."""
+    n = pairs.count()
+    own = restricted(members, "node", pairs.select(F.explode(F.array("a", "b"))))
+    right = own.select(F.col("node").alias("__b"), F.col("text").alias("text_b"))
+    left = own.select(F.col("node").alias("__a"), F.col("text").alias("text_a"))
+    full = pairs.join(right, F.col("b") == F.col("__b")).join(left, F.col("a") == F.col("__a")).select("a", "b", "text_a", "text_b")
+    return map_arrow(in_tasks(full, n, PAIRS_PER_TASK), _check(width, percent), "a long, b long")
 
 
 def _relabel(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -162,15 +164,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     members = written(entries.join(shared, F.col("key") == F.col("__key"), "left_semi").distinct())
 
     # rows that share an id are one vertex, whatever their texts
-    labels = None
     own = linkable.groupBy(F.col("doc_id").alias("a")).agg(F.min("fp1").alias("x"), F.max("fp1").alias("y")).filter("x <> y").select("a")
     same = linkable.join(classes.withColumnsRenamed({"fp1": "__1", "fp2": "__2", "n_shingles": "__n"}), (F.col("fp1") == F.col("__1")) & (F.col("fp2") == F.col("__2"))).join(own, F.col("doc_id") == F.col("a"), "left_semi")
     links = [written(same.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct())]
+    texts_of = written(restricted(plain, "doc_id", members.select("node")).select(F.col("doc_id").alias("node"), "text"))
+    labels = written(components(links[0]))
     tested = None
     current = members.withColumn("c", F.col("node"))
+    size = members.count()
     for turn in range(STAR_ROUNDS + 1):
-        current = written(_open_buckets(current))
-        if current.isEmpty():
+        if turn:
+            current = written(in_tasks(_open_buckets(_relabel(current, labels)), size))
+            size = current.count()
+        if not size:
             break
         if turn < STAR_ROUNDS:
             rank = F.xxhash64("node", F.lit(turn))
@@ -178,7 +184,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
             met = current.join(centre, F.col("key") == F.col("__key")).filter(F.col("c") != F.col("z.c"))
             met = met.select("node", "n", F.col("z.node").alias("other"), F.col("z.n").alias("m"))
         else:
-            groups = current.select("key", "c").distinct()
+            groups = written(in_tasks(current.select("key", "c").distinct(), size))
             two = groups.join(groups.select(F.col("key").alias("__key"), F.col("c").alias("__c")), (F.col("key") == F.col("__key")) & (F.col("c") < F.col("__c"))).select("key", "c", "__c")
             left = two.join(current.select(F.col("key").alias("__key"), F.col("c").alias("__c1"), "node", "n"), (F.col("key") == F.col("__key")) & (F.col("c") == F.col("__c1"))).select("key", "__c", "node", "n")
             met = left.join(current.select(F.col("key").alias("__key"), F.col("c").alias("__c2"), F.col("node").alias("other"), F.col("n").alias("m")), (F.col("key") == F.col("__key")) & (F.col("__c") == F.col("__c2"))).select("node", "n", "other", "m")
@@ -186,13 +192,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         pairs = near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        links.append(written(_similar(pairs, docs, width, percent)))
+        pairs = written(in_tasks(pairs, size))
+        found = written(_similar(pairs, texts_of, width, percent))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = written(components(reduce(DataFrame.unionByName, links)))
-        current = _relabel(current, labels)
-    if labels is None:
-        labels = written(components(links[0]))
+        if not found.isEmpty():
+            links.append(found)
+            labels = written(components(reduce(DataFrame.unionByName, links)))
     named = classes.join(labels, F.col("node") == F.col("id"), "left").select(F.col("fp1").alias("__1"), F.col("fp2").alias("__2"), F.coalesce("component", "node").alias("__component"))
     linked = sketches.select("doc_id", "n_shingles", "fp1", "fp2").withColumn("__on", F.col("n_shingles") > 0)
     out = linked.join(named, F.col("__on") & (F.col("fp1") == F.col("__1")) & (F.col("fp2") == F.col("__2")), "left")

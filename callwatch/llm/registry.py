@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callwatch.llm import mixing, near_dedup, quality_rules, sharding, substring_dedup, token_counts, token_files
+from callwatch.llm import decontamination, mixing, near_dedup, quality_rules, sharding, substring_dedup, token_counts, token_files
 from callwatch.runtime import table
 
 
@@ -25,6 +25,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_documents(spark, sf_dir))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_documents(spark, sf_dir)).drop("copies")
 
@@ -47,7 +51,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op4_mixing, op5_token_files, op6_near_dedup, op8_sharding, op9_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_decontamination, op4_mixing, op5_token_files, op6_near_dedup, op8_sharding, op9_token_counts)}
 
 
 def oracles() -> dict[str, str]:
