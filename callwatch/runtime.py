@@ -52,6 +52,12 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def in_tasks(df: DataFrame, rows: int, per_task: int = 500_000) -> DataFrame:
+    """``df`` in no more tasks than about ``rows`` rows need; a table too large
+    for that keeps its partitions."""
+    return df.coalesce(rows // per_task + 1)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and read
     again from there if an executor is lost."""
@@ -65,10 +71,10 @@ def written(df: DataFrame) -> DataFrame:
 MOST_BROADCAST = 1_000_000
 
 
-def restricted(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``column`` is among ``ids`` (one column of longs);
-    null counts as a value. The ids are broadcast if they are few enough, so that
+def restricted(df: DataFrame, column: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``df`` whose ``column`` is among ``ids`` (one column of longs),
+    or with 'left_anti' the others; null counts as a value. The ids are broadcast if they are few enough, so that
     wide rows stay where they are, and else both sides are shuffled."""
     wanted = written(ids.toDF("__wanted").distinct())
-    few = wanted.count() <= MOST_BROADCAST
-    return df.join(F.broadcast(wanted) if few else wanted, F.col(column).eqNullSafe(F.col("__wanted")), "left_semi")
+    few = wanted.count() <= MOST_BROADCAST  # longs, so their bytes are bounded too
+    return df.join(F.broadcast(wanted) if few else wanted, F.col(column).eqNullSafe(F.col("__wanted")), how)
