@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callwatch.llm import decontamination, mixing, near_dedup, quality_rules, sharding, substring_dedup, token_counts, token_files
+from callwatch.llm import decontamination, mixing, near_dedup, quality_classifier, quality_rules, sharding, substring_dedup, token_counts, token_files
 from callwatch.runtime import table
 
 
@@ -41,6 +41,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir), width=2)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(_documents(spark, sf_dir))
     return placed.select("doc_id", "slot", "shard")
@@ -51,7 +55,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_decontamination, op4_mixing, op5_token_files, op6_near_dedup, op8_sharding, op9_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_decontamination, op4_mixing, op5_token_files, op6_near_dedup, op7_quality_classifier, op8_sharding, op9_token_counts)}
 
 
 def oracles() -> dict[str, str]:
