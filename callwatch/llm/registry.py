@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callwatch.llm import decontamination, mixing, near_dedup, quality_classifier, quality_rules, sharding, substring_dedup, token_counts, token_files
+from callwatch.llm import decontamination, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, substring_dedup, token_counts, token_files
 from callwatch.runtime import table
 
 
@@ -54,8 +54,18 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), TOKENIZER)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_documents(spark, sf_dir))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_decontamination, op4_mixing, op5_token_files, op6_near_dedup, op7_quality_classifier, op8_sharding, op9_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_decontamination, op4_mixing, op5_token_files, op6_near_dedup, op7_quality_classifier, op8_sharding, op9_token_counts, op10_pii, pipeline)}
 
 
 def oracles() -> dict[str, str]:
