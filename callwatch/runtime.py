@@ -63,7 +63,7 @@ def written(df: DataFrame) -> DataFrame:
     again from there if an executor is lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
