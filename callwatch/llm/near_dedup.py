@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callwatch.llm.graph import components
@@ -20,6 +20,8 @@ PERCENT = 80
 BANDS, ROWS = 48, 6
 #: Rounds in which each bucket compares its members with one of them.
 STAR_ROUNDS = 2
+#: Nodes of a group in which all pairs across components are checked.
+SMALL = 32
 #: Pairs that a task checks.
 PAIRS_PER_TASK = 4_000
 
@@ -132,6 +134,94 @@ def _open_buckets(members: DataFrame) -> DataFrame:
     return members.join(split, F.col("key") == F.col("__key"), "left_semi")
 
 
+def _shingle_rows(width: int):
+    """(g, node, text) -> (g, h): each shingle of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in pieces(batches):
+            sets = _sets(batch, words, width)
+            groups = np.repeat(batch.column("g").to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(groups), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))], ["g", "h"])
+
+    return run
+
+
+def _differences(width: int):
+    """(g, node, c, text, usual) -> (g, node, c, n, d, rest): the shingles that
+    a text has and its group's usual ones lack, or the reverse."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in pieces(batches):
+            sets = _sets(batch, words, width)
+            usual = batch.column("usual")
+            bounds, values = usual.offsets.to_numpy(), usual.values.to_numpy().view(np.uint64)
+            rest = [np.setxor1d(x, values[i:j], assume_unique=True) for x, i, j in zip(sets, bounds[:-1], bounds[1:], strict=True)]
+            upto = np.concatenate([[0], np.cumsum([len(x) for x in rest])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate([*rest, np.empty(0, np.uint64)]).view(np.int64)))
+            columns = [batch.column("g"), batch.column("node"), batch.column("c"), pa.array([len(x) for x in sets], pa.int64()), pa.array(np.diff(upto).astype(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["g", "node", "c", "n", "d", "rest"])
+
+    return run
+
+
+def _across(members: DataFrame, texts_of: DataFrame, size: int, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What may link, or surely links, components of open buckets: pairs to
+    check (node, n, other, m) and links (a, b).
+
+    Buckets that share members form a group. In a group of up to ``SMALL`` nodes
+    all pairs across components are checked. In a larger one, let U be the
+    shingles that over half of its nodes have, and D(x) those in which x differs
+    from U. As D(x) and D(y) differ in exactly the shingles in which x and y do,
+
+        x ~ y  if and only if  s(x) + s(y) + 2 (100 + p) |D(x) & D(y)| >= 0,
+        s(x) = (100 - p) |x| - (100 + p) |D(x)|,  p = ``percent``.
+
+    Nodes whose s makes up for the largest s of the group are linked with the
+    node that has it. Any other needs a number t > 0 of common differences, which
+    grows with those of its partner. With differences in one order, rarest first,
+    the two then share one that at least t - 1 others follow in both. Few pairs
+    do, as what is frequent among the differences comes last. No pair that could
+    link is lost.
+    """
+    one = members.groupBy(F.col("key").alias("__key")).agg(F.min("node").alias("b"))
+    joined = components(members.join(one, F.col("key") == F.col("__key")).select(F.col("node").alias("a"), "b"))
+    groups = joined.select(F.col("id").alias("__id"), F.col("component").alias("g"))
+    nodes = written(in_tasks(members.select("node", "n", "c").distinct().join(groups, F.col("node") == F.col("__id")).drop("__id"), size))
+    counts = written(in_tasks(nodes.groupBy(F.col("g").alias("__g")).agg(F.count("*").alias("size")), size))
+    small = nodes.join(counts.filter(F.col("size") <= SMALL), F.col("g") == F.col("__g"), "left_semi")
+    few = small.join(small.select(F.col("g").alias("__g"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("c").alias("__c")), (F.col("g") == F.col("__g")) & (F.col("c") < F.col("__c")))
+    few = few.select("node", "n", "other", "m")
+
+    large = nodes.join(counts.filter(F.col("size") > SMALL), F.col("g") == F.col("__g")).drop("__g")
+    own = written(large.join(texts_of.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node")).select("g", "node", "c", "size", "text"))
+    usual = map_arrow(own.select("g", "node", "text"), _shingle_rows(width), "g long, h long").groupBy("g", "h").agg(F.count("*").alias("k"))
+    usual = usual.join(counts, F.col("g") == F.col("__g")).filter(2 * F.col("k") > F.col("size")).groupBy("g").agg(F.sort_array(F.collect_list("h")).alias("usual"))
+    usual = written(in_tasks(usual, size)).withColumnRenamed("g", "__g")
+    with_usual = own.join(usual, F.col("g") == F.col("__g"), "left").select("g", "node", "c", "text", F.coalesce("usual", F.array().cast("array<long>")).alias("usual"))
+    apart = written(map_arrow(with_usual, _differences(width), "g long, node long, c long, n long, d long, rest array<long>"))
+    slack = (100 - percent) * F.col("n") - (100 + percent) * F.col("d")
+    best = written(in_tasks(apart.withColumn("s", slack).groupBy(F.col("g").alias("__g")).agg(F.max("s").alias("most"), F.max_by("node", "s").alias("b")), size))
+    placed = apart.withColumn("s", slack).join(best, F.col("g") == F.col("__g"))
+    sure = written(in_tasks(placed.filter(F.col("s") + F.col("most") >= 0).select(F.col("node").alias("a"), "b"), size))
+
+    entries = placed.select("g", "node", "c", "n", "d", "s", "most", F.explode("rest").alias("h"))
+    often = apart.select("g", F.explode("rest").alias("h")).groupBy(F.col("g").alias("__g"), F.col("h").alias("__h")).agg(F.count("*").alias("k"))
+    counted = entries.join(often, (F.col("g") == F.col("__g")) & (F.col("h") == F.col("__h"))).drop("__g", "__h")
+
+    def needed(s: Column, t: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(-(s + t) / (2 * (100 + percent))))
+
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("k", "h"))
+    prefix = counted.withColumn("rank", rank).filter((F.col("rank") <= F.col("d") - needed(F.col("s"), F.col("most")) + 1) & (F.col("k") > 1))
+    prefix = written(prefix.select("g", "node", "c", "n", "s", "most", "h", (F.col("d") - F.col("rank") + 1).alias("left")))
+    partner = prefix.select(F.col("g").alias("__g"), F.col("h").alias("__h"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("c").alias("__c"), F.col("s").alias("t"), F.col("left").alias("__left"))
+    common = (F.col("g") == F.col("__g")) & (F.col("h") == F.col("__h")) & (F.col("c") != F.col("__c"))
+    met = prefix.filter("s + most < 0").join(partner, common & (F.least("left", "__left") >= needed(F.col("s"), F.col("t"))) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    return few.unionByName(met.select("node", "n", "other", "m")), sure
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
@@ -146,9 +236,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     paired. Nodes that share a band of their sketch fall into one bucket. There,
     members are first compared with one of them, another one in each round, as
     that joins most of a large group into one component; then, for the buckets
-    that still hold several components, all pairs across components are checked
-    that were not before. Every candidate is thus either checked on its full set
-    or already connected.
+    that still hold several components, all pairs across these are checked or
+    proven unlinked; see ``_across``. Every candidate is thus decided on its full
+    set or already connected.
 
     Rows that share a doc_id count as one document for links. Rows without one
     have n_shingles only: component_id null and kept true. An empty input gives
@@ -184,10 +274,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
             met = current.join(centre, F.col("key") == F.col("__key")).filter(F.col("c") != F.col("z.c"))
             met = met.select("node", "n", F.col("z.node").alias("other"), F.col("z.n").alias("m"))
         else:
-            groups = written(in_tasks(current.select("key", "c").distinct(), size))
-            two = groups.join(groups.select(F.col("key").alias("__key"), F.col("c").alias("__c")), (F.col("key") == F.col("__key")) & (F.col("c") < F.col("__c"))).select("key", "c", "__c")
-            left = two.join(current.select(F.col("key").alias("__key"), F.col("c").alias("__c1"), "node", "n"), (F.col("key") == F.col("__key")) & (F.col("c") == F.col("__c1"))).select("key", "__c", "node", "n")
-            met = left.join(current.select(F.col("key").alias("__key"), F.col("c").alias("__c2"), F.col("node").alias("other"), F.col("n").alias("m")), (F.col("key") == F.col("__key")) & (F.col("__c") == F.col("__c2"))).select("node", "n", "other", "m")
+            met, sure = _across(current, texts_of, size, width, percent)
+            links.append(sure)
         near = met.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
         pairs = near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         if tested is not None:
@@ -195,8 +283,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         pairs = written(in_tasks(pairs, size))
         found = written(_similar(pairs, texts_of, width, percent))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if not found.isEmpty():
-            links.append(found)
+        links.append(found)
+        if turn == STAR_ROUNDS or not found.isEmpty():
             labels = written(components(reduce(DataFrame.unionByName, links)))
     named = classes.join(labels, F.col("node") == F.col("id"), "left").select(F.col("fp1").alias("__1"), F.col("fp2").alias("__2"), F.coalesce("component", "node").alias("__component"))
     linked = sketches.select("doc_id", "n_shingles", "fp1", "fp2").withColumn("__on", F.col("n_shingles") > 0)
