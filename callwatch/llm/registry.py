@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from callwatch.llm import decontamination, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, substring_dedup, token_counts, token_files
+from callwatch.llm.oracles import ORACLES
 from callwatch.runtime import table
 
 
@@ -18,7 +20,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(_documents(spark, sf_dir))
+    judged = quality_rules.judge(_documents(spark, sf_dir))
+    return judged.withColumns({c: F.round(c, 6) for c in ("character_distance", "word_distance")})
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
