@@ -8,11 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callwatch.llm.words import WordHashes, grams, pieces, texts
+from callwatch.llm.words import PRIME, WordHashes, grams, mix, pieces, texts
 from callwatch.runtime import map_arrow, restricted, written
 
 WINDOW = 35
@@ -26,14 +25,39 @@ def _print(words: list[bytes]) -> tuple[int, int]:
     return n >> 64, n & (2**64 - 1)
 
 
-def anchors(hashes: np.ndarray, window: int, seed: int) -> np.ndarray:
-    """The anchor of each window: the place of the least-hashed seed in it, the
-    first if several are least. It depends on the window's words alone."""
-    found = grams(hashes, seed)
+def anchors(seeds: np.ndarray, window: int, seed: int) -> np.ndarray:
+    """The anchor of each window, from the hashes of all seeds: the place of the
+    seed with the least upper half of its hash, the first if several have it. It depends on the
+    window's words alone."""
     inside = window - seed + 1
-    if len(found) < inside:
+    if len(seeds) < inside:
         return np.empty(0, np.int64)
-    return sliding_window_view(found, inside).argmin(axis=1) + np.arange(len(found) - inside + 1)
+    # places in the low half, so that the least number tells the first place
+    low = np.uint64(2**32 - 1)
+    least = (seeds & ~low) | np.arange(len(seeds), dtype=np.uint64)
+    span = 1
+    while span < inside:
+        step = min(span, inside - span)
+        least = np.minimum(least[:-step], least[step:])
+        span += step
+    return (least & low).astype(np.int64)
+
+
+#: Modulo 2**64, PRIME times this is 1.
+_INVERSE = np.uint64(pow(int(PRIME), -1, 2**64))
+
+
+def window_hashes(hashes: np.ndarray, window: int, starts: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes, (n, 2), of the windows from the given starts on: sums
+    of word hashes times powers of an odd number, shifted to power 0."""
+    n = len(hashes)
+    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, PRIME)]), dtype=np.uint64)
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]), dtype=np.uint64)
+    out = []
+    for h in (hashes, mix(hashes ^ np.uint64(0xD6E8FEB86659FD93))):
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers[:n], dtype=np.uint64)])
+        out.append(mix((upto[starts + window] - upto[starts]) * back[starts]))
+    return np.stack(out, axis=1)
 
 
 def _facts(window: int, seed: int):
@@ -44,12 +68,13 @@ def _facts(window: int, seed: int):
             for text in texts(batch):
                 words = text.split()
                 h = hashed.of(words)
-                at = np.unique(anchors(h, window, seed))
+                found = grams(h, seed)
+                at = np.unique(anchors(found, window, seed))
                 counts.append(len(words))
                 shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 prints.append(_print(words))
                 places.append(at.astype(np.int32))
-                seeds.append(grams(h, seed)[at].view(np.int64) if len(at) else np.empty(0, np.int64))
+                seeds.append(found[at].view(np.int64))
             bounds = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in places])]).astype(np.int32))
             fp = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
             lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(x))) for x in (places, seeds)]
@@ -116,7 +141,7 @@ def _extended(window: int, seed: int):
                     for f1, f2, p in ((row["fp1"], row["fp2"], at), (row["c_fp1"], row["c_fp2"], ct)):
                         starts, ends = _merged((p - left)[long], (p + seed + right)[long])
                         emit(f1, f2, starts, ends, None)
-                anchor = anchors(h, window, seed)
+                anchor = anchors(grams(h, seed), window, seed)
                 order = np.argsort(at)
                 known = np.searchsorted(at[order], anchor)
                 known[known == len(at)] = 0
@@ -125,9 +150,13 @@ def _extended(window: int, seed: int):
                 rest = (at[known] == anchor) & ~((start >= anchor - left[known]) & (start + window <= anchor + seed + right[known]))
                 if rest.any():
                     s = start[rest]
-                    w1 = grams(h, window)[s]
-                    w2 = grams(h ^ np.uint64(0xD6E8FEB86659FD93), window)[s]
-                    emit(row["fp1"], row["fp2"], s, s + window, np.stack([w1, w2], axis=1).view(np.int64))
+                    w = window_hashes(h, window, s)
+                    _, first, which, count = np.unique(w[:, 0], return_index=True, return_inverse=True, return_counts=True)
+                    # one row speaks for windows that occur in the text repeatedly
+                    again = count[which] > 1
+                    if again.any():
+                        emit(row["fp1"], row["fp2"], *_merged(s[again], s[again] + window), None)
+                    emit(row["fp1"], row["fp2"], s[first], s[first] + window, w[first].view(np.int64))
             if marks:
                 none = np.concatenate(marks)
                 columns = [pa.array(np.concatenate(x)) for x in out[:4]] + [pa.array(np.concatenate(x), mask=none) for x in out[4:]]
