@@ -52,6 +52,14 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` with so many underscores that ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"_{name}").lower() in taken:
+        pass
+    return name
+
+
 def in_tasks(df: DataFrame, rows: int, per_task: int = 500_000) -> DataFrame:
     """``df`` in no more tasks than about ``rows`` rows need; a table too large
     for that keeps its partitions."""
@@ -75,6 +83,7 @@ def restricted(df: DataFrame, column: str, ids: DataFrame, how: str = "left_semi
     """The rows of ``df`` whose ``column`` is among ``ids`` (one column of longs),
     or with 'left_anti' the others; null counts as a value. The ids are broadcast if they are few enough, so that
     wide rows stay where they are, and else both sides are shuffled."""
-    wanted = written(ids.toDF("__wanted").distinct())
+    name = fresh(df, "wanted")
+    wanted = written(ids.toDF(name).distinct())
     few = wanted.count() <= MOST_BROADCAST  # longs, so their bytes are bounded too
-    return df.join(F.broadcast(wanted) if few else wanted, F.col(column).eqNullSafe(F.col("__wanted")), how)
+    return df.join(F.broadcast(wanted) if few else wanted, F.col(column).eqNullSafe(F.col(name)), how)
