@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callwatch.llm.words import word_count
-from callwatch.runtime import written
+from callwatch.runtime import fresh, written
 
 PATTERN = (5.0, 2.0, 1.0)
 BUDGET = 1.5
@@ -112,7 +112,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     exact for rows that share one; those take the largest number found. Rows
     without an id or without words are left out.
     """
-    taken = mixture(docs, **options).filter("copies > 0 and size > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    joined = docs.join(taken, F.col("doc_id") == F.col("__id"))
-    repeated = joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int"))))
+    key, copies, copy = fresh(docs, "key"), fresh(docs, "copies"), fresh(docs, "copy")
+    taken = mixture(docs, **options).filter("copies > 0 and size > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(copies))
+    joined = docs.join(taken, F.col("doc_id") == F.col(key))
+    repeated = joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(copies))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

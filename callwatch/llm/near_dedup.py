@@ -296,6 +296,5 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each component, with all its columns; rows without an id
     stay. Of rows that share an id, one stays."""
-    kept = near_duplicates(docs, **options).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    with_id = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.filter("doc_id is null"))
+    kept = near_duplicates(docs, **options).filter("kept and doc_id is not null").select("doc_id")
+    return restricted(docs, "doc_id", kept).dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))

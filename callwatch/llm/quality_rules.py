@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callwatch.llm.words import SPACE, let, word_array
-from callwatch.runtime import written
+from callwatch.runtime import restricted, written
 
 # Very common words of the languages for which there are references.
 COMMON_WORDS = {
@@ -169,10 +169,10 @@ def judge(docs: DataFrame, max_character_distance: float = MAX_CHARACTER_DISTANC
     facts = statistics(docs, COMMON_WORDS).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     facts = written(facts)
     # at most one row for each of the languages named above
-    known = F.broadcast(references(facts, languages))
-    joined = facts.join(known, F.col("lang") == F.col("ref_lang"), "left")
-    by_character = F.when(F.aggregate("characters", F.lit(0), lambda s, v: s + v) >= MIN_CHARACTERS, divergence(shares(F.col("characters")), F.col("ref_characters")))
-    by_word = F.when(F.col("n_words") >= MIN_HISTOGRAM_WORDS, divergence(shares(F.col("commons")), F.col("ref_commons")))
+    joined = facts.join(F.broadcast(references(facts, languages)), F.col("lang") == F.col("ref_lang"), "left")
+    known = F.col("ref_lang").isNotNull()
+    by_character = F.when(known & (F.aggregate("characters", F.lit(0), lambda s, v: s + v) >= MIN_CHARACTERS), divergence(shares(F.col("characters")), F.col("ref_characters")))
+    by_word = F.when(known & (F.col("n_words") >= MIN_HISTOGRAM_WORDS), divergence(shares(F.col("commons")), F.col("ref_commons")))
     far = (F.coalesce(F.col("character_distance"), F.lit(0.0)) > max_character_distance) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word_distance)
     measured = joined.withColumn("character_distance", by_character).withColumn("word_distance", by_word)
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "character_distance", "word_distance")
@@ -182,5 +182,5 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The documents that the rules keep, with all their columns. Rows without
     an id are dropped, as no verdict can be joined to them; rows that share an
     id stay if one of them is kept."""
-    kept = judge(docs, **options).filter("kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
+    kept = judge(docs, **options).filter("kept and doc_id is not null").select("doc_id")
+    return restricted(docs, "doc_id", kept)

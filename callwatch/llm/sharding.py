@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from callwatch.runtime import fresh
+
 SHARDS = 32
 SLOTS = 4099
 
@@ -66,9 +68,10 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", shards: int | list[str]
     names = [f"shard-{i}" for i in range(shards)] if isinstance(shards, int) else list(shards)
     plain = docs.drop("slot", "shard") if {"slot", "shard"} & set(docs.columns) - {key} else docs
     table = table_frame(docs.sparkSession, names, slots)
-    own = plain.withColumn("__slot", slot_of(F.coalesce(F.col(key).cast("string"), F.lit("")), slots))
-    placed = own.join(F.broadcast(table.withColumnRenamed("slot", "__table_slot").withColumnRenamed("shard", "__shard")), F.col("__slot") == F.col("__table_slot"))
-    return placed.select(*[F.col(f"`{c}`") for c in plain.columns if c not in ("slot", "shard")], F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))
+    slot, table_slot, shard = fresh(plain, "slot"), fresh(plain, "table_slot"), fresh(plain, "shard")
+    own = plain.withColumn(slot, slot_of(F.coalesce(F.col(key).cast("string"), F.lit("")), slots))
+    placed = own.join(F.broadcast(table.toDF(table_slot, shard)), F.col(slot) == F.col(table_slot))
+    return placed.select(*[F.col(f"`{c}`") for c in plain.columns if c not in ("slot", "shard")], F.col(slot).alias("slot"), F.col(shard).alias("shard"))
 
 
 def write_shards(docs: DataFrame, path: str, parts_per_shard: int = 1, **options) -> None:
