@@ -91,9 +91,14 @@ def inspect_ships(ships: DataFrame, areas: DataFrame, min_draft: float = 0.0, mi
     shaped = parsed.filter("g.x1 is not null and g.x2 is not null and g.y1 is not null and g.y2 is not null").withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
     placed = wanted.withColumn("sx", cell(F.col("lng"))).withColumn("sy", cell(F.col("lat")))
     by_shape = placed.join(shaped, (F.col("sx") == F.col("cx")) & (F.col("sy") == F.col("cy")) & inside(F.col("lng"), F.col("lat"), F.col("position_label"), F.col("area_name"), F.col("g"))).drop("sx", "sy", "cx", "cy")
-    other = parsed.filter("g is null or g.x1 is null or g.x2 is null or g.y1 is null or g.y2 is null")
-    by_name = wanted.join(other, inside(F.col("lng"), F.col("lat"), F.col("position_label"), F.col("area_name"), F.col("g")))
-    return by_shape.unionByName(by_name).drop("g", "geometry")
+    # areas known by name alone meet each distinct label once
+    named = parsed.filter("g is null").drop("g", "geometry")
+    labels = wanted.select(F.col("position_label").alias("__label")).distinct()
+    fits = labels.join(named, area_match(F.col("area_name"), F.col("__label")))
+    by_name = wanted.join(fits, F.col("position_label") == F.col("__label")).drop("__label")
+    partial = parsed.filter("g is not null and (g.x1 is null or g.x2 is null or g.y1 is null or g.y2 is null)")
+    by_part = wanted.join(partial, inside(F.col("lng"), F.col("lat"), F.col("position_label"), F.col("area_name"), F.col("g"))).drop("g", "geometry")
+    return by_shape.drop("g", "geometry").unionByName(by_name).unionByName(by_part)
 
 
 def notices(matches: DataFrame, template: str) -> DataFrame:

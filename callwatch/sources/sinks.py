@@ -34,7 +34,7 @@ def write_events_batch(path: str):
 def label_stats_json(stats: DataFrame) -> DataFrame:
     """(dimension, label, n) -> one JSON document: dimension -> label -> count."""
     inner = stats.groupBy("dimension").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias("m"))
-    return inner.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("dimension", F.to_json("m").alias("m")))))).alias("json"))
+    return inner.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("dimension", "m")))).alias("json"))
 
 
 def eval_summary(ranked: DataFrame, target: float = 0.8) -> DataFrame:
