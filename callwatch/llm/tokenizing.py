@@ -15,7 +15,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are pa
 
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Pieces a task remembers the ids of before it starts afresh.
+#: Pieces a task remembers the ids of before it drops those met only once.
 REMEMBERED = 300_000
 
 _PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
@@ -62,15 +62,28 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)
-        self._forget()
+        self._start_afresh()
 
-    def _forget(self) -> None:
+    def _start_afresh(self) -> None:
         self.known = 0
         self.new_words: list[tuple[int, str]] = []
         self.new_others: list[tuple[int, str]] = []
         self.words, self.others = _Numbers(self, self.new_words), _Numbers(self, self.new_others)
         self.ids = np.empty(0, np.uint32)
-        self.start = self.length = np.empty(0, np.int64)
+        self.start = self.length = self.uses = np.empty(0, np.int64)
+
+    def _forget(self) -> None:
+        """Drops the pieces met least, half of those remembered at least."""
+        uses = self.uses
+        stay = uses > max(1, int(np.partition(uses, len(uses) // 2)[len(uses) // 2]))
+        place = np.cumsum(stay) - 1
+        words, others, ids, start, length = self.words, self.others, self.ids, self.start[stay], self.length[stay]
+        self._start_afresh()
+        for old, new in ((words, self.words), (others, self.others)):
+            new.update((k, int(place[n])) for k, n in old.items() if stay[n])
+        upto = np.cumsum(length)
+        self.ids = ids[np.repeat(start - upto + length, length) + np.arange(upto[-1] if len(upto) else 0)]
+        self.known, self.start, self.length, self.uses = len(start), upto - length, length, np.zeros(len(start), np.int64)
 
     def next_number(self) -> int:
         self.known += 1
@@ -110,19 +123,18 @@ class Encoder:
             at += len(ids)
         self.new_words.clear()
         self.new_others.clear()
-        self.ids, self.start, self.length = np.concatenate(found), start, length
+        self.ids, self.start, self.length, self.uses = np.concatenate(found), start, length, np.concatenate([self.uses, more])
 
     def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The piece numbers of all texts, and the number of pieces of each."""
         if self.known > REMEMBERED:
             self._forget()
-        numbers, counts = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            before = len(numbers)
-            numbers.extend(self._numbers(text))
-            counts[i] = len(numbers) - before
+        parts = [np.fromiter(self._numbers(text), np.int32) for text in texts]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
         self._learn()
-        return np.array(numbers, np.int64), counts
+        numbers = np.concatenate([*parts, np.empty(0, np.int32)])
+        self.uses += np.bincount(numbers, minlength=self.known)
+        return numbers, counts
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         numbers, counts = self._pieces(texts)
