@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callwatch.llm.words import word_count
-from callwatch.runtime import fresh, written
+from callwatch.runtime import MOST_BROADCAST, fresh, written
 
 PATTERN = (5.0, 2.0, 1.0)
 BUDGET = 1.5
@@ -114,6 +114,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """
     key, copies, copy = fresh(docs, "key"), fresh(docs, "copies"), fresh(docs, "copy")
     taken = mixture(docs, **options).filter("copies > 0 and size > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(copies))
-    joined = docs.join(taken, F.col("doc_id") == F.col(key))
+    taken = written(taken)
+    few = taken.count() <= MOST_BROADCAST  # two numbers each
+    joined = docs.join(F.broadcast(taken) if few else taken, F.col("doc_id") == F.col(key))
     repeated = joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(copies))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -296,5 +296,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each component, with all its columns; rows without an id
     stay. Of rows that share an id, one stays."""
-    kept = near_duplicates(docs, **options).filter("kept and doc_id is not null").select("doc_id")
-    return restricted(docs, "doc_id", kept).dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    kept = restricted(docs, "doc_id", near_duplicates(docs, **options).filter("kept and doc_id is not null").select("doc_id"))
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
+    # only rows that share an id are shuffled
+    alone, several = restricted(kept, "doc_id", shared, "left_anti"), restricted(kept, "doc_id", shared)
+    return alone.unionByName(several.dropDuplicates(["doc_id"])).unionByName(docs.filter("doc_id is null"))
