@@ -52,40 +52,44 @@ class Items:
                 self.shingles.append(values)
                 self.counts.append(counts)
         self.sizes = np.array(self.sizes, np.int64)
-        self.known = np.unique(np.concatenate([*self.shingles, np.empty(0, np.uint64)]))
+        # the distinct (shingle, size of an item that has it)
+        owner = np.repeat(self.sizes, [len(x) for x in self.shingles]).astype(np.int64)
+        pairs = np.unique(np.rec.fromarrays([np.concatenate([*self.shingles, np.empty(0, np.uint64)]), owner], names="shingle,size"))
+        self.known, self.known_size = pairs["shingle"].copy(), pairs["size"].copy()
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.prints = np.array([fingerprints(np.repeat(s, c))[0] for s, c in zip(self.shingles, self.counts, strict=True)], np.uint64)
         bits = 64 // BLOCKS
-        self.order, self.keys = [], []
+        self.order, self.keys, self.present = [], [], []
         for b in range(BLOCKS):
             block = (self.prints >> np.uint64(b * bits)) & np.uint64((1 << bits) - 1)
             order = np.argsort(block, kind="stable")
             self.order.append(order)
             self.keys.append(block[order])
-        self.masks = np.array([sum(1 << x for x in c) for d in range(RADIUS // BLOCKS + 1) for c in combinations(range(bits), d)], np.uint64)
-
-    def among(self, shingles: np.ndarray) -> np.ndarray:
-        """Which shingles some item has."""
-        found = self.maybe[(shingles & np.uint64((1 << 20) - 1)).astype(np.int64)]
-        if found.any():
-            at = np.flatnonzero(found)
-            place = np.searchsorted(self.known, shingles[at])
-            place[place == len(self.known)] = 0
-            found[at] = self.known[place] == shingles[at]
-        return found
+            self.present.append(np.zeros(1 << bits, bool))
+            self.present[-1][block.astype(np.int64)] = True
+        self.masks = np.array([sum(1 << x for x in c) for d in range(RADIUS // BLOCKS + 1) for c in combinations(range(bits), d)], np.int64)
+
+    def among(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of shingles that items have, with the items' sizes: one pair for
+        each size."""
+        at = np.flatnonzero(self.maybe[(shingles & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        low = np.searchsorted(self.known, shingles[at], "left")
+        count = np.searchsorted(self.known, shingles[at], "right") - low
+        upto = np.cumsum(count)
+        which = np.repeat(low - upto + count, count) + np.arange(upto[-1] if len(upto) else 0)
+        return np.repeat(at, count), self.known_size[which]
 
     def near(self, fingerprint: np.uint64) -> np.ndarray:
         """The items within the radius of a fingerprint, by the block index."""
         bits, found = 64 // BLOCKS, []
         for b in range(BLOCKS):
-            wanted = ((fingerprint >> np.uint64(b * bits)) & np.uint64((1 << bits) - 1)) ^ self.masks
+            wanted = int((fingerprint >> np.uint64(b * bits)) & np.uint64((1 << bits) - 1)) ^ self.masks
+            wanted = wanted[self.present[b][wanted]].astype(np.uint64)
             low = np.searchsorted(self.keys[b], wanted, "left")
-            high = np.searchsorted(self.keys[b], wanted, "right")
-            for i in np.flatnonzero(high > low):
-                found.append(self.order[b][low[i] : high[i]])
-        if not found:
-            return np.empty(0, np.int64)
+            count = np.searchsorted(self.keys[b], wanted, "right") - low
+            upto = np.cumsum(count)
+            found.append(self.order[b][np.repeat(low - upto + count, count) + np.arange(upto[-1] if len(upto) else 0)])
         some = np.unique(np.concatenate(found))
         return some[np.bitwise_count(self.prints[some] ^ fingerprint) <= RADIUS]
 
@@ -113,16 +117,18 @@ def weighted_similarity(window: np.ndarray, shingles: np.ndarray, counts: np.nda
 
 def _matches(items: Items, shingles: np.ndarray, similarity: float) -> Iterator[tuple[int, int, int, float]]:
     """(item, start, words, similarity) of the best window for each item found."""
-    known = items.among(shingles)
-    if not known.any():
-        return
-    upto = np.concatenate([[0], np.cumsum(known)])
+    places, sizes = items.among(shingles)
     best: dict[int, tuple[float, int, int]] = {}
-    for size in np.unique(items.sizes):
+    for size in np.unique(sizes):
         length = min(int(size) - WIDTH + 1, len(shingles))
-        inside = upto[length:] - upto[:-length]
-        # a window with fewer shingles that any item has can't reach the similarity
-        starts = np.flatnonzero(inside >= similarity * (size - WIDTH + 1))
+        own = places[sizes == size]
+        # a window with fewer shingles that items of its size have can't reach the similarity
+        if len(own) < similarity * (size - WIDTH + 1):
+            continue
+        upto = np.zeros(len(shingles) + 1, np.int64)
+        upto[own + 1] = 1
+        upto = np.cumsum(upto)
+        starts = np.flatnonzero(upto[length:] - upto[:-length] >= similarity * (size - WIDTH + 1))
         if not len(starts):
             continue
         low, high = int(starts[0]), int(starts[-1]) + length
