@@ -23,7 +23,7 @@ def clashing(df):
 @pytest.fixture(scope="session")
 def awkward(spark):
     """Nulls, blanks, repeats, ties and a very long text."""
-    long = " ".join(f"w{i % 997}x{i % 31}" for i in range(60_000))
+    long = " ".join(f"w{i % 997}x{i % 31}" for i in range(20_000))
     return frame(
         spark,
         [(1, None), (2, ""), (3, " \t\n\x0b\x0c\r "), (4, "one"), (5, "one"), (5, "one"), (6, long), (7, long), (8, "naïve café — 東京 🚢 über"), (9, "a b c d e f g h i j k"), (None, "no id here at all"), (None, None), (10, "x" * 200_000), (11, "the of and " * 50, None, None)],
