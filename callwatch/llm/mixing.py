@@ -74,10 +74,10 @@ def mixture(docs: DataFrame, budget: float = BUDGET, most: float = MOST, pattern
     null id has the key of that null. An empty input gives an empty result.
     """
     keyed = written(sample_keys(docs, **options))
-    sources = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__rows"), F.avg(1 / F.col("key")).alias("__rate"), F.avg("key").alias("__mean"))
+    sources = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__rows"), F.avg("key").alias("__mean"))
     sources = written(sources)
     targets = source_targets(sources.select("source", "source_size"), budget, most, pattern)
-    plan = targets.join(sources.drop("source_size").withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s", "__rate")
+    plan = targets.join(sources.drop("source_size").withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     plan = plan.withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0))
     plan = written(plan.withColumn("__rest", F.greatest(F.lit(0.0), F.col("target") - F.col("__epochs") * F.col("source_size"))).withColumnRenamed("source", "__source"))
 
