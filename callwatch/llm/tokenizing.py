@@ -5,9 +5,9 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
@@ -21,24 +21,46 @@ REMEMBERED = 300_000
 _PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space, in any reading of the term, other than the four of ``_PIECE``.
 _OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
-#: White space other than a single blank or line end between words.
-_UNEVEN = re.compile(r"[ \n\t\r][ \n\t\r]|[\t\r]|\A[ \n]|[ \n]\Z")
 
+#: Numbers of pieces that are not words after a blank, and of whole texts, begin here.
+OTHERS, ONCE = 1 << 28, 1 << 29
 
-class _Numbers(dict):
-    """Numbers pieces as they are met, among those that go to one of the
-    encoder's two lists of new ones."""
 
-    def __init__(self, owner: Encoder, new: list[tuple[int, str]]):
-        super().__init__()
-        self.owner, self.new = owner, new
+class _Numbers(dict):
+    """Numbers keys as they are met, from 0."""
 
     def __missing__(self, key: str) -> int:
-        n = self[key] = self.owner.next_number()
-        self.new.append((n, key))
+        n = self[key] = len(self)
         return n
 
 
+class _Known:
+    """Pieces whose ids are remembered: numbers by key and, by number, where
+    their ids begin in the encoder's list, how many they are, and uses."""
+
+    def __init__(self):
+        self.numbers = _Numbers()
+        self.start = self.length = self.uses = np.empty(0, np.int64)
+
+    def new(self) -> list[str]:
+        """The keys met since ``add``."""
+        return list(islice(self.numbers, len(self.start), None))
+
+    def add(self, start: np.ndarray, length: np.ndarray) -> None:
+        self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
+        self.uses = np.concatenate([self.uses, np.zeros(len(start), np.int64)])
+
+    def keep(self, least: int) -> None:
+        """Only the pieces used more than ``least`` times, uses counted afresh."""
+        stay = self.uses > least
+        numbers = _Numbers()
+        for key, n in self.numbers.items():
+            if stay[n]:
+                numbers[key] = len(numbers)
+        self.numbers, self.start, self.length = numbers, self.start[stay], self.length[stay]
+        self.uses = np.zeros(len(numbers), np.int64)
+
+
 class Encoder:
     """Ids of texts, as the tokenizer gives them without special tokens added.
 
@@ -62,92 +84,95 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)
-        self._start_afresh()
-
-    def _start_afresh(self) -> None:
-        self.known = 0
-        self.new_words: list[tuple[int, str]] = []
-        self.new_others: list[tuple[int, str]] = []
-        self.words, self.others = _Numbers(self, self.new_words), _Numbers(self, self.new_others)
+        self.words, self.others = _Known(), _Known()
         self.ids = np.empty(0, np.uint32)
-        self.start = self.length = self.uses = np.empty(0, np.int64)
 
     def _forget(self) -> None:
         """Drops the pieces met least, half of those remembered at least."""
-        uses = self.uses
-        stay = uses > max(1, int(np.partition(uses, len(uses) // 2)[len(uses) // 2]))
-        place = np.cumsum(stay) - 1
-        words, others, ids, start, length = self.words, self.others, self.ids, self.start[stay], self.length[stay]
-        self._start_afresh()
-        for old, new in ((words, self.words), (others, self.others)):
-            new.update((k, int(place[n])) for k, n in old.items() if stay[n])
-        upto = np.cumsum(length)
-        self.ids = ids[np.repeat(start - upto + length, length) + np.arange(upto[-1] if len(upto) else 0)]
-        self.known, self.start, self.length, self.uses = len(start), upto - length, length, np.zeros(len(start), np.int64)
-
-    def next_number(self) -> int:
-        self.known += 1
-        return self.known - 1
-
-    def _numbers(self, text: str) -> Iterable[int]:
+        uses = np.concatenate([self.words.uses, self.others.uses])
+        least = max(1, int(np.partition(uses, len(uses) // 2)[len(uses) // 2])) if len(uses) else 1
+        kept = []
+        at = 0
+        for known in (self.words, self.others):
+            known.keep(least)
+            upto = np.cumsum(known.length)
+            total = int(upto[-1]) if len(upto) else 0
+            kept.append(self.ids[np.repeat(known.start - upto + known.length, known.length) + np.arange(total)])
+            known.start = at + upto - known.length
+            at += total
+        self.ids = np.concatenate(kept)
+
+    def _numbers(self, text: str, once: list[str]) -> Iterable[int]:
         if not text:
             return []
-        if not self.by_piece or any(x in text for x in self.special) or _OTHER_SPACE.search(text):
-            self.new_others.append((n := self.next_number(), text))  # not remembered
-            return [n]
-        if _UNEVEN.search(text):
-            return map(self.others.__getitem__, _PIECE.findall(text))
+        if not self.by_piece or any(x in text for x in self.special) or not text.isascii() and _OTHER_SPACE.search(text):
+            once.append(text)
+            return [ONCE + len(once) - 1]
+        if " ".join(text.split()) != text.replace("\n", " "):
+            # white space other than a single blank or line end between words
+            if _OTHER_SPACE.search(text):
+                once.append(text)
+                return [ONCE + len(once) - 1]
+            return [OTHERS + self.others.numbers[x] for x in _PIECE.findall(text)]
         # words, each after a blank or, where they begin with one, a line end
         first, *rest = text.replace("\n", " \n").split(" ")
-        return chain([self.others[first]], map(self.words.__getitem__, rest))
-
-    def _learn(self) -> None:
-        """Encodes the new pieces."""
-        found, at = [self.ids], len(self.ids)
-        more = np.zeros(self.known - len(self.start), np.int64)
-        start, length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
-        for i in range(0, len(self.new_others), 500):
-            some = self.new_others[i : i + 500]
-            for (n, _), e in zip(some, self.tokenizer.encode_batch_fast([x for _, x in some], add_special_tokens=False), strict=True):
-                found.append(np.array(e.ids, np.uint32))
-                start[n], length[n] = at, len(found[-1])
-                at += len(found[-1])
-        for i in range(0, len(self.new_words), 500):
-            some = self.new_words[i : i + 500]
-            pieces = [x if x[0] == "\n" else f" {x}" for _, x in some]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(x.encode()) for x in pieces]), "left") + 1
-            numbers, sizes = [n for n, _ in some], np.diff(ends, prepend=0)
-            start[numbers], length[numbers] = at + ends - sizes, sizes
+        return chain([OTHERS + self.others.numbers[first]], map(self.words.numbers.__getitem__, rest))
+
+    def _each(self, pieces: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of each piece, encoded for itself, and their numbers."""
+        found = []
+        for i in range(0, len(pieces), 500):
+            found += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(pieces[i : i + 500], add_special_tokens=False)]
+        return found, np.fromiter(map(len, found), np.int64, len(found))
+
+    def _together(self, keys: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """As ``_each`` for words, several in one text and told apart by bytes."""
+        found, sizes = [], [np.empty(0, np.int64)]
+        for i in range(0, len(keys), 500):
+            pieces = [x if x[0] == "\n" else f" {x}" for x in keys[i : i + 500]]
+            text = "".join(pieces)
+            lengths = list(map(len, pieces)) if text.isascii() else [len(x.encode()) for x in pieces]
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(lengths), "left") + 1
             found.append(ids)
-            at += len(ids)
-        self.new_words.clear()
-        self.new_others.clear()
-        self.ids, self.start, self.length, self.uses = np.concatenate(found), start, length, np.concatenate([self.uses, more])
-
-    def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The piece numbers of all texts, and the number of pieces of each."""
-        if self.known > REMEMBERED:
+            sizes.append(np.diff(ends, prepend=0))
+        return found, np.concatenate(sizes)
+
+    def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of all texts' pieces begin in a list of ids, how many each
+        has, how many pieces each text has, and the list."""
+        if len(self.words.numbers) + len(self.others.numbers) > REMEMBERED:
             self._forget()
-        parts = [np.fromiter(self._numbers(text), np.int32) for text in texts]
+        once: list[str] = []
+        parts = [np.fromiter(self._numbers(text, once), np.int32) for text in texts]
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        self._learn()
         numbers = np.concatenate([*parts, np.empty(0, np.int32)])
-        self.uses += np.bincount(numbers, minlength=self.known)
-        return numbers, counts
+        for known, encode in ((self.words, self._together), (self.others, self._each)):
+            found, sizes = encode(known.new())
+            known.add(len(self.ids) + np.cumsum(sizes) - sizes, sizes)
+            self.ids = np.concatenate([self.ids, *found])
+        whole, sizes = self._each(once)
+        ids = np.concatenate([self.ids, *whole]) if once else self.ids
+        w, o = len(self.words.start), len(self.others.start)
+        numbers = numbers + np.where(numbers >= ONCE, w + o - ONCE, np.where(numbers >= OTHERS, w - OTHERS, 0)).astype(np.int32)
+        uses = np.bincount(numbers, minlength=w + o)
+        self.words.uses += uses[:w]
+        self.others.uses += uses[w : w + o]
+        start = np.concatenate([self.words.start, self.others.start, len(self.ids) + np.cumsum(sizes) - sizes])
+        length = np.concatenate([self.words.length, self.others.length, sizes])
+        return start[numbers], length[numbers], counts, ids
 
     def lengths(self, texts: list[str]) -> np.ndarray:
-        numbers, counts = self._pieces(texts)
-        upto = np.concatenate([[0], np.cumsum(self.length[numbers])])
+        _, sizes, counts, _ = self._pieces(texts)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
         return np.diff(upto[np.cumsum(counts)], prepend=0)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and the number for each text."""
-        numbers, counts = self._pieces(texts)
-        sizes = self.length[numbers]
+        starts, sizes, counts, ids = self._pieces(texts)
         upto = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.repeat(self.start[numbers] - upto[:-1], sizes) + np.arange(upto[-1])
-        return self.ids[at], np.diff(upto[np.cumsum(counts)], prepend=0)
+        at = np.repeat(starts - upto[:-1], sizes) + np.arange(upto[-1])
+        return ids[at], np.diff(upto[np.cumsum(counts)], prepend=0)
 
 
 @lru_cache(maxsize=1)
