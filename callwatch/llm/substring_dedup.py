@@ -98,18 +98,20 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[first], ends[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(ends) - 1]])]
 
 
+#: Places that are compared at once.
+PLACES = 20_000
+
+
 def _same(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, step: int, most: int) -> np.ndarray:
-    """How many words agree from each place of a and b on, going by ``step``."""
-    count, going = np.zeros(len(at), np.int64), np.ones(len(at), bool)
-    for i in range(most):
-        x, y = at + step * i, bt + step * i
+    """How many words, up to ``most``, agree from each place of a and b on, going
+    by ``step``."""
+    count, along = [np.empty(0, np.int64)], step * np.arange(most)
+    for i in range(0, len(at), PLACES):
+        x, y = at[i : i + PLACES, None] + along, bt[i : i + PLACES, None] + along
         inside = (x >= 0) & (y >= 0) & (x < len(a)) & (y < len(b))
-        going &= inside
-        going[going] = a[x[going]] == b[y[going]]
-        if not going.any():
-            break
-        count += going
-    return count
+        agree = inside & (a[np.clip(x, 0, len(a) - 1)] == b[np.clip(y, 0, len(b) - 1)])
+        count.append(np.where(agree.all(axis=1), most, agree.argmin(axis=1)))
+    return np.concatenate(count)
 
 
 def _extended(window: int, seed: int):
@@ -119,6 +121,7 @@ def _extended(window: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WordHashes()
+        centre, c = None, np.empty(0, np.uint64)
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in range(6)]
             marks: list[np.ndarray] = []
@@ -132,7 +135,8 @@ def _extended(window: int, seed: int):
 
             for row in batch.to_pylist():
                 h = hashed.of(row["text"].split())
-                c = hashed.of(row["c_text"].split())
+                if centre != (row["c_fp1"], row["c_fp2"]):  # rows of one centre stand together
+                    centre, c = (row["c_fp1"], row["c_fp2"]), hashed.of(row["c_text"].split())
                 at, ct = np.array(row["places"], np.int64), np.array(row["c_places"], np.int64)
                 left = _same(h, at - 1, c, ct - 1, -1, room)
                 right = _same(h, at + seed, c, ct + seed, 1, room)
