@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callwatch.functions import lexicons as L
@@ -36,6 +36,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once per row however often it is
+    used: an exploded array of one is not merged into later projections."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def norm_label(x: Column) -> Column:
     return F.translate(F.lower(text_or_empty(x)), " ，,", "")
 
@@ -89,16 +95,16 @@ def correct_lexicon(x: Column, rules: list[tuple[str, list[str]]]) -> Column:
 
 def keywords_in(x: Column, words: list[str]) -> Column:
     """The words contained in x, in the list's order."""
-    return F.filter(words_of(words), lambda w: F.contains(x, F.lower(w)))
+    return F.array_compact(F.array(*[F.when(F.contains(x, F.lit(w.lower())), F.lit(w)) for w in words]))
 
 
 def extract_keywords(x: Column, words: list[str]) -> Column:
-    return keywords_in(F.lower(text_or_empty(x)), words)
+    return let(F.lower(text_or_empty(x)), lambda t: keywords_in(t, words))
 
 
 def match_keywords(x: Column, words: list[str]) -> Column:
     """As ``extract_keywords``, on text without blanks and commas."""
-    return keywords_in(norm_label(x), words)
+    return let(norm_label(x), lambda t: keywords_in(t, words))
 
 
 def ordered_distinct(*arrays: Column) -> Column:

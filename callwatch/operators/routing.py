@@ -23,7 +23,7 @@ def route_calls(calls: DataFrame, groups: list[dict] = L.ROUTING, threshold: flo
     group. Calls below the confidence threshold go to review: automatic replies
     become rechecks. Event ids depend on the call and the level, so retries
     don't double events. Null confidence counts as 0."""
-    first = F.get(_group_hits(F.lower(T.trim_ws(F.col("text"))), groups), F.lit(0))
+    first = T.let(F.lower(T.trim_ws(F.col("text"))), lambda t: F.get(_group_hits(t, groups), F.lit(0)))
     low = F.coalesce(F.col("confidence"), F.lit(0.0)) < threshold
     found = calls.withColumn("__g", first).filter(F.col("__g").isNotNull())
     recheck = low & (F.col("__g.action_type") == "auto_reply")
@@ -90,27 +90,23 @@ def weak_label(x: Column, role: Column) -> Column:
     none = F.array().cast("array<string>")
 
     def of(clean: Column) -> Column:
-        hits = F.struct(
-            T.keywords_in(clean, [*L.SHIP_REPORT_WORDS, *L.DISTRESS_WORDS]).alias("ship"),
-            F.when(role == "ship", none).otherwise(T.keywords_in(clean, L.OPERATOR_INSTRUCTION_WORDS)).alias("operator"),
-            T.keywords_in(clean, L.DISTRESS_WORDS).alias("distress"),
-            match_scenario(clean, L.HIGH_RISK).alias("high"),
-            match_scenario(clean, L.AUTO_REPLY).alias("auto"),
-            match_scenario(clean, L.MANUAL_ADVICE).alias("manual"),
-            match_scenario(clean, L.NON_HIGH_RISK).alias("other"),
-        )
-        return T.let(hits, decide)
+        said = F.struct(T.keywords_in(clean, [*L.SHIP_REPORT_WORDS, *L.DISTRESS_WORDS]).alias("ship"), F.when(role == "ship", none).otherwise(T.keywords_in(clean, L.OPERATOR_INSTRUCTION_WORDS)).alias("operator"))
+        # scenarios are matched for ships' calls only
+        return T.let(said, lambda b: F.when(role.isNull() | (role != "ship"), result("not_target", F.lit("none"), 0.90, none, "not_target", "not_target", b)).otherwise(T.let(scenarios(clean), lambda h: decide(h, b))))
 
-    def decide(h: Column) -> Column:
+    def scenarios(clean: Column) -> Column:
+        each = {"high": L.HIGH_RISK, "auto": L.AUTO_REPLY, "manual": L.MANUAL_ADVICE, "other": L.NON_HIGH_RISK}
+        return F.struct(T.keywords_in(clean, L.DISTRESS_WORDS).alias("distress"), *[match_scenario(clean, table).alias(k) for k, table in each.items()])
+
+    def decide(h: Column, b: Column) -> Column:
         high = T.ordered_distinct(h["distress"], h["high"]["hits"])
         kind = F.when(h["high"]["scenario"] == "unknown", F.lit("distress_call")).otherwise(h["high"]["scenario"])
         return (
-            F.when(role.isNull() | (role != "ship"), result("not_target", F.lit("none"), 0.90, none, "not_target", "not_target", h))
-            .when(F.size(high) > 0, result("high", kind, 0.90, high, "high_risk", "manual_immediate", h))
-            .when(F.size(h["auto"]["hits"]) > 0, result("normal", h["auto"]["scenario"], 0.84, h["auto"]["hits"], "non_high_risk", "auto_reply", h))
-            .when(F.size(h["manual"]["hits"]) > 0, result("uncertain", h["manual"]["scenario"], 0.70, h["manual"]["hits"], "non_high_risk", "llm_advice", h))
-            .when(F.size(h["other"]["hits"]) > 0, result("normal", h["other"]["scenario"], 0.72, h["other"]["hits"], "non_high_risk", "manual_or_rule_review", h))
-            .otherwise(result("uncertain", F.lit("unknown"), 0.35, none, "non_high_risk", "llm_advice", h))
+            F.when(F.size(high) > 0, result("high", kind, 0.90, high, "high_risk", "manual_immediate", b))
+            .when(F.size(h["auto"]["hits"]) > 0, result("normal", h["auto"]["scenario"], 0.84, h["auto"]["hits"], "non_high_risk", "auto_reply", b))
+            .when(F.size(h["manual"]["hits"]) > 0, result("uncertain", h["manual"]["scenario"], 0.70, h["manual"]["hits"], "non_high_risk", "llm_advice", b))
+            .when(F.size(h["other"]["hits"]) > 0, result("normal", h["other"]["scenario"], 0.72, h["other"]["hits"], "non_high_risk", "manual_or_rule_review", b))
+            .otherwise(result("uncertain", F.lit("unknown"), 0.35, none, "non_high_risk", "llm_advice", b))
         )
 
     return T.let(T.norm_label(x), of)
@@ -151,8 +147,8 @@ def fuse_analysis(calls: DataFrame, llm: DataFrame, audio: DataFrame) -> DataFra
     def keyed(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.col("segment_id").alias(f"__{name}_id"), F.struct(*[F.col(c) for c in ANALYSIS]).alias(f"__{name}"))
 
-    joined = calls.join(keyed(llm, "llm"), F.col("segment_id") == F.col("__llm_id"), "left").join(keyed(audio, "audio"), F.col("segment_id") == F.col("__audio_id"), "left")
-    rows = joined.withColumn("fallback", rule_fallback(F.col("text")))
+    judged = T.once(calls, "fallback", rule_fallback(F.col("text")))
+    joined = judged.join(keyed(llm, "llm"), F.col("segment_id") == F.col("__llm_id"), "left").join(keyed(audio, "audio"), F.col("segment_id") == F.col("__audio_id"), "left")
     l, a, fb = F.col("__llm"), F.col("__audio"), F.col("fallback")  # noqa: E741
     from_llm = l.isNotNull() & ((l["role"] != "unclear") | a.isNull())
     chosen = F.when(from_llm, l).when(a.isNotNull(), a)
@@ -173,7 +169,7 @@ def fuse_analysis(calls: DataFrame, llm: DataFrame, audio: DataFrame) -> DataFra
         )
         return F.when(x.isNull(), rules).otherwise(filled)
 
-    return rows.withColumn("__chosen", chosen).withColumn("final", final(F.col("__chosen"))).drop("__llm_id", "__audio_id", "__llm", "__audio", "__chosen")
+    return T.once(joined.withColumn("__chosen", chosen), "final", final(F.col("__chosen"))).drop("__llm_id", "__audio_id", "__llm", "__audio", "__chosen")
 
 
 def weak_label_manifest(calls: DataFrame, llm: DataFrame, audio: DataFrame) -> DataFrame:
