@@ -30,7 +30,8 @@ PATTERNS = {
 #: What a text must contain for a pattern to match at all.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "local_phone": r"[0-9]{3}[.-][0-9]{4}", "secret": "[0-9A-Fa-f]{32}"}
 
-_OCTET = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+# a part of zeros alone is 0
+_OCTET = r"(?:0*+(?:[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])|0++)"
 _IP = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 
 # What the labelers know.

@@ -493,6 +493,18 @@ def test_personal_data(spark, awkward):
     check_base(clashing(awkward.unionByName(frame(spark, rows))))
 
 
+def test_personal_data_addresses_with_zeros(spark):
+    alone = ["10.0.0.1", "0.0.0.0", "255.0.255.000", "192.168.0.1", "00.00.00.00", "007.08.0255.1", "0.0.0.0256"]
+    wrong = ["256.0.0.1", "0.0256.0.0", "0.0.0.999", "1.2.3"]
+    rng = random.Random(10)
+    parts = ["0", "00", "000", "1", "10", "025", "255", "0256", "256", "100"]
+    rows = list(enumerate(alone + wrong)) + [(100 + i, "x " + ".".join(rng.choice(parts) for _ in range(rng.randint(3, 9))) + " y") for i in range(100)]
+    rows += [(500, "0" * 3_000 + ".0.0." + "0" * 3_000)]
+    got = {r.doc_id: r.n_ip for r in check_base(frame(spark, rows))}
+    assert [got[i] for i in range(len(alone) - 1)] == [1] * (len(alone) - 1)
+    assert got[6] == got[7] == got[8] == got[9] == got[10] == 0 and got[500] == 1
+
+
 def test_personal_data_adds_spans(spark):
     secret = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"
     rows = [(i, f'mail me at u{i}@site.com or call +1 (555) 010-{1000 + i}, the api key "{secret[i % 7 :]}"') for i in range(40)]
