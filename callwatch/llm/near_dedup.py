@@ -148,8 +148,8 @@ def _shingle_rows(width: int):
 
 
 def _differences(width: int):
-    """(g, node, c, text, usual) -> (g, node, c, n, d, rest): the shingles that
-    a text has and its group's usual ones lack, or the reverse."""
+    """(g, node, v, c, text, usual) -> (g, node, v, c, n, d, rest): the shingles
+    that a text has and its group's usual ones lack, or the reverse."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -160,8 +160,8 @@ def _differences(width: int):
             rest = [np.setxor1d(x, values[i:j], assume_unique=True) for x, i, j in zip(sets, bounds[:-1], bounds[1:], strict=True)]
             upto = np.concatenate([[0], np.cumsum([len(x) for x in rest])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate([*rest, np.empty(0, np.uint64)]).view(np.int64)))
-            columns = [batch.column("g"), batch.column("node"), batch.column("c"), pa.array([len(x) for x in sets], pa.int64()), pa.array(np.diff(upto).astype(np.int64)), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["g", "node", "c", "n", "d", "rest"])
+            columns = [batch.column("g"), batch.column("node"), batch.column("v"), batch.column("c"), pa.array([len(x) for x in sets], pa.int64()), pa.array(np.diff(upto).astype(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["g", "node", "v", "c", "n", "d", "rest"])
 
     return run
 
@@ -183,7 +183,8 @@ def _across(members: DataFrame, texts_of: DataFrame, size: int, width: int, perc
     grows with those of its partner. With differences in one order, rarest first,
     the two then share one that at least t - 1 others follow in both. Few pairs
     do, as what is frequent among the differences comes last. No pair that could
-    link is lost.
+    link is lost. A node of rows that share an id may have several texts; each,
+    told by its hash v, has differences of its own.
     """
     one = members.groupBy(F.col("key").alias("__key")).agg(F.min("node").alias("b"))
     joined = components(members.join(one, F.col("key") == F.col("__key")).select(F.col("node").alias("a"), "b"))
@@ -195,25 +196,26 @@ def _across(members: DataFrame, texts_of: DataFrame, size: int, width: int, perc
     few = few.select("node", "n", "other", "m")
 
     large = nodes.join(counts.filter(F.col("size") > SMALL), F.col("g") == F.col("__g")).drop("__g")
-    own = written(large.join(texts_of.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node")).select("g", "node", "c", "size", "text"))
+    large = large.select("g", "node", "c", "size").distinct()
+    own = written(large.join(texts_of.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node")).select("g", "node", F.xxhash64("text").alias("v"), "c", "size", "text"))
     usual = map_arrow(own.select("g", "node", "text"), _shingle_rows(width), "g long, h long").groupBy("g", "h").agg(F.count("*").alias("k"))
     usual = usual.join(counts, F.col("g") == F.col("__g")).filter(2 * F.col("k") > F.col("size")).groupBy("g").agg(F.sort_array(F.collect_list("h")).alias("usual"))
     usual = written(in_tasks(usual, size)).withColumnRenamed("g", "__g")
-    with_usual = own.join(usual, F.col("g") == F.col("__g"), "left").select("g", "node", "c", "text", F.coalesce("usual", F.array().cast("array<long>")).alias("usual"))
-    apart = written(map_arrow(with_usual, _differences(width), "g long, node long, c long, n long, d long, rest array<long>"))
+    with_usual = own.join(usual, F.col("g") == F.col("__g"), "left").select("g", "node", "v", "c", "text", F.coalesce("usual", F.array().cast("array<long>")).alias("usual"))
+    apart = written(map_arrow(with_usual, _differences(width), "g long, node long, v long, c long, n long, d long, rest array<long>"))
     slack = (100 - percent) * F.col("n") - (100 + percent) * F.col("d")
     best = written(in_tasks(apart.withColumn("s", slack).groupBy(F.col("g").alias("__g")).agg(F.max("s").alias("most"), F.max_by("node", "s").alias("b")), size))
     placed = apart.withColumn("s", slack).join(best, F.col("g") == F.col("__g"))
     sure = written(in_tasks(placed.filter(F.col("s") + F.col("most") >= 0).select(F.col("node").alias("a"), "b"), size))
 
-    entries = placed.select("g", "node", "c", "n", "d", "s", "most", F.explode("rest").alias("h"))
+    entries = placed.select("g", "node", "v", "c", "n", "d", "s", "most", F.explode("rest").alias("h"))
     often = apart.select("g", F.explode("rest").alias("h")).groupBy(F.col("g").alias("__g"), F.col("h").alias("__h")).agg(F.count("*").alias("k"))
     counted = entries.join(often, (F.col("g") == F.col("__g")) & (F.col("h") == F.col("__h"))).drop("__g", "__h")
 
     def needed(s: Column, t: Column) -> Column:
         return F.greatest(F.lit(1), F.ceil(-(s + t) / (2 * (100 + percent))))
 
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("k", "h"))
+    rank = F.row_number().over(Window.partitionBy("node", "v").orderBy("k", "h"))
     prefix = counted.withColumn("rank", rank).filter((F.col("rank") <= F.col("d") - needed(F.col("s"), F.col("most")) + 1) & (F.col("k") > 1))
     prefix = written(prefix.select("g", "node", "c", "n", "s", "most", "h", (F.col("d") - F.col("rank") + 1).alias("left")))
     partner = prefix.select(F.col("g").alias("__g"), F.col("h").alias("__h"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("c").alias("__c"), F.col("s").alias("t"), F.col("left").alias("__left"))
@@ -257,7 +259,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     own = linkable.groupBy(F.col("doc_id").alias("a")).agg(F.min("fp1").alias("x"), F.max("fp1").alias("y")).filter("x <> y").select("a")
     same = linkable.join(classes.withColumnsRenamed({"fp1": "__1", "fp2": "__2", "n_shingles": "__n"}), (F.col("fp1") == F.col("__1")) & (F.col("fp2") == F.col("__2"))).join(own, F.col("doc_id") == F.col("a"), "left_semi")
     links = [written(same.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct())]
-    texts_of = written(restricted(plain, "doc_id", members.select("node")).select(F.col("doc_id").alias("node"), "text"))
+    # each text of a node once; only rows that share an id are shuffled for it
+    shared = linkable.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    chosen = restricted(plain, "doc_id", members.select("node"))
+    alone, several = (restricted(chosen, "doc_id", shared, how) for how in ("left_anti", "left_semi"))
+    texts_of = written(alone.unionByName(several.dropDuplicates(["doc_id", "text"])).select(F.col("doc_id").alias("node"), "text"))
     labels = written(components(links[0]))
     tested = None
     current = members.withColumn("c", F.col("node"))

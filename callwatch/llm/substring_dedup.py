@@ -87,7 +87,7 @@ def _facts(window: int, seed: int):
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = np.array([_print(t.split()) for t in texts(batch)], np.uint64).reshape(-1, 2).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(fp[:, 0].copy()), pa.array(fp[:, 1].copy()), batch.column("text")], ["fp1", "fp2", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp[:, 0].copy()), pa.array(fp[:, 1].copy()), batch.column("text")], ["doc_id", "fp1", "fp2", "text"])
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +218,12 @@ class Repeats:
         pairs = written(pairs.select("fp1", "fp2", "c_fp1", "c_fp2", F.col("p.place").alias("places"), F.col("p.c_place").alias("c_places")))
         named = pairs.select(F.explode(F.array(F.struct("fp1", "fp2"), F.struct(F.col("c_fp1").alias("fp1"), F.col("c_fp2").alias("fp2")))).alias("x")).select("x.*").distinct()
         ids = self.classes.join(named.withColumnsRenamed({"fp1": "__1", "fp2": "__2"}), (F.col("fp1") == F.col("__1")) & (F.col("fp2") == F.col("__2")), "left_semi").select("id")
-        self.texts = written(map_arrow(restricted(plain, "doc_id", ids), _printed, "fp1 long, fp2 long, text binary"))
+        # a class has one text; only rows that share an id, or have none, are shuffled for it
+        shared = long.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+        chosen = restricted(plain, "doc_id", ids)
+        alone, several = (map_arrow(restricted(chosen, "doc_id", shared, how), _printed, "doc_id long, fp1 long, fp2 long, text binary") for how in ("left_anti", "left_semi"))
+        several = several.join(self.classes.select(F.col("fp1").alias("__1"), F.col("fp2").alias("__2"), "id"), (F.col("fp1") == F.col("__1")) & (F.col("fp2") == F.col("__2")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+        self.texts = written(alone.unionByName(several.dropDuplicates(["fp1", "fp2"])).drop("doc_id"))
         own = pairs.join(self.texts.withColumnsRenamed({"fp1": "__1", "fp2": "__2"}), (F.col("fp1") == F.col("__1")) & (F.col("fp2") == F.col("__2"))).drop("__1", "__2")
         both = own.join(self.texts.select(F.col("fp1").alias("__1"), F.col("fp2").alias("__2"), F.col("text").alias("c_text")), (F.col("c_fp1") == F.col("__1")) & (F.col("c_fp2") == F.col("__2"))).drop("__1", "__2")
         self.matches = written(map_arrow(both, _extended(window, seed), "fp1 long, fp2 long, start int, end int, w1 long, w2 long"))

@@ -130,6 +130,21 @@ def test_repeats_edges(spark, nothing, awkward):
     assert {r.doc_id for r in spans} == {r.doc_id for r in got if r.n_removed}
 
 
+@pytest.mark.parametrize("shared_id", [True, False])
+def test_repeated_rows_count_once(spark, shared_id):
+    """Texts that share less than a window with a text whose rows repeat."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(12):
+        twice, other = ([f"{c}{i}x{rng.randint(0, 10**6)}" for _ in range(150)] for c in "ab")
+        other[60:94] = twice[40:74]
+        rows += [(i if shared_id else None, " ".join(twice))] * 2 + [(100 + i, " ".join(other))]
+    rows += [(3, " ".join(f"c{j}" for j in range(50))), (200, rows[0][1]), (200, rows[2][1] + " end")]
+    expected = collections.Counter((d, *x) for (d, _), x in zip(rows, brute_repeats([t for _, t in rows]), strict=True))
+    got = substring_dedup.remove_repeats(frame(spark, rows)).collect()
+    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == expected
+
+
 # 3 ---------------------------------------------------------------------------
 
 
@@ -357,6 +372,28 @@ def test_near_duplicates_match_brute_force(spark, width, copies):
     assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == brute_components(docs, width)
 
 
+def test_near_duplicates_of_repeated_rows(spark, monkeypatch):
+    """Five groups of one base: each text has five edits, of which its group
+    shares one, and just misses the least similarity with texts of other groups.
+    All is left to the last round, that of large groups."""
+    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", 0)
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(151)]
+    used, docs = [], []
+    for i in range(5):
+        shared = 30 * i + 1
+        for j in range(8):
+            at = {shared}
+            while len(at) < 5 or any(len(at & x) > 1 for x in used):
+                at = {shared, *(2 * p + 1 for p in rng.sample(range(75), 4))}
+            used.append(at)
+            docs.append((8 * i + j, " ".join(f"s{i}" if p == shared else f"e{i}_{j}_{p}" if p in at else w for p, w in enumerate(base))))
+    expected = brute_components(docs, 2)
+    assert len(docs) > near_dedup.SMALL and len({c for _, _, c, _ in expected}) == 5
+    got = near_dedup.near_duplicates(frame(spark, docs + docs), width=2)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(expected * 2)
+
+
 def test_near_duplicate_edges(spark, nothing, awkward):
     assert near_dedup.near_duplicates(nothing).count() == 0
     got = near_dedup.near_duplicates(awkward).collect()
