@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callwatch.llm.tokenizing import encoder
+from callwatch.llm.tokenizing import AT_ONCE, encoder
 from callwatch.llm.words import pieces
 from callwatch.runtime import map_arrow, written
 
@@ -19,8 +19,8 @@ GROUP = 1024
 
 def _lengths(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            lengths = encoder(path).lengths([x or "" for x in batch.column("text").cast(pa.string()).to_pylist()])
+        for batch in pieces(batches, AT_ONCE):
+            lengths = encoder(path).lengths(batch.column("text"))
             values, counts = np.unique(lengths, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(counts.astype(np.int64))], ["length", "n_docs"])
 

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callwatch.llm.tokenizing import encoder
+from callwatch.llm.tokenizing import AT_ONCE, encoder
 from callwatch.llm.words import pieces
 from callwatch.runtime import map_arrow, shared_dir, written
 
@@ -25,8 +25,8 @@ SCHEMA = "doc_id long, part int, offset long, n_tokens long, tokens array<int>"
 def _encoded(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, offset = TaskContext.get().partitionId(), 0
-        for batch in pieces(batches):
-            ids, counts = encoder(path).encode([x or "" for x in batch.column("text").cast(pa.string()).to_pylist()])
+        for batch in pieces(batches, AT_ONCE):
+            ids, counts = encoder(path).encode(batch.column("text"))
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, end).astype(np.int32)
             starts = np.concatenate([[0], np.cumsum(counts + 1)])

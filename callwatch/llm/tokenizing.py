@@ -4,61 +4,27 @@ from __future__ import annotations
 
 import json
 import os
-import re
-from collections.abc import Iterable
-from functools import lru_cache
-from itertools import chain, islice
+from functools import lru_cache, reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are parallel already
 
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Pieces a task remembers the ids of before it drops those met only once.
-REMEMBERED = 300_000
+#: Pieces a worker remembers the ids of before it drops those met least.
+REMEMBERED = 1_000_000
+#: Bytes of text that are cut into pieces at once.
+AT_ONCE = 8_000_000
+#: New pieces that are encoded as one text.
+TOGETHER = 500
 
-_PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-#: White space, in any reading of the term, other than the four of ``_PIECE``.
-_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
-
-#: Numbers of pieces that are not words after a blank, and of whole texts, begin here.
-OTHERS, ONCE = 1 << 28, 1 << 29
-
-
-class _Numbers(dict):
-    """Numbers keys as they are met, from 0."""
-
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        return n
-
-
-class _Known:
-    """Pieces whose ids are remembered: numbers by key and, by number, where
-    their ids begin in the encoder's list, how many they are, and uses."""
-
-    def __init__(self):
-        self.numbers = _Numbers()
-        self.start = self.length = self.uses = np.empty(0, np.int64)
-
-    def new(self) -> list[str]:
-        """The keys met since ``add``."""
-        return list(islice(self.numbers, len(self.start), None))
-
-    def add(self, start: np.ndarray, length: np.ndarray) -> None:
-        self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
-        self.uses = np.concatenate([self.uses, np.zeros(len(start), np.int64)])
-
-    def keep(self, least: int) -> None:
-        """Only the pieces used more than ``least`` times, uses counted afresh."""
-        stay = self.uses > least
-        numbers = _Numbers()
-        for key, n in self.numbers.items():
-            if stay[n]:
-                numbers[key] = len(numbers)
-        self.numbers, self.start, self.length = numbers, self.start[stay], self.length[stay]
-        self.uses = np.zeros(len(numbers), np.int64)
+#: White space, in any reading of the term, other than blank, tab and line ends; and the cut.
+_OTHER_SPACE = r"[\x00\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_UNEVEN = r"[ \n][ \n]|[\t\r]"
+_CUT = "\x00"
 
 
 class Encoder:
@@ -84,92 +50,106 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)
-        self.words, self.others = _Known(), _Known()
+        # the pieces remembered: where their ids begin in ``ids``, how many they are, and uses
+        self.known = pa.array([], pa.string())
+        self.start = self.length = self.uses = np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
 
     def _forget(self) -> None:
         """Drops the pieces met least, half of those remembered at least."""
-        uses = np.concatenate([self.words.uses, self.others.uses])
-        least = max(1, int(np.partition(uses, len(uses) // 2)[len(uses) // 2])) if len(uses) else 1
-        kept = []
-        at = 0
-        for known in (self.words, self.others):
-            known.keep(least)
-            upto = np.cumsum(known.length)
-            total = int(upto[-1]) if len(upto) else 0
-            kept.append(self.ids[np.repeat(known.start - upto + known.length, known.length) + np.arange(total)])
-            known.start = at + upto - known.length
-            at += total
-        self.ids = np.concatenate(kept)
-
-    def _numbers(self, text: str, once: list[str]) -> Iterable[int]:
-        if not text:
-            return []
-        if not self.by_piece or any(x in text for x in self.special) or not text.isascii() and _OTHER_SPACE.search(text):
-            once.append(text)
-            return [ONCE + len(once) - 1]
-        if " ".join(text.split()) != text.replace("\n", " "):
-            # white space other than a single blank or line end between words
-            if _OTHER_SPACE.search(text):
-                once.append(text)
-                return [ONCE + len(once) - 1]
-            return [OTHERS + self.others.numbers[x] for x in _PIECE.findall(text)]
-        # words, each after a blank or, where they begin with one, a line end
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return chain([OTHERS + self.others.numbers[first]], map(self.words.numbers.__getitem__, rest))
+        least = max(1, int(np.partition(self.uses, len(self.uses) // 2)[len(self.uses) // 2])) if len(self.uses) else 1
+        stay = self.uses > least
+        self.known, start, self.length = self.known.filter(pa.array(stay)), self.start[stay], self.length[stay]
+        upto = np.cumsum(self.length)
+        self.ids = self.ids[np.repeat(start - upto + self.length, self.length) + np.arange(self.length.sum())]
+        self.start = upto - self.length
+        self.uses = np.zeros(len(self.known), np.int64)
+
+    def _cut(self, texts: pa.Array) -> pa.ListArray:
+        """The pieces of each text."""
+        even = pc.invert(pc.match_substring_regex(texts, _UNEVEN))
+        if pc.all(even).as_py():
+            marked = reduce(lambda x, c: pc.replace_substring(x, c, _CUT + c), " \n", texts)
+            # a blank at the very beginning opens the first piece
+            marked = pc.replace_substring_regex(marked, rf"\A{_CUT}", "")
+        else:
+            marked = pc.replace_substring_regex(texts, r"([^ \n\t\r])([ \n\t\r])", rf"\1{_CUT}\2")
+        return pc.split_pattern(marked, _CUT)
 
     def _each(self, pieces: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
         """Ids of each piece, encoded for itself, and their numbers."""
         found = []
-        for i in range(0, len(pieces), 500):
-            found += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(pieces[i : i + 500], add_special_tokens=False)]
+        for i in range(0, len(pieces), TOGETHER):
+            found += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(pieces[i : i + TOGETHER], add_special_tokens=False)]
         return found, np.fromiter(map(len, found), np.int64, len(found))
 
-    def _together(self, keys: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-        """As ``_each`` for words, several in one text and told apart by bytes."""
+    def _together(self, pieces: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        """As ``_each`` for pieces that begin with white space and end with a
+        word, several in one text and told apart by bytes."""
         found, sizes = [], [np.empty(0, np.int64)]
-        for i in range(0, len(keys), 500):
-            pieces = [x if x[0] == "\n" else f" {x}" for x in keys[i : i + 500]]
-            text = "".join(pieces)
-            lengths = list(map(len, pieces)) if text.isascii() else [len(x.encode()) for x in pieces]
+        lengths = pc.binary_length(pieces).to_numpy().astype(np.int64)
+        for i in range(0, len(pieces), TOGETHER):
+            text = "".join(pieces[i : i + TOGETHER].to_pylist())
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(lengths), "left") + 1
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(lengths[i : i + TOGETHER]), "left") + 1
             found.append(ids)
             sizes.append(np.diff(ends, prepend=0))
         return found, np.concatenate(sizes)
 
-    def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _learn(self, new: pa.Array) -> None:
+        joins = pc.match_substring_regex(new, r"\A[ \n\t\r][^\x00]*[^ \n\t\r]\z")
+        for pieces, encode in ((new.filter(joins), self._together), (new.filter(pc.invert(joins)), lambda x: self._each(x.to_pylist()))):
+            found, sizes = encode(pieces)
+            self.known = pa.concat_arrays([self.known, pieces])
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.length = np.concatenate([self.length, sizes])
+            self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int64)])
+            self.ids = np.concatenate([self.ids, *found])
+
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Where the ids of all texts' pieces begin in a list of ids, how many each
         has, how many pieces each text has, and the list."""
-        if len(self.words.numbers) + len(self.others.numbers) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self._forget()
-        once: list[str] = []
-        parts = [np.fromiter(self._numbers(text, once), np.int32) for text in texts]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        numbers = np.concatenate([*parts, np.empty(0, np.int32)])
-        for known, encode in ((self.words, self._together), (self.others, self._each)):
-            found, sizes = encode(known.new())
-            known.add(len(self.ids) + np.cumsum(sizes) - sizes, sizes)
-            self.ids = np.concatenate([self.ids, *found])
-        whole, sizes = self._each(once)
-        ids = np.concatenate([self.ids, *whole]) if once else self.ids
-        w, o = len(self.words.start), len(self.others.start)
-        numbers = numbers + np.where(numbers >= ONCE, w + o - ONCE, np.where(numbers >= OTHERS, w - OTHERS, 0)).astype(np.int32)
-        uses = np.bincount(numbers, minlength=w + o)
-        self.words.uses += uses[:w]
-        self.others.uses += uses[w : w + o]
-        start = np.concatenate([self.words.start, self.others.start, len(self.ids) + np.cumsum(sizes) - sizes])
-        length = np.concatenate([self.words.length, self.others.length, sizes])
-        return start[numbers], length[numbers], counts, ids
-
-    def lengths(self, texts: list[str]) -> np.ndarray:
-        _, sizes, counts, _ = self._pieces(texts)
+        whole = np.full(len(texts), not self.by_piece)
+        if self.by_piece and len(texts):
+            tests = [pc.match_substring_regex(texts, _OTHER_SPACE), *(pc.match_substring(texts, x) for x in self.special)]
+            whole = reduce(pc.or_, tests).to_numpy(zero_copy_only=False)
+        cut = self._cut(texts.filter(pa.array(~whole)))
+        coded = cut.flatten().dictionary_encode()
+        at = pc.index_in(coded.dictionary, value_set=self.known)
+        new = coded.dictionary.filter(at.is_null())
+        if len(new):
+            place = pc.fill_null(at, -1).to_numpy().copy()
+            before = len(self.known)
+            self._learn(new)
+            place[place < 0] = before + pc.index_in(new, value_set=self.known[before:]).to_numpy()
+        else:
+            place = at.to_numpy()
+        numbers = place[coded.indices.to_numpy()].astype(np.int64)
+        self.uses += np.bincount(numbers, minlength=len(self.known))
+        counts = np.ones(len(texts), np.int64)
+        counts[~whole] = np.diff(cut.offsets.to_numpy())
+        start, length, ids = self.start[numbers], self.length[numbers], self.ids
+        if whole.any():
+            found, sizes = self._each(texts.filter(pa.array(whole)).to_pylist())
+            own = np.zeros(int(counts.sum()), bool)
+            own[(np.cumsum(counts) - 1)[whole]] = True
+            start, length = (np.zeros(len(own), np.int64) for _ in range(2))
+            start[~own], length[~own] = self.start[numbers], self.length[numbers]
+            start[own], length[own] = len(ids) + np.cumsum(sizes) - sizes, sizes
+            ids = np.concatenate([ids, *found])
+        return start, length, counts, ids
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text; null as empty."""
+        _, sizes, counts, _ = self._pieces(pc.fill_null(texts.cast(pa.string()), ""))
         upto = np.concatenate([[0], np.cumsum(sizes)])
         return np.diff(upto[np.cumsum(counts)], prepend=0)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and the number for each text."""
-        starts, sizes, counts, ids = self._pieces(texts)
+        starts, sizes, counts, ids = self._pieces(pc.fill_null(texts.cast(pa.string()), ""))
         upto = np.concatenate([[0], np.cumsum(sizes)])
         at = np.repeat(starts - upto[:-1], sizes) + np.arange(upto[-1])
         return ids[at], np.diff(upto[np.cumsum(counts)], prepend=0)

@@ -8,6 +8,9 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -16,7 +19,7 @@ from callwatch.llm import decontamination, graph, mixing, near_dedup, pii, quali
 
 from .conftest import WORD, clashing, frame
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def found(text):
@@ -264,22 +267,35 @@ def test_mixture_edges(spark, nothing, awkward):
 
 # 5, 9 ------------------------------------------------------------------------
 
-ODD = ["", "a  b", "\n\na b \n c", "x<|endoftext|>y", "a\x1cb c  ", " lead", "trail  ", "tab\t\tq\r\nz", "don't  we'll\n'll", "\x0b\x0c", "a b c", "naïve 東京 🚢 x", "1234 5678\n9", "-- ==\n\n\n"]
+ODD = ["", "a  b", "\n\na b \n c", "x<|endoftext|>y", "a\x1cb c  ", " lead", "trail  ", "tab\t\tq\r\nz", "don't  we'll\n'll", "\x0b\x0c", "a\xa0b c", "naïve 東京 🚢 x", "1234 5678\n9", "-- ==\n\n\n", " ", "\na", "a\n", "x\x00y z"]
 
 
-def test_pieces_encode_as_whole_texts():
+@pytest.mark.parametrize("at_once", [1, 9, 1000])
+def test_pieces_encode_as_whole_texts(at_once):
     e, whole = tokenizing.Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
     rng = random.Random(4)
-    texts = ODD + ["".join(rng.choice(["a", "B", " ", "\n", "  ", "é", "9", "'s", "!", "\t", "東", " ", "word"]) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    parts = ["a", "B", " ", "\n", "é", "9", "'s", "!", " x", "東", "word", "  ", "\t", "\x85", "\xa0", "\x00"]
+    texts = ODD + ["".join(rng.choice(parts[: 9 + i % 8]) for _ in range(rng.randint(0, 40))) for i in range(400)]
     for _ in range(2):
-        ids, counts = e.encode(texts)
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        for t, a, b in zip(texts, bounds, bounds[1:]):
-            assert whole.encode(t, add_special_tokens=False).ids == ids[a:b].tolist(), repr(t)
-        assert e.lengths(texts).tolist() == counts.tolist()
+        for i in range(0, len(texts), at_once):
+            some = texts[i : i + at_once]
+            ids, counts = e.encode(pa.array(some))
+            bounds = np.concatenate([[0], np.cumsum(counts)])
+            for t, a, b in zip(some, bounds, bounds[1:]):
+                assert whole.encode(t, add_special_tokens=False).ids == ids[a:b].tolist(), repr(t)
+            assert e.lengths(pa.array(some)).tolist() == counts.tolist()
         e._forget()
 
 
+def test_encoder_forgets_pieces(monkeypatch):
+    monkeypatch.setattr(tokenizing, "REMEMBERED", 20)
+    e, whole = tokenizing.Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    for i in range(30):
+        text = " ".join(f"t{j}" for j in range(i, 2 * i))
+        assert e.encode(pa.array([text, None]))[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert len(e.known) <= 20 + 2 * 30
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files(spark, awkward, tmp_path, encoding):
     df = awkward.unionByName(frame(spark, [(50 - i, t) for i, t in enumerate(ODD)]))
@@ -302,6 +318,41 @@ def test_token_files(spark, awkward, tmp_path, encoding):
     assert {r.doc_id for r in some.collect()} == set(range(40, 46))
 
 
+@pytest.mark.parametrize(("encoding", "used"), [("dictionary", {"PLAIN_DICTIONARY", "RLE_DICTIONARY"}), ("delta", {"DELTA_BINARY_PACKED"})])
+def test_token_file_layout(spark, tmp_path, encoding, used):
+    rng = random.Random(6)
+    docs = frame(spark, [(i, " ".join(f"w{rng.randint(0, 300)}" for _ in range(400))) for i in range(600)])
+    path = str(tmp_path / "t")
+    token_files.write_tokens(docs.coalesce(1), path, TOKENIZER, encoding=encoding, row_group_bytes=64 * 2**10, page_bytes=8 * 2**10)
+    groups = 0
+    for file in tmp_path.glob("t/*.parquet"):
+        told = pq.ParquetFile(file).metadata
+        groups += told.num_row_groups
+        for g in range(told.num_row_groups):
+            ids = told.row_group(g).column(4)
+            assert ids.path_in_schema.startswith("tokens") and used & set(ids.encodings)
+            assert ids.has_column_index and ids.has_offset_index
+            assert told.row_group(g).column(0).statistics.has_min_max
+    assert groups > len(list(tmp_path.glob("t/*.parquet")))
+    some = token_files.read_tokens(spark, path, 100, 110)
+    assert "GreaterThanOrEqual(doc_id,100)" in some._jdf.queryExecution().toString()
+    assert sorted(r.doc_id for r in some.collect()) == list(range(100, 111))
+    # a narrow read leaves the ids out of the scan
+    assert "ReadSchema: struct<doc_id:bigint,n_tokens:bigint>" in some.select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_token_files_of_one_hot_id_and_long_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "AT_ONCE", 100)
+    rows = [(7, f"same id {i}") for i in range(300)] + [(7, "again")] * 50 + [(8, "long " * 3000), (None, "x y"), (9, None)]
+    got = token_files.round_trip(clashing(frame(spark, rows)), TOKENIZER).collect()
+    whole = Tokenizer.from_file(TOKENIZER)
+    assert collections.Counter((r.doc_id, r.n_tokens) for r in got) == collections.Counter((d, len(whole.encode(t or "", add_special_tokens=False).ids) + 1) for d, t in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+
+
 def test_token_file_edges(spark, nothing, tmp_path):
     assert token_files.round_trip(nothing, TOKENIZER).count() == 0
     with pytest.raises(ValueError, match="encoding"):
