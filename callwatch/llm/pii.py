@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callwatch.llm.words import let
+from callwatch.llm.words import let, running, running_sums
 from callwatch.runtime import written
 
 BASE = ("email", "ip", "card", "phone")
@@ -34,9 +34,9 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "ph
 _OCTET = r"(?:0*+(?:[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])|0++)"
 _IP = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 
-# What the labelers know.
+# What the labelers know. No pattern recurs over a span's length.
 STRICT = {
-    "email": r"^[A-Za-z0-9][A-Za-z0-9_%+-]*(\.[A-Za-z0-9_%+-]+)*@([A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}$",
+    "email": r"^[A-Za-z0-9][A-Za-z0-9_%+-]*+(?:\.[A-Za-z0-9_%+-]++)*+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*+(?<!-))?\.)++[A-Za-z]{2,}$",
     "ip": r"^(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}$",
     "card": r"^[3-6][0-9]{13,15}$|^[3-6][0-9]{3}([\x20-][0-9]{4}){3}$",
     "number": r"^[3-6][0-9]{13,15}$",
@@ -44,43 +44,74 @@ STRICT = {
     "local_phone": r"^\([2-9][0-9]{2}\)|^[2-9][0-9]{2}[.-][2-9]",
     "secret": r"^(?=.*[0-9])(?=.*[A-Fa-f]).{32,64}$",
 }
+#: Entries of each kind's gazetteer and the pattern that an entry must fill.
+#: One that isn't complete says nothing of a span that is not listed.
 GAZETTEER = {
-    "email": r"\.(com|org|net|edu|gov|info|biz|io|co|eu|us|uk|de|fr|es|it|nl|at|ch)$",
-    "ip": r"^(?!0|10\.|127\.|169\.254\.|192\.168\.|22[4-9]\.|2[3-5][0-9]\.)",
-    "card": r"^(4|5[1-5]|2[2-7]|3[47]|6011|65)",
-    "number": r"^(4|5[1-5]|2[2-7]|3[47]|6011|65)",
-    "phone": r"^\+(1|7|20|27|3[0-9]|4[0-9]|5[0-9]|6[0-6]|81|82|86|9[0-8])",
+    "email": ("com org net edu gov mil int info biz name pro aero coop museum io co me tv ai app dev eu us uk ca au nz ie de at ch li fr be lu nl es pt it gr mt cy dk se no fi is ee lv lt pl cz sk hu si hr rs ro bg ua ru by tr il in pk cn hk tw jp kr sg my th vn id ph za ng ke eg ma br ar cl mx pe uy ve".split(), r"\.(?:{})$"),
+    "ip": ("127 10 169.254 192.168 224 239 255 0".split(), r"^(?!(?:{})\.)"),
+    "card": ("4 51 52 53 54 55 222 223 224 225 226 227 228 229 23 24 25 26 270 271 2720 34 37 36 38 39 300 301 302 303 304 305 6011 644 645 646 647 648 649 65 352 353 354 355 356 357 358".split(), r"^(?:{})"),
+    "number": ("4 51 52 53 54 55 222 223 224 225 226 227 228 229 23 24 25 26 270 271 2720 34 37 6011 65".split(), r"^(?:{})"),
+    "phone": ("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 85 87 88 96 97 99".split(), r"^\+(?:{})"),
+    # area codes do not repeat their last two digits as 11, nor begin with 37 or 96
+    "local_phone": ("0 1 .11 37 96".split(), r"^\(?(?!{})"),
+    # lengths at which keys and digests are issued
+    "secret": ("32 40 48 56 64 96 128".split(), r"^(?:.{{{}}})$"),
 }
 CUES = {
-    "email": r"mail|contact|write|address|kontakt|courriel|correo",
-    "ip": r"\bip\b|host|server|addr|login|client",
-    "card": r"card|visa|master|pay|credit|karte|carte|tarjeta",
-    "number": r"card|visa|master|pay|credit|account|iban|karte|carte|tarjeta|konto|compte|cuenta",
-    "phone": r"call|tel|phone|fax|mobile|handy|anruf|appel|llam",
-    "local_phone": r"call|tel|phone|fax|mobile",
-    "secret": r"key|token|secret|passw|api|auth|bearer",
+    "email": "mail contact write address kontakt courriel correo".split(),
+    "ip": "ip host server addr login client".split(),
+    "card": "card visa master pay credit karte carte tarjeta".split(),
+    "number": "card visa master pay credit account iban karte carte tarjeta konto compte cuenta".split(),
+    "phone": "call tel phone fax mobile handy anruf appel llam".split(),
+    "local_phone": "call tel phone fax mobile".split(),
+    "secret": "key token secret passw api auth bearer".split(),
 }
-AGAINST = r"version|isbn|issn|page|chapter|section|article|license|figure|sha1|sha256|md5|commit|checksum"
+AGAINST = "version isbn issn page chapter section article license figure sha1 sha256 md5 commit checksum".split()
 #: Characters before a span in which cues are sought.
 CONTEXT = 32
+INCOMPLETE = ("secret",)
+#: Kinds whose shape alone says little: without a cue, context votes against.
+NEED_CUE = ("number", "secret")
 LABELERS = ("regex", "gazetteer", "context")
+#: What the span classifier sees: the span's length and variety of characters,
+#: the kinds of characters beside it, and whether text before it holds a cue.
+FEATURES = ("length", "distinct", "left", "right", "context")
+BESIDE = (r"^$", r"[\s]", r"[\"'`=:<>(\[{]", r"[\p{L}\p{N}]")
+
+
+@dataclass(frozen=True)
+class Knowledge:
+    """What the labelers go by: gazetteers (entries, pattern) and cue words by
+    kind, and the words that speak against any kind."""
+
+    gazetteer: dict[str, tuple[list[str], str]] = field(default_factory=lambda: dict(GAZETTEER))
+    cues: dict[str, list[str]] = field(default_factory=lambda: dict(CUES))
+    against: list[str] = field(default_factory=lambda: list(AGAINST))
+
+    def listed(self, kind: str) -> str:
+        entries, pattern = self.gazetteer[kind]
+        if kind == "secret":
+            return "|".join(pattern.format(n) for n in entries)
+        if kind == "local_phone":
+            return "".join([r"^\(?", *(f"(?!{x})" for x in entries)])
+        return pattern.format("|".join(x.replace(".", r"\.") for x in entries))
 
 
 def found(text: Column, kind: str) -> Column:
-    """The matches of a kind's pattern as structs (start, end, word), in code
-    points: what splitting at the pattern leaves lies between its matches."""
-    none = F.array().cast("array<struct<start:int,end:int,word:string>>")
+    """The matches of a kind's pattern as structs (start, end, word, before,
+    after), places in code points. Splitting at the pattern leaves what lies
+    between the matches; ``before`` is the end of that, up to ``CONTEXT``
+    characters, and ``after`` the character behind the match."""
+    none = F.array().cast("array<struct<start:int,end:int,word:string,before:string,after:string>>")
 
     def placed(parts: Column, words: Column) -> Column:
-        zero = F.struct(F.array().cast("array<struct<start:int,end:int,word:string>>").alias("spans"), F.lit(0).alias("at"))
+        widths = F.transform(words, lambda w, i: F.length(w) + F.length(F.get(parts, i)))
 
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(parts, i))
-            end = start + F.length(F.get(words, i))
-            one = F.struct(start.alias("start"), end.alias("end"), F.get(words, i).alias("word"))
-            return F.struct(F.concat(acc["spans"], F.array(one)).alias("spans"), end.alias("at"))
+        def one(word: Column, i: Column, ends: Column) -> Column:
+            end = F.get(ends, i)
+            return F.struct((end - F.length(word)).alias("start"), end.alias("end"), word.alias("word"), F.right(F.get(parts, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(parts, i + 1), F.lit(1)).alias("after"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(words) - 1), zero, step, lambda acc: acc["spans"])
+        return let(running_sums(widths), lambda ends: F.transform(words, lambda w, i: one(w, i, ends)))
 
     pattern = F.lit(PATTERNS[kind])
     words = F.regexp_extract_all(text, pattern, F.lit(0))
@@ -111,109 +142,154 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, F.lit(1)).when(no, F.lit(0)).otherwise(F.lit(-1))
 
 
-def candidates(text: Column) -> Column:
-    """All candidate spans of a text: structs of kind, start, end, the three
-    votes and a class of lengths. Candidates of further kinds that touch a base
-    span are left out."""
+def _beside(character: Column) -> Column:
+    """0 at an end of the text, then by ``BESIDE``; its length for any other."""
+    chosen = F.lit(len(BESIDE))
+    for i in reversed(range(len(BESIDE))):
+        chosen = F.when(character.rlike(BESIDE[i]), F.lit(i)).otherwise(chosen)
+    return chosen
+
+
+def _apart(spans: Column, taken: Column) -> Column:
+    """The spans that overlap none of ``taken``. Both are ordered by their starts
+    together, so that a text with many of either stays cheap."""
+    last = 2**31 - 1
+
+    def of(spans: Column) -> Column:
+        def sought(marks: Column) -> Column:
+            ends = running(F.transform(marks, lambda m: F.when(m["i"] < 0, m["end"]).otherwise(0)), lambda a, b: F.greatest(a, b))
+            starts = F.reverse(running(F.transform(F.reverse(marks), lambda m: F.when(m["i"] < 0, m["start"]).otherwise(last)), lambda a, b: F.least(a, b), last))
+            alone = lambda m, e, n: F.when((m["i"] >= 0) & (e <= m["start"]) & (n >= m["end"]), m["i"])
+            places = let(ends, lambda e: let(starts, lambda n: F.transform(marks, lambda m, i: alone(m, F.get(e, i), F.get(n, i)))))
+            return F.transform(F.array_compact(places), lambda i: F.get(spans, i))
+
+        own = F.transform(spans, lambda x, i: F.struct(x["start"].alias("start"), i.alias("i"), x["end"].alias("end")))
+        others = F.transform(taken, lambda x: F.struct(x["start"].alias("start"), F.lit(-1).alias("i"), x["end"].alias("end")))
+        return F.when((F.size(spans) == 0) | (F.size(taken) == 0), spans).otherwise(let(F.sort_array(F.concat(own, others)), sought))
+
+    return let(spans, of)
+
+
+def candidates(docs: DataFrame, knowledge: Knowledge | None = None) -> DataFrame:
+    """(doc_id, found): all candidate spans of each text, as structs of kind,
+    start, end, the three votes and the classifier's features. Candidates of
+    further kinds that touch a base span are left out."""
+    known = knowledge or Knowledge()
 
-    def voted(spans: Column, kind: str, text: Column) -> Column:
+    def voted(spans: Column, kind: str) -> Column:
         def of(x: Column) -> Column:
-            before = F.lower(F.substring(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT))))
+            before = F.lower(x["before"])
             strict = x["word"].rlike(STRICT[kind])
-            listed = x["word"].rlike(GAZETTEER[kind]) if kind in GAZETTEER else None
+            listed = F.lower(x["word"]).rlike(known.listed(kind)) if kind in known.gazetteer else None
+            cue = before.rlike("|".join(known.cues[kind])) & ~before.rlike("|".join(known.against))
+            variety = F.size(F.array_distinct(F.split(F.left(x["word"], F.lit(128)), "")))
             return F.struct(
                 F.lit(kind).alias("kind"),
                 x["start"].alias("start"),
                 x["end"].alias("end"),
                 _vote(strict, ~strict).alias("regex"),
-                (F.lit(-1) if listed is None else _vote(listed, ~listed)).alias("gazetteer"),
-                _vote(before.rlike(CUES[kind]), before.rlike(AGAINST)).alias("context"),
+                (F.lit(-1) if listed is None else _vote(listed, F.lit(kind not in INCOMPLETE))).alias("gazetteer"),
+                _vote(cue, F.lit(True) if kind in NEED_CUE else before.rlike("|".join(known.against))).alias("context"),
                 F.least(F.lit(7), F.floor((x["end"] - x["start"]) / 8).cast("int")).alias("length"),
+                F.least(F.lit(3), F.floor(variety / 5).cast("int")).alias("distinct"),
+                _beside(F.right(x["before"], F.lit(1))).alias("left"),
+                _beside(x["after"]).alias("right"),
             )
 
         return F.transform(spans, of)
 
-    def apart(spans: Column, taken: Column) -> Column:
-        return F.filter(spans, lambda x: ~F.exists(taken, lambda t: (x["start"] < t["end"]) & (t["start"] < x["end"])))
-
-    def of(text: Column) -> Column:
-        def all_kinds(cards: Column) -> Column:
-            base = {
-                "email": found(text, "email"),
-                "ip": F.filter(found(text, "ip"), lambda x: x["word"].rlike(_IP)),
-                "card": F.filter(cards, lambda x: luhn(x["word"])),
-                "phone": F.filter(found(text, "phone"), lambda x: F.length(digits(x["word"])).between(9, 15)),
-            }
-            kept = F.concat(*[voted(base[k], k, text) for k in BASE])
-            more = {"number": F.filter(cards, lambda x: ~luhn(x["word"])), "local_phone": found(text, "local_phone"), "secret": found(text, "secret")}
-            return let(kept, lambda b: F.concat(b, *[voted(apart(more[k], b), k, text) for k in EXTRA]))
-
-        return let(found(text, "card"), all_kinds)
-
-    return let(F.coalesce(text, F.lit("")), of)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # each step is a projection of its own: columns that the next one names several times are evaluated once
+    matched = docs.select("doc_id", *[found(text, k).alias(k) for k in PATTERNS])
+    base = {
+        "email": F.col("email"),
+        "ip": F.filter("ip", lambda x: x["word"].rlike(_IP)),
+        "card": F.filter("card", lambda x: luhn(x["word"])),
+        "phone": F.filter("phone", lambda x: F.length(digits(x["word"])).between(9, 15)),
+    }
+    extra = {"number": F.filter("card", lambda x: ~luhn(x["word"])), "local_phone": F.col("local_phone"), "secret": F.col("secret")}
+    split = matched.select("doc_id", F.concat(*[voted(base[k], k) for k in BASE]).alias("base"), *[extra[k].alias(k) for k in EXTRA])
+    return split.select("doc_id", F.concat("base", *[voted(_apart(F.col(k), F.col("base")), k) for k in EXTRA]).alias("found"))
 
 
 @dataclass
 class Votes:
-    """What expectation maximisation has learnt of the labelers, and the weights
-    of the span classifier (log odds by feature value)."""
+    """What expectation maximisation has learnt: each labeler's reliability (right
+    on personal spans, right on others), the probability of each (kind, votes),
+    and the span classifier's log odds by kind, and by kind, feature and value."""
 
     reliability: dict[str, tuple[float, float]] = field(default_factory=dict)
-    weights: dict[str, dict] = field(default_factory=dict)
-    bias: float = 0.0
+    personal: dict[tuple, float] = field(default_factory=dict)
+    prior: dict[str, float] = field(default_factory=dict)
+    weights: dict[tuple[str, str, int], float] = field(default_factory=dict)
 
 
-def learn(patterns: list[dict], rounds: int = 50) -> Votes:
-    """Estimates from counts of vote patterns (kind, the votes, length, n).
-
-    A span is personal with a probability by kind; a labeler that speaks is right
-    with a probability for personal spans and another for the rest. Rounds of
-    expectation and maximisation from a majority vote give these and each
-    pattern's probability. The classifier is a naive Bayes one on kind, votes and
-    length, trained on the patterns with these probabilities as labels.
-    """
-    if not patterns:
-        return Votes()
-    at = [min(0.95, max(0.05, (1 + sum(p[x] == 1 for x in LABELERS)) / (2 + sum(p[x] >= 0 for x in LABELERS)))) for p in patterns]
+def estimate(counts: dict[tuple, int], rounds: int = 50) -> tuple[dict[str, tuple[float, float]], dict[tuple, float]]:
+    """Reliabilities and probabilities from counts of (kind, regex, gazetteer,
+    context). A span is personal with a probability by kind; a labeler that
+    speaks is right with one probability for personal spans and another for the
+    rest. Rounds of expectation and maximisation start from a majority vote."""
+    at = {p: min(0.95, max(0.05, (1 + sum(v == 1 for v in p[1:])) / (2 + sum(v >= 0 for v in p[1:])))) for p in counts}
     reliability: dict[str, tuple[float, float]] = {}
     for _ in range(rounds):
         prior = {}
-        for kind in {p["kind"] for p in patterns}:
-            own = [(p["n"], q) for p, q in zip(patterns, at, strict=True) if p["kind"] == kind]
-            prior[kind] = (1 + sum(n * q for n, q in own)) / (2 + sum(n for n, _ in own))
-        for x in LABELERS:
-            said = [(p["n"], q, p[x]) for p, q in zip(patterns, at, strict=True) if p[x] >= 0]
-            yes = (2 + sum(n * q for n, q, v in said if v == 1)) / (3 + sum(n * q for n, q, _ in said))
-            no = (2 + sum(n * (1 - q) for n, q, v in said if v == 0)) / (3 + sum(n * (1 - q) for n, q, _ in said))
+        for kind in {p[0] for p in counts}:
+            own = [p for p in counts if p[0] == kind]
+            prior[kind] = (1 + sum(counts[p] * at[p] for p in own)) / (2 + sum(counts[p] for p in own))
+        for i, x in enumerate(LABELERS, 1):
+            said = [p for p in counts if p[i] >= 0]
+            yes = (2 + sum(counts[p] * at[p] for p in said if p[i] == 1)) / (3 + sum(counts[p] * at[p] for p in said))
+            no = (2 + sum(counts[p] * (1 - at[p]) for p in said if p[i] == 0)) / (3 + sum(counts[p] * (1 - at[p]) for p in said))
             reliability[x] = (yes, no)
-        for i, p in enumerate(patterns):
-            odds = math.log(prior[p["kind"]] / (1 - prior[p["kind"]]))
-            for x in LABELERS:
+        for p in counts:
+            odds = math.log(prior[p[0]] / (1 - prior[p[0]]))
+            for v, x in zip(p[1:], LABELERS, strict=True):
                 yes, no = reliability[x]
-                odds += 0 if p[x] < 0 else math.log(yes / (1 - no)) if p[x] == 1 else math.log((1 - yes) / no)
-            at[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-    good = 1 + sum(p["n"] * q for p, q in zip(patterns, at, strict=True))
-    bad = 1 + sum(p["n"] * (1 - q) for p, q in zip(patterns, at, strict=True))
-    weights: dict[str, dict] = {}
-    for x in ("kind", *LABELERS, "length"):
-        values = {p[x] for p in patterns}
-        share = {}
-        for v in values:
-            one = 1 + sum(p["n"] * q for p, q in zip(patterns, at, strict=True) if p[x] == v)
-            zero = 1 + sum(p["n"] * (1 - q) for p, q in zip(patterns, at, strict=True) if p[x] == v)
-            share[v] = math.log(one / (good + len(values))) - math.log(zero / (bad + len(values)))
-        weights[x] = share
-    return Votes(reliability, weights, math.log(good / bad))
+                odds += 0 if v < 0 else math.log(yes / (1 - no)) if v == 1 else math.log((1 - yes) / no)
+            at[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+    return reliability, at
+
+
+def learn(patterns: list[dict], rounds: int = 50) -> Votes:
+    """Estimates from counts ``n`` of patterns (kind, votes, features).
+
+    Votes are weighed by ``estimate``; the probabilities it gives to spans are the
+    labels of the classifier, a naive Bayes one for each kind on ``FEATURES``,
+    which sees a span's shape and surroundings and not how the labelers voted.
+    """
+    counts: dict[tuple, int] = {}
+    for p in patterns:
+        key = (p["kind"], *(p[x] for x in LABELERS))
+        counts[key] = counts.get(key, 0) + p["n"]
+    reliability, personal = estimate(counts, rounds)
+    votes = Votes(reliability, personal)
+    for kind in sorted({p["kind"] for p in patterns}):
+        own = [(p, p["n"] * personal[(kind, *(p[x] for x in LABELERS))]) for p in patterns if p["kind"] == kind]
+        good, bad = 1 + sum(g for _, g in own), 1 + sum(p["n"] - g for p, g in own)
+        votes.prior[kind] = math.log(good / bad)
+        for x in FEATURES:
+            values = sorted({p[x] for p, _ in own})
+            for v in values:
+                one = 1 + sum(g for p, g in own if p[x] == v)
+                zero = 1 + sum(p["n"] - g for p, g in own if p[x] == v)
+                votes.weights[kind, x, v] = math.log(one / (good + len(values))) - math.log(zero / (bad + len(values)))
+    return votes
 
 
 def odds(span: Column, votes: Votes) -> Column:
-    """The classifier's log odds for a span."""
-    total = F.lit(float(votes.bias))
-    for name, values in votes.weights.items():
-        chosen = F.lit(0.0)
-        for value, weight in values.items():
-            chosen = F.when(span[name] == F.lit(value), F.lit(float(weight))).otherwise(chosen)
-        total = total + chosen
+    """The classifier's log odds for a span of a further kind."""
+    total = F.lit(0.0)
+    for kind in EXTRA:
+        if kind not in votes.prior:
+            continue
+        own = F.lit(float(votes.prior[kind]))
+        for name in FEATURES:
+            chosen = F.lit(0.0)
+            for (k, x, value), weight in votes.weights.items():
+                if (k, x) == (kind, name):
+                    chosen = F.when(span[name] == F.lit(value), F.lit(float(weight))).otherwise(chosen)
+            own = own + chosen
+        total = F.when(span["kind"] == kind, own).otherwise(total)
     return total
 
 
@@ -221,27 +297,28 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def personal_spans(docs: DataFrame) -> DataFrame:
+def personal_spans(docs: DataFrame, knowledge: Knowledge | None = None) -> DataFrame:
     """(doc_id, spans): arrays of structs of kind, start and end (code points,
     end exclusive), by kind in the order of ``KINDS``, then by start.
 
     Base spans are the matches of the four base patterns that pass their checks.
     Further candidates are long digit runs that are no card numbers, telephone
     numbers without country code and long hexadecimal strings. A regex, a
-    gazetteer and a context labeler vote on every candidate; see ``learn`` for
-    how votes become a classifier, whose verdict adds further spans. Base spans
-    stay whatever it says. Only counts of vote patterns reach the driver, at most
-    |KINDS| * 27 * 8 rows.
+    gazetteer and a context labeler vote on every candidate, by ``knowledge``;
+    see ``learn`` for how votes become a classifier, whose verdict adds further
+    spans. Base spans stay whatever it says. Only counts of patterns of votes and
+    features reach the driver, at most |KINDS| * 18 * 8 * 4 * 5 * 5 * 3 rows
+    however many documents there are.
 
     A null or empty text has no spans. Rows that repeat, or lack an id, are
     judged each for itself. An empty input gives an empty result.
     """
-    voted = written(docs.select("doc_id", candidates(F.col("text")).alias("found")))
+    voted = written(candidates(docs.select("doc_id", "text"), knowledge))
     each = voted.select(F.explode("found").alias("x"))
-    keys = ["kind", *LABELERS, "length"]
-    patterns = [r.asDict() for r in each.select("x.*").groupBy(*keys).agg(F.count("*").alias("n")).collect()]
+    keys = ["kind", *dict.fromkeys([*LABELERS, *FEATURES])]
+    patterns = [r.asDict() for r in each.select("x.*").groupBy(*keys).agg(F.count("*").alias("n")).collect()]  # bounded, see above
     votes = learn(sorted(patterns, key=lambda p: [str(p[k]) for k in keys]))
-    stays = F.filter("found", lambda x: x["kind"].isin(list(BASE)) | (odds(x, votes) >= 0))
+    stays = F.filter("found", lambda x: x["kind"].isin(list(BASE)) | (odds(x, votes) > 0))
     return voted.select("doc_id", F.transform(stays, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
 
 

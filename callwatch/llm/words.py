@@ -39,6 +39,31 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, step: Callable[[Column, Column], Column], zero: int = 0) -> Column:
+    """What ``step``, an associative operation on ints such as a sum or a maximum
+    with ``zero`` as its neutral value, makes of an array's values up to each one.
+    Blocks of about the root of its length come first, so that long arrays stay
+    cheap."""
+    start = F.lit(zero)
+
+    def of(values: Column, size: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), size)
+        blocks = F.transform(starts, lambda i: F.aggregate(F.slice(values, i + 1, size), start, step))
+        before = let(blocks, lambda x: F.transform(x, lambda _, b: F.aggregate(F.slice(x, F.lit(1), b), start, step)))
+
+        def placed(earlier: Column) -> Column:
+            block = lambda i: F.floor(i / size).cast("int")
+            return F.transform(values, lambda v, i: step(F.get(earlier, block(i)), F.aggregate(F.slice(values, block(i) * size + 1, i % size + 1), start, step)))
+
+        return let(before, placed)
+
+    return let(values, lambda x: let(F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x))).cast("int")), lambda size: of(x, size)))
+
+
+def running_sums(values: Column) -> Column:
+    return running(values, lambda s, v: s + v)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose output bits all depend on all input bits."""
     x = x ^ (x >> np.uint64(30))
