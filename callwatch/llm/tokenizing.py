@@ -17,7 +17,7 @@ from tokenizers import Tokenizer  # noqa: E402
 #: Pieces a worker remembers the ids of before it drops those met least.
 REMEMBERED = 1_000_000
 #: Bytes of text that are cut into pieces at once.
-AT_ONCE = 8_000_000
+AT_ONCE = 6_000_000
 #: New pieces that are encoded as one text.
 TOGETHER = 500
 
@@ -151,7 +151,8 @@ class Encoder:
         """All ids of the texts, one after another, and the number for each text."""
         starts, sizes, counts, ids = self._pieces(pc.fill_null(texts.cast(pa.string()), ""))
         upto = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.repeat(starts - upto[:-1], sizes) + np.arange(upto[-1])
+        at = np.repeat((starts - upto[:-1]).astype(np.int32), sizes)  # the list has under 2**31 ids
+        at += np.arange(len(at), dtype=np.int32)
         return ids[at], np.diff(upto[np.cumsum(counts)], prepend=0)
 
 
