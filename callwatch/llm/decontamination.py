@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callwatch.llm.words import WordHashes, grams, mix, pieces, texts
-from callwatch.runtime import map_arrow, restricted
+from callwatch.runtime import map_arrow, written
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -20,8 +21,10 @@ SIMILARITY = 0.8
 #: At a similarity of 0.8 the expected distance is about 10, with a deviation of 3.
 RADIUS = 19
 BLOCKS = 4
-#: Items that are sent to the tasks at once; more are taken in several passes.
+#: Items, and bytes of their texts, that are sent to the tasks at once; more are
+#: taken in several passes.
 ITEMS_AT_ONCE = 20_000
+BYTES_AT_ONCE = 32 * 2**20
 
 _EDGE = re.compile(r"^\W+|\W+$")
 
@@ -40,7 +43,7 @@ class Items:
     window's are looked up, so no item within the radius is missed.
     """
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: tuple[tuple[int, str], ...]):
         hashed = WordHashes(normal)
         self.ids, self.sizes, self.shingles, self.counts = [], [], [], []
         for item, text in rows:
@@ -147,24 +150,67 @@ def _matches(items: Items, shingles: np.ndarray, similarity: float) -> Iterator[
         yield item, start, words, s
 
 
-def _scan(rows: list[tuple[int, str]], similarity: float):
+@lru_cache(maxsize=2)
+def _built(rows: tuple[tuple[int, str], ...]) -> Items:
+    """The index of a lot, built once by each Python worker."""
+    return Items(rows)
+
+
+def _found_in(batch: pa.RecordBatch, items: Items, hashed: WordHashes, similarity: float) -> Iterator[tuple[int, int, int, int, float]]:
+    """(row, item, start, words, similarity) for a batch's matches."""
+    for row, text in enumerate(texts(batch)):
+        for match in _matches(items, grams(hashed.of(text.split()), WIDTH), similarity):
+            yield row, *match
+
+
+def _scan(rows: tuple[tuple[int, str], ...], similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, hashed = _built(rows), WordHashes(normal)
+        for batch in pieces(batches):
+            found = list(_found_in(batch, items, hashed, similarity))
+            at, item, start, words, s = (list(x) for x in zip(*found, strict=True)) if found else ([] for _ in range(5))
+            columns = [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array([items.ids[i] for i in item], pa.int64()), pa.array(start, pa.int64()), pa.array(words, pa.int64()), pa.array(s, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "start_word", "n_words", "similarity"])
+
+    return run
+
+
+def _clean(rows: tuple[tuple[int, str], ...], similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, hashed = Items(rows), WordHashes(normal)
+        items, hashed = _built(rows), WordHashes(normal)
         for batch in pieces(batches):
-            out: list[list] = [[] for _ in range(5)]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                for item, start, words, s in _matches(items, grams(hashed.of(text.split()), WIDTH), similarity):
-                    for column, value in zip(out, (doc, items.ids[item], start, words, s), strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "item_id", "start_word", "n_words", "similarity"])
+            text = pa.RecordBatch.from_arrays([batch.column("text").cast(pa.binary())], ["text"])
+            stay = np.ones(len(batch), bool)
+            stay[[row for row, *_ in _found_in(text, items, hashed, similarity)]] = False
+            yield batch.filter(pa.array(stay))
 
     return run
 
 
+def item_classes(benchmark: DataFrame) -> DataFrame:
+    """(item_id, class_id) for each item with a text: items of equal texts form a
+    class, named by the least id."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null")
+    least = items.groupBy(F.col("text").alias("__text")).agg(F.min("item_id").alias("class_id"))
+    return items.join(least, F.col("text") == F.col("__text")).select("item_id", "class_id")
+
+
+def _lots(benchmark: DataFrame) -> Iterator[tuple[tuple[int, str], ...]]:
+    """The distinct texts of the items with their least ids, in lots of bounded
+    numbers and bytes; an empty one if there are none."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null")
+    items = written(items.groupBy("text").agg(F.min("item_id").alias("item_id")))
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    lots = max(1, -(-n // ITEMS_AT_ONCE), -(-size // BYTES_AT_ONCE))
+    for lot in range(lots):
+        some = items.filter(F.pmod(F.xxhash64("text"), F.lit(lots)) == lot)
+        yield tuple(sorted((r["item_id"] or 0, r["text"]) for r in some.collect()))  # about a lot's rows and bytes
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity): for each document and
-    each item of ``benchmark`` (item_id, text) found in it, the best window.
+    each distinct item of ``benchmark`` (item_id, text) found in it, the best
+    window.
 
     Words are compared in lower case and without punctuation at their ends;
     words of punctuation alone don't count. A window has as many words as the
@@ -173,25 +219,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     of their five-word shingles. Windows that hold too few shingles of any item
     to reach the similarity are passed over, which loses nothing.
 
-    Items are sent to the tasks ``ITEMS_AT_ONCE`` at a time; each lot is one pass
-    over the documents, which are not shuffled. Items under five words have no
-    shingle and are left out, null texts too. Null or empty documents match
-    nothing. Equal items all match; rows of documents that repeat, or lack an
-    id, match each for itself. Empty tables give no rows.
+    Items are sent to the tasks in lots of ``ITEMS_AT_ONCE`` items and
+    ``BYTES_AT_ONCE`` bytes; each lot is one pass over the documents, which are
+    not shuffled. Items under five words have no shingle and are left out, null
+    texts too. Items of equal texts are one, under the least id (0 if they have
+    none); ``item_classes`` lists them. Null or empty documents match nothing.
+    Rows of documents that repeat, or lack an id, match each for itself. Empty
+    tables give no rows.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    lots = -(-items.count() // ITEMS_AT_ONCE) or 1
-    found = None
-    for lot in range(lots):
-        some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(lots)) == lot)
-        rows = [(r[0], r[1]) for r in some.collect()]  # about ITEMS_AT_ONCE rows
-        matches = map_arrow(plain, _scan(rows, similarity), "doc_id long, item_id long, start_word long, n_words long, similarity double")
-        found = matches if found is None else found.unionByName(matches)
-    return found
+    schema = "doc_id long, item_id long, start_word long, n_words long, similarity double"
+    return reduce(DataFrame.unionByName, (map_arrow(plain, _scan(rows, similarity), schema) for rows in _lots(benchmark)))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents in which no item is found, with all their columns. Rows
-    without an id stay."""
-    return restricted(docs, "doc_id", contaminated(docs, benchmark, **options).select("doc_id").filter("doc_id is not null"), "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents in which no item is found, with all their columns. Each row
+    is judged for itself, where it is: nothing is joined by id or shuffled."""
+    return reduce(lambda df, rows: map_arrow(df, _clean(rows, similarity), df.schema), _lots(benchmark), docs)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callwatch.llm.words import word_count
-from callwatch.runtime import MOST_BROADCAST, fresh, written
+from callwatch.runtime import MOST_BROADCAST, written
+from callwatch.sources.readers import ordinals
 
 PATTERN = (5.0, 2.0, 1.0)
 BUDGET = 1.5
@@ -29,11 +30,13 @@ def source_targets(sizes: DataFrame, budget: float = BUDGET, most: float = MOST,
     ``most`` times its source's size; the excess is shared out again by weight
     among the others, until no target is above. The table has one row for each
     source; each pass caps at least one more source and reads back one row.
+    Sources are ranked over ranges, so they may be many.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
+    order = F.struct(F.col("source").isNull().alias("last"), F.encode("source", "UTF-8").alias("name"))
     weights = F.array(*[F.lit(float(w)) for w in pattern])
-    rank = F.row_number().over(order) - 1
-    state = written(sizes.withColumn("weight", F.element_at(weights, (rank % len(pattern) + 1).cast("int"))).withColumn("room", F.lit(float(most)) * F.col("source_size")))
+    ranked = ordinals(sizes.select("source", "source_size", order.alias("place")), "place", "rank")
+    weight = F.element_at(weights, ((F.col("rank") - 1) % len(pattern) + 1).cast("int"))
+    state = written(ranked.select("source", "source_size", weight.alias("weight"), (F.lit(float(most)) * F.col("source_size")).alias("room")))
     total = state.agg(F.sum("source_size")).first()[0] or 0
     left, level = budget * total, 0.0
     capped = None
@@ -49,73 +52,84 @@ def source_targets(sizes: DataFrame, budget: float = BUDGET, most: float = MOST,
     return state.select("source", "source_size", target.alias("target"))
 
 
-def sample_keys(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, seed: int = 1) -> DataFrame:
-    """(doc_id, source, size, key) for each row: an exponential variate divided
-    by the document's weight. It depends on the id and the seed alone, so reruns
-    agree."""
-    unit = (F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(2**52)) + 1) / F.lit(float(2**52 + 1))
+def sample_keys(docs: DataFrame, *keep: Column, id_column: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, seed: int = 1) -> DataFrame:
+    """(source, size, key) and the columns to ``keep`` for each row: an
+    exponential variate divided by the document's weight. It depends on the id,
+    the text and the seed alone, so reruns agree, and rows that share an id, or
+    have none, differ by their texts."""
+    unit = (F.pmod(F.xxhash64(F.col(id_column), F.col(text), F.lit(seed)), F.lit(2**52)) + 1) / F.lit(float(2**52 + 1))
     quality = weight if weight is not None else letter_share(F.col(text))
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), (-F.log(unit) / quality).alias("key"))
+    return docs.select(*keep, F.col(source).alias("source"), word_count(F.col(text)).alias("size"), (-F.log(unit) / quality).alias("key"))
 
 
-def mixture(docs: DataFrame, budget: float = BUDGET, most: float = MOST, pattern: tuple[float, ...] = PATTERN, **options) -> DataFrame:
-    """How often the mix takes each document: doc_id, size, source_size, target,
-    taken (words, repeats counted), copies.
+def _bucket() -> Column:
+    """The bucket of a key: as many for a source as the root of its rows."""
+    n = F.ceil(F.sqrt(F.col("__rows")))
+    return F.least(n - 1, F.floor((1 - F.exp(-F.col("key") / F.col("__mean"))) * n)).cast("long")
+
+
+def _planned(keyed: DataFrame, plan: DataFrame) -> DataFrame:
+    """``keyed`` with its source's plan; one row for each source is broadcast as
+    long as they are few enough."""
+    few = plan.count() <= MOST_BROADCAST
+    own = plan.withColumnRenamed("source", "__source")
+    return keyed.join(F.broadcast(own) if few else own, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+
+
+def sampling_plan(keyed: DataFrame, budget: float = BUDGET, most: float = MOST, pattern: tuple[float, ...] = PATTERN) -> DataFrame:
+    """What each source takes: source, source_size, target, whole epochs, and the
+    bucket and key up to which documents are taken once more.
 
     A target of several times the source's size takes that many whole epochs;
     what then remains goes to the documents with the smallest keys, of which the
-    last is taken if most of it fits. Sorting never gathers a source: keys fall
-    into as many buckets as the root of the source's row count, bucket totals
-    are summed first, and rows are sorted only inside the bucket in which the
-    budget ends.
-
-    Null or empty texts have size 0 and no words to take; a source of such texts
-    alone has target 0. Rows that repeat are separate documents. A row with a
-    null id has the key of that null. An empty input gives an empty result.
+    last is taken if most of it fits. Sorting never gathers a source: bucket
+    totals are summed first, and only the keys of the bucket in which the budget
+    ends are put in order. Equal keys are taken alike.
     """
-    keyed = written(sample_keys(docs, **options))
-    sources = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__rows"), F.avg("key").alias("__mean"))
-    sources = written(sources)
+    sources = written(keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__rows"), F.avg("key").alias("__mean")))
     targets = source_targets(sources.select("source", "source_size"), budget, most, pattern)
     plan = targets.join(sources.drop("source_size").withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     plan = plan.withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0))
-    plan = written(plan.withColumn("__rest", F.greatest(F.lit(0.0), F.col("target") - F.col("__epochs") * F.col("source_size"))).withColumnRenamed("source", "__source"))
-
-    joined = keyed.join(plan, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    buckets = F.ceil(F.sqrt(F.col("__rows")))
-    bucket = F.least(buckets - 1, F.floor((1 - F.exp(-F.col("key") / F.col("__mean"))) * buckets))
-    placed = written(joined.withColumn("__bucket", bucket.cast("long")))
+    plan = written(plan.withColumn("__rest", F.greatest(F.lit(0.0), F.col("target") - F.col("__epochs") * F.col("source_size"))))
 
-    totals = placed.filter(F.col("__rest") > 0).groupBy("source", "__bucket").agg(F.sum("size").alias("__sum"), F.first("__rest").alias("__budget"))
-    ordered = Window.partitionBy("source").orderBy("__bucket")
-    upto = F.sum("__sum").over(ordered)
+    open_ = _planned(keyed, plan.filter("__rest > 0")).withColumn("__bucket", _bucket())
+    totals = open_.groupBy("source", "__bucket").agg(F.sum("size").alias("__sum"), F.first("__rest").alias("__budget"))
+    upto = F.sum("__sum").over(Window.partitionBy("source").orderBy("__bucket"))
     edges = totals.select("source", "__bucket", (upto - F.col("__sum")).alias("__before"), upto.alias("__upto"), "__budget")
-    edge = edges.filter((F.col("__before") < F.col("__budget")) & (F.col("__budget") <= F.col("__upto")))
-    edge = written(edge.select(F.col("source").alias("__source"), F.col("__bucket").alias("__edge"), "__before"))
-
-    marked = placed.join(edge, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-    within = (F.col("__rest") > 0) & (F.col("__bucket") == F.col("__edge"))
-    sure = (F.col("__rest") > 0) & (F.col("__edge").isNull() | (F.col("__bucket") < F.col("__edge")))
-    by_key = Window.partitionBy("source").orderBy("key", "doc_id", "size")
-    last = marked.filter(within).withColumn("__run", F.sum("size").over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    last = last.withColumn("__more", (F.col("__before") + F.col("__run") - F.col("size") / 2 <= F.col("__rest")).cast("long")).drop("__run")
-    rest = marked.filter(~F.coalesce(within, F.lit(False))).withColumn("__more", F.coalesce(sure, F.lit(False)).cast("long"))
-    copies = (F.col("__epochs") + F.col("__more")).cast("long")
-    out = last.unionByName(rest)
-    return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), (copies * F.col("size")).alias("taken"), copies.alias("copies"))
-
-
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as the mix takes it.
-
-    Rows that share an id and a size are taken alike. Needs distinct ids to be
-    exact for rows that share one; those take the largest number found. Rows
-    without an id or without words are left out.
+    edge = written(edges.filter("__before < __budget and __budget <= __upto").select("source", F.col("__bucket").alias("__edge"), "__before"))
+
+    inside = _planned(open_, edge).filter("__bucket = __edge").groupBy("source", "key").agg(F.sum("size").alias("size"), F.first("__before").alias("__before"), F.first("__rest").alias("__rest"))
+    run = F.sum("size").over(Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    taken = inside.withColumn("__run", run).filter(F.col("__before") + F.col("__run") - F.col("size") / 2 <= F.col("__rest"))
+    last = taken.groupBy(F.col("source").alias("__s")).agg(F.max("key").alias("__last"))
+    ends = edge.select(F.col("source").alias("__e"), "__edge").join(last, F.col("__e").eqNullSafe(F.col("__s")), "left").drop("__s")
+    return written(plan.join(ends, F.col("source").eqNullSafe(F.col("__e")), "left").drop("__e"))
+
+
+def _copies() -> Column:
+    """How often a row is taken, from its key and its source's plan."""
+    more = F.col("__edge").isNull() | (_bucket() < F.col("__edge")) | (_bucket() == F.col("__edge")) & (F.col("key") <= F.col("__last"))
+    return (F.col("__epochs") + F.when((F.col("__rest") > 0) & more, F.lit(1)).otherwise(F.lit(0))).cast("long")
+
+
+def mixture(docs: DataFrame, budget: float = BUDGET, most: float = MOST, pattern: tuple[float, ...] = PATTERN, id_column: str = "doc_id", **options) -> DataFrame:
+    """How often the mix takes each document: doc_id, size, source_size, target,
+    taken (words, repeats counted), copies; see ``sampling_plan``.
+
+    Null or empty texts have size 0 and no words to take; a source of such texts
+    alone has target 0. Rows that repeat are separate documents that are taken
+    alike, rows that share an id or have none differ by their texts. An empty
+    input gives an empty result.
     """
-    key, copies, copy = fresh(docs, "key"), fresh(docs, "copies"), fresh(docs, "copy")
-    taken = mixture(docs, **options).filter("copies > 0 and size > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(copies))
-    taken = written(taken)
-    few = taken.count() <= MOST_BROADCAST  # two numbers each
-    joined = docs.join(F.broadcast(taken) if few else taken, F.col("doc_id") == F.col(key))
-    repeated = joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(copies))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = written(sample_keys(docs, F.col(id_column).alias("doc_id"), id_column=id_column, **options))
+    planned = _planned(keyed, sampling_plan(keyed, budget, most, pattern)).withColumn("copies", _copies())
+    return planned.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def mix(docs: DataFrame, budget: float = BUDGET, most: float = MOST, pattern: tuple[float, ...] = PATTERN, **options) -> DataFrame:
+    """The mixed corpus: each row of ``docs`` as often as the mix takes it, by its
+    own key; rows are not joined by id nor shuffled. Rows without words are left
+    out."""
+    plan = sampling_plan(written(sample_keys(docs, **options)), budget, most, pattern)
+    own = _planned(sample_keys(docs, F.struct("*").alias("row"), **options).filter("size > 0"), plan)
+    return own.select("row", F.explode(F.array_repeat(F.lit(1), _copies().cast("int"))).alias("copy")).select("row.*")

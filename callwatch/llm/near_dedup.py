@@ -300,10 +300,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, with all its columns; rows without an id
-    stay. Of rows that share an id, one stays."""
-    kept = restricted(docs, "doc_id", near_duplicates(docs, **options).filter("kept and doc_id is not null").select("doc_id"))
-    shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
-    # only rows that share an id are shuffled
-    alone, several = restricted(kept, "doc_id", shared, "left_anti"), restricted(kept, "doc_id", shared)
-    return alone.unionByName(several.dropDuplicates(["doc_id"])).unionByName(docs.filter("doc_id is null"))
+    """One row of each group of near-duplicates, with all its columns.
+
+    Each row counts for itself, whatever its id: rows are numbered in a written
+    table, and links hold between numbers. Of a group the row with the least id
+    stays, rows without one last, then that of the least hash of all columns; so
+    reruns agree. Texts without words are in no group and stay. Only the numbers
+    of rows that go are joined back."""
+    ranked = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash"))
+    numbered = written(docs.select(F.struct("*").alias("row"), ranked.alias("rank"), F.monotonically_increasing_id().alias("number")))
+    found = written(near_duplicates(numbered.select(F.col("number").alias("doc_id"), "row.text"), **options).select(F.col("doc_id").alias("__number"), "component_id"))
+    groups = found.groupBy(F.col("component_id").alias("__c")).agg(F.count("*").alias("n")).filter("n > 1").select("__c")
+    several = found.join(groups, F.col("component_id") == F.col("__c"), "left_semi")
+    members = written(numbered.select("number", "rank").join(several, F.col("number") == F.col("__number")).select("number", "component_id", "rank"))
+    stays = members.groupBy(F.col("component_id").alias("__c")).agg(F.min_by("number", F.struct("rank", "number")).alias("__stays"))
+    goes = members.join(stays, F.col("component_id") == F.col("__c")).filter("number <> __stays").select("number")
+    return restricted(numbered, "number", goes, "left_anti").select("row.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callwatch.llm.words import SPACE, let, word_array
-from callwatch.runtime import restricted, written
+from callwatch.runtime import written
 
 # Very common words of the languages for which there are references.
 COMMON_WORDS = {
@@ -92,11 +92,12 @@ def _character_counts(text: Column) -> Column:
     return step(text, list(CHARACTER_CLASSES.values()), [])
 
 
-def statistics(docs: DataFrame, common: dict[str, list[str]]) -> DataFrame:
-    """(doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, characters, commons) for every document."""
+def statistics(docs: DataFrame, common: dict[str, list[str]], own: Column | None = None) -> DataFrame:
+    """(own, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    characters, commons) for every document; ``own`` is its id, or a given
+    column under that name."""
     vocabulary = _vocabulary(common)
-    base = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    base = docs.select((F.col("doc_id") if own is None else own).alias("own"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def of(words: Column) -> Column:
         lower = F.transform(words, lambda w: F.lower(w))
@@ -108,14 +109,14 @@ def statistics(docs: DataFrame, common: dict[str, list[str]]) -> DataFrame:
         )
 
     facts = base.select(
-        "doc_id",
+        "own",
         "lang",
         let(word_array(F.col("text")), of).alias("w"),
         F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         repeated_lines(F.col("text")).alias("n_dup_lines"),
         _character_counts(F.col("text")).alias("characters"),
     )
-    return facts.select("doc_id", "lang", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "characters", "w.commons")
+    return facts.select("own", "lang", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "characters", "w.commons")
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -150,7 +151,22 @@ def references(facts: DataFrame, languages: list[str]) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, max_character_distance: float = MAX_CHARACTER_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
+def verdicts(docs: DataFrame, own: Column | None = None, max_character_distance: float = MAX_CHARACTER_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
+    """``statistics`` with base_failed, character_distance, word_distance and kept."""
+    languages = sorted(COMMON_WORDS)
+    facts = statistics(docs, COMMON_WORDS, own).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    facts = written(facts)
+    # at most one row for each of the languages named above
+    joined = facts.join(F.broadcast(references(facts, languages)), F.col("lang") == F.col("ref_lang"), "left")
+    known = F.col("ref_lang").isNotNull()
+    by_character = F.when(known & (F.aggregate("characters", F.lit(0), lambda s, v: s + v) >= MIN_CHARACTERS), divergence(shares(F.col("characters")), F.col("ref_characters")))
+    by_word = F.when(known & (F.col("n_words") >= MIN_HISTOGRAM_WORDS), divergence(shares(F.col("commons")), F.col("ref_commons")))
+    far = (F.coalesce(F.col("character_distance"), F.lit(0.0)) > max_character_distance) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word_distance)
+    measured = joined.withColumn("character_distance", by_character).withColumn("word_distance", by_word)
+    return measured.withColumn("kept", ~F.col("base_failed") & ~far)
+
+
+def judge(docs: DataFrame, **options) -> DataFrame:
     """A verdict on each document.
 
     Histograms of character classes and of common words are compared with those
@@ -162,25 +178,15 @@ def judge(docs: DataFrame, max_character_distance: float = MAX_CHARACTER_DISTANC
 
     A null or empty text has no words and is rejected. A language without a
     reference, null too, is judged by the base rules alone; distances are null
-    there and below the minimum lengths. Rows that repeat are judged alike, each
-    for itself. An empty input gives an empty result.
+    there and below the minimum lengths. Rows that repeat, or lack an id, are
+    judged each for itself. An empty input gives an empty result.
     """
-    languages = sorted(COMMON_WORDS)
-    facts = statistics(docs, COMMON_WORDS).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    facts = written(facts)
-    # at most one row for each of the languages named above
-    joined = facts.join(F.broadcast(references(facts, languages)), F.col("lang") == F.col("ref_lang"), "left")
-    known = F.col("ref_lang").isNotNull()
-    by_character = F.when(known & (F.aggregate("characters", F.lit(0), lambda s, v: s + v) >= MIN_CHARACTERS), divergence(shares(F.col("characters")), F.col("ref_characters")))
-    by_word = F.when(known & (F.col("n_words") >= MIN_HISTOGRAM_WORDS), divergence(shares(F.col("commons")), F.col("ref_commons")))
-    far = (F.coalesce(F.col("character_distance"), F.lit(0.0)) > max_character_distance) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word_distance)
-    measured = joined.withColumn("character_distance", by_character).withColumn("word_distance", by_word)
-    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "character_distance", "word_distance")
+    found = verdicts(docs, **options)
+    return found.select(F.col("own").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "character_distance", "word_distance")
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep, with all their columns. Rows without
-    an id are dropped, as no verdict can be joined to them; rows that share an
-    id stay if one of them is kept."""
-    kept = judge(docs, **options).filter("kept and doc_id is not null").select("doc_id")
-    return restricted(docs, "doc_id", kept)
+    """The documents that the rules keep, with all their columns. Each row is
+    judged for itself, whatever its id: rows are written with their statistics
+    and filtered there, neither joined by id nor shuffled."""
+    return verdicts(docs, F.struct("*"), **options).filter("kept").select("own.*")

@@ -16,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from callwatch.llm.words import grams
 from callwatch.llm import decontamination, graph, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, substring_dedup, token_counts, token_files, tokenizing, words
 
 from .conftest import WORD, clashing, frame
@@ -73,6 +74,12 @@ def test_quality_edges(spark, nothing, awkward):
     assert quality_rules.keep_good(clashing(awkward)).columns == clashing(awkward).columns
 
 
+def test_quality_judges_rows_that_share_an_id_or_have_none(spark):
+    good = " ".join(f"the{i} of{i}" for i in range(30))
+    rows = [(1, good), (1, "bad " * 40), (None, good), (None, "too short"), (None, None)]
+    assert rows_of(quality_rules.keep_good(clashing(frame(spark, rows))), "doc_id", "text") == [(None, good), (1, good)]
+
+
 def test_divergence_is_the_distance(spark):
     p, q = [0.5, 0.5, 0.0], [0.25, 0.25, 0.5]
     m = [(a + b) / 2 for a, b in zip(p, q)]
@@ -211,6 +218,45 @@ def test_leak_edges(spark, nothing, awkward):
     assert clean.count() == awkward.count() - 1
 
 
+def test_leaks_of_rows_that_share_an_id_or_have_none(spark):
+    rng = random.Random(15)
+    item = " ".join(f"q{rng.randint(0, 999)}" for _ in range(30))
+    rows = [(1, item), (1, "clean text " * 20), (None, f"before {item} after"), (None, "more clean text"), (None, None), (2, item), (2, item)]
+    items = spark.createDataFrame([(5, item), (4, item), (None, None)], "item_id long, text string")
+    assert rows_of(decontamination.keep_clean(clashing(frame(spark, rows)), items), "doc_id", "text") == rows_of(frame(spark, [rows[1], rows[3], rows[4]]), "doc_id", "text")
+    assert [(r.doc_id, r.item_id) for r in decontamination.contaminated(frame(spark, rows), items).orderBy("doc_id").collect()] == [(None, 4), (1, 4), (2, 4), (2, 4)]
+    assert rows_of(decontamination.item_classes(items), "item_id", "class_id") == [(4, 4), (5, 4)]
+
+
+def test_lots_lose_no_item(spark, monkeypatch):
+    rng = random.Random(16)
+    items = [(i, " ".join(f"q{rng.randint(0, 999)}" for _ in range(20))) for i in range(40)]
+    docs = [(100 + i, t) for i, t in items] + [(999, "nothing of it")]
+    monkeypatch.setattr(decontamination, "BYTES_AT_ONCE", 800)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert len(list(decontamination._lots(table))) > 3
+    assert rows_of(decontamination.contaminated(frame(spark, docs), table), "doc_id", "item_id") == [(100 + i, i) for i, _ in items]
+    assert [r.doc_id for r in decontamination.keep_clean(frame(spark, docs), table).collect()] == [999]
+
+
+@pytest.mark.parametrize("words_of_item", [10, 20, 50, 150, 400])
+def test_fingerprints_find_similar_windows(words_of_item):
+    """Of windows that reach the similarity, at least nine in ten lie within the radius."""
+    rng = np.random.default_rng(words_of_item)
+    near = total = 0
+    for _ in range(150):
+        item = rng.integers(0, 2**63, words_of_item).astype(np.uint64)
+        other = item.copy()
+        for at in rng.choice(words_of_item, max(1, rng.integers(1, 1 + words_of_item // 25 + 1)), replace=False):
+            other[at] = rng.integers(0, 2**63)
+        a, b = grams(item, 5), grams(other, 5)
+        values, counts = np.unique(a, return_counts=True)
+        if decontamination.weighted_similarity(b, values, counts) >= 0.8:
+            total += 1
+            near += int(np.bitwise_count(decontamination.fingerprints(a)[0] ^ decontamination.fingerprints(b)[0])) <= decontamination.RADIUS
+    assert total == 0 or near >= 0.9 * total
+
+
 # 4 ---------------------------------------------------------------------------
 
 
@@ -250,6 +296,45 @@ def test_mixture(spark):
     assert rows_of(again, "doc_id", "taken") == sorted((r.doc_id, r.taken) for r in got)
 
 
+def test_mixture_takes_the_smallest_keys(spark):
+    """The documents that are taken once more are those that a full sort by key
+    and prefix sums choose."""
+    rng = random.Random(14)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 30)), "en", rng.choice("aaabc")) for i in range(600)] + [(None, f"x y {i}", "en", "a") for i in range(40)] + [(7, f"z {i}", "en", "c") for i in range(40)]
+    docs = frame(spark, rows)
+    keys = mixing.sample_keys(docs, F.col("doc_id"), F.col("text")).collect()
+    sizes = collections.Counter()
+    for r in keys:
+        sizes[r.source] += r.size
+    expected = collections.Counter()
+    for s, target in expected_targets(sizes).items():
+        epochs = int(target / sizes[s] + 1e-12)
+        run, rest = 0, target - epochs * sizes[s]
+        for r in sorted((r for r in keys if r.source == s), key=lambda r: r.key):
+            more = rest > 0 and run + r["size"] / 2 <= rest
+            run += r["size"]
+            if r["size"]:
+                expected[r.doc_id, r.text] = epochs + more
+    mixed = collections.Counter((r.doc_id, r.text) for r in mixing.mix(clashing(docs)).collect())
+    assert mixed == +expected
+    told = collections.Counter()
+    for r in mixing.mixture(docs).collect():
+        told[r.doc_id] += r.taken
+    words_taken = collections.Counter()
+    for (d, t), n in expected.items():
+        words_taken[d] += n * len(found(t))
+    assert {d: n for d, n in told.items() if n} == {d: n for d, n in words_taken.items() if n}
+
+
+def test_many_sources(spark):
+    rows = [(i, "a b c", "en", f"s{i % 97}" if i % 97 else None) for i in range(400)]
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r[3]] += 3
+    targets = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
+    assert {r.source: r.target for r in targets.collect()} == pytest.approx(expected_targets(sizes))
+
+
 def test_mixture_prefers_quality(spark):
     rows = [(i, " ".join(["word"] * 20) if i % 2 else " ".join(["#1"] * 20), "en", "s" if i < 2000 else "t") for i in range(2200)]
     got = {r.doc_id: r.copies for r in mixing.mixture(frame(spark, rows), budget=0.3).collect()}
@@ -458,6 +543,15 @@ def test_near_duplicate_edges(spark, nothing, awkward):
     assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter([1, 2, 3, 4, 6, 8, 9, 10, 11, None, None])
 
 
+def test_keep_one_judges_rows_and_reruns_agree(spark):
+    rng = random.Random(17)
+    a, b, c = (" ".join(f"{x}{rng.randint(0, 9999)}" for _ in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b + " end"), (None, a), (None, c), (None, c), (9, c), (3, b), (3, None), (3, "")]
+    expected = collections.Counter([(5, a), (3, b), (9, c), (3, None), (3, "")])
+    for n in (1, 3, 5):
+        assert collections.Counter((r.doc_id, r.text) for r in near_dedup.keep_one(clashing(frame(spark, rows).repartition(n))).collect()) == expected
+
+
 def test_sketch_agreement_is_the_similarity():
     rng = np.random.default_rng(0)
     common, left, right = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (600, 200, 200))
