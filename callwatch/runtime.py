@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _SHIPPED: set[str] = set()
 
@@ -25,7 +26,7 @@ def ship_package(spark: SparkSession) -> None:
         _SHIPPED.add(context.applicationId)
 
 
-def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` with this package at hand in the tasks."""
     ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -87,3 +88,24 @@ def restricted(df: DataFrame, column: str, ids: DataFrame, how: str = "left_semi
     wanted = written(ids.toDF(name).distinct())
     few = wanted.count() <= MOST_BROADCAST  # longs, so their bytes are bounded too
     return df.join(F.broadcast(wanted) if few else wanted, F.col(column).eqNullSafe(F.col(name)), how)
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: dict[str, str], counts: DataFrame, by: list[str], most: int) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key, by columns
+    of the two; right's keys are dropped. Keys that many rows of ``left`` have,
+    as ``counts`` (left's key columns, n) tells, are dealt over several tasks by a
+    hash of the columns ``by``, and right's row is repeated for each of them:
+    once for every ``most`` rows. At most ``MOST_BROADCAST`` keys are dealt so."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    bar = max(most, total // MOST_BROADCAST + 1)
+    names = {c: f"__hot_{i}" for i, c in enumerate(on)}
+    hot = counts.filter(F.col("n") > bar).select(*[F.col(c).alias(n) for c, n in names.items()], F.ceil(F.col("n") / bar).cast("int").alias("__parts"))
+
+    def dealt(df: DataFrame, columns: dict[str, str], salt) -> DataFrame:
+        same = [F.col(c) == F.col(names[k]) for k, c in columns.items()]
+        return df.join(F.broadcast(hot), same, "left").withColumn("__salt", salt(F.coalesce("__parts", F.lit(1)))).drop("__parts", *names.values())
+
+    a = dealt(left, {c: c for c in on}, lambda n: F.pmod(F.xxhash64(*by), n))
+    b = dealt(right, on, lambda n: F.explode(F.sequence(F.lit(0), n - 1))).withColumnsRenamed({c: f"__{i}_key" for i, c in enumerate(on.values())}).withColumnRenamed("__salt", "__other_salt")
+    same = [F.col(c) == F.col(f"__{i}_key") for i, c in enumerate(on)] + [F.col("__salt") == F.col("__other_salt")]
+    return a.join(b, same).drop("__salt", "__other_salt", *[f"__{i}_key" for i in range(len(on))])
