@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callwatch.llm.words import PRIME, WordHashes, grams, mix, pieces, texts
-from callwatch.runtime import map_arrow, restricted, written
+from callwatch.runtime import map_arrow, restricted, spread_join, written
 
 WINDOW = 35
 SEED = 6
@@ -98,6 +98,9 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[first], ends[np.concatenate([np.flatnonzero(first)[1:] - 1, [len(ends) - 1]])]
 
 
+#: Occurrences of an anchor, and partners of a centre, that one task takes.
+SEED_ROWS = 20_000
+CENTRE_ROWS = 5_000
 #: Places that are compared at once.
 PLACES = 20_000
 
@@ -212,8 +215,10 @@ class Repeats:
         self.classes = written(long.groupBy("fp1", "fp2").agg(F.count("*").alias("n"), F.min("doc_id").alias("id")))
         each = long.groupBy("fp1", "fp2").agg(F.first("places").alias("places"), F.first("seeds").alias("seeds"))
         entries = each.select("fp1", "fp2", F.explode(F.arrays_zip("places", "seeds")).alias("x")).select("fp1", "fp2", F.col("x.places").alias("place"), F.col("x.seeds").alias("seed"))
-        centres = entries.groupBy(F.col("seed").alias("__seed")).agg(F.count("*").alias("__n"), F.min(F.struct(F.col("fp1").alias("c_fp1"), F.col("fp2").alias("c_fp2"), F.col("place").alias("c_place"))).alias("c")).filter("__n > 1").select("__seed", "c.*")
-        met = entries.join(centres, F.col("seed") == F.col("__seed")).filter("not (fp1 = c_fp1 and fp2 = c_fp2 and place = c_place)")
+        centres = entries.groupBy("seed").agg(F.count("*").alias("n"), F.min(F.struct(F.col("fp1").alias("c_fp1"), F.col("fp2").alias("c_fp2"), F.col("place").alias("c_place"))).alias("c"))
+        centres = written(centres.filter("n > 1").select("seed", "n", "c.*"))
+        met = spread_join(entries, centres.drop("n"), {"seed": "seed"}, centres.select("seed", "n"), ["fp1", "fp2", "place"], SEED_ROWS)
+        met = met.filter("not (fp1 = c_fp1 and fp2 = c_fp2 and place = c_place)")
         pairs = met.groupBy("fp1", "fp2", "c_fp1", "c_fp2").agg(F.collect_list(F.struct("place", "c_place")).alias("p"))
         pairs = written(pairs.select("fp1", "fp2", "c_fp1", "c_fp2", F.col("p.place").alias("places"), F.col("p.c_place").alias("c_places")))
         named = pairs.select(F.explode(F.array(F.struct("fp1", "fp2"), F.struct(F.col("c_fp1").alias("fp1"), F.col("c_fp2").alias("fp2")))).alias("x")).select("x.*").distinct()
@@ -225,7 +230,8 @@ class Repeats:
         several = several.join(self.classes.select(F.col("fp1").alias("__1"), F.col("fp2").alias("__2"), "id"), (F.col("fp1") == F.col("__1")) & (F.col("fp2") == F.col("__2")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
         self.texts = written(alone.unionByName(several.dropDuplicates(["fp1", "fp2"])).drop("doc_id"))
         own = pairs.join(self.texts.withColumnsRenamed({"fp1": "__1", "fp2": "__2"}), (F.col("fp1") == F.col("__1")) & (F.col("fp2") == F.col("__2"))).drop("__1", "__2")
-        both = own.join(self.texts.select(F.col("fp1").alias("__1"), F.col("fp2").alias("__2"), F.col("text").alias("c_text")), (F.col("c_fp1") == F.col("__1")) & (F.col("c_fp2") == F.col("__2"))).drop("__1", "__2")
+        hubs = pairs.groupBy("c_fp1", "c_fp2").agg(F.count("*").alias("n"))
+        both = spread_join(own, self.texts.withColumnsRenamed({"fp1": "t_fp1", "fp2": "t_fp2", "text": "c_text"}), {"c_fp1": "t_fp1", "c_fp2": "t_fp2"}, hubs, ["fp1", "fp2"], CENTRE_ROWS)
         self.matches = written(map_arrow(both, _extended(window, seed), "fp1 long, fp2 long, start int, end int, w1 long, w2 long"))
 
     def class_spans(self) -> DataFrame:

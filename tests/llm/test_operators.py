@@ -125,7 +125,10 @@ def repeats_corpus(seed):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_repeats_match_brute_force(spark, seed):
+def test_repeats_match_brute_force(spark, seed, monkeypatch):
+    if seed == 2:  # all that occurs often is dealt over several tasks
+        monkeypatch.setattr(substring_dedup, "SEED_ROWS", 2)
+        monkeypatch.setattr(substring_dedup, "CENTRE_ROWS", 1)
     texts = repeats_corpus(seed)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(frame(spark, list(enumerate(texts)))).collect()}
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
@@ -596,6 +599,36 @@ def test_quality_score_edges(spark, nothing, awkward):
     assert {r.score for r in quality_classifier.quality_scores(awkward, labels.filter("quality = 1")).collect()} <= {0.5, 1.0}
 
 
+def test_scores_match_a_direct_discriminant(spark):
+    rng = random.Random(19)
+    parts = ["tide", "ship", "THE", "of.", "###", "42", "|", "wow!", "a"]
+    docs = [(i, "\n".join(" ".join(rng.choice(parts[: 5 + i % 5]) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 4)))) for i in range(150)]
+    labels = [(i, int(i % 5 < 2 or rng.random() < 0.2)) for i in range(150)]
+    got = {r.doc_id: r.score for r in quality_classifier.quality_scores(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    x = np.array([quality_classifier.document_statistics(t.encode()) for _, t in docs])
+    train = [(i, q) for i, q in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = {q: x[[i for i, p in train if p == q]] for q in (0, 1)}
+    own = {q: np.cov(r.T, bias=True) for q, r in rows.items()}
+    pooled = sum(len(rows[q]) * own[q] for q in rows) / len(train)
+    density = []
+    for q in (0, 1):
+        w = min(1.0, 0.1 + x.shape[1] / len(rows[q]))
+        c = (1 - w) * own[q] + w * np.diag(np.maximum(np.diag(pooled), 1e-3)) + 1e-6 * np.eye(x.shape[1])
+        d = x - rows[q].mean(axis=0)
+        density.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d) - 0.5 * np.linalg.slogdet(c)[1])
+    expected = 1 / (1 + np.exp(-np.clip(quality_classifier.TEMPERATURE * (density[1] - density[0]), -40, 40)))
+    assert [got[i] for i, _ in docs] == pytest.approx(expected.tolist(), abs=1e-6)
+
+
+def test_scores_rank_the_held_out_labels(spark):
+    """Area under the curve on the held-out labels of the given tables."""
+    sf = "/root/testdata/sf0.01"
+    scores = quality_classifier.quality_scores(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = scores.filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("score", "quality").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    assert np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) > 0.9
+
+
 def test_held_out_labels_are_not_learnt(spark):
     docs = frame(spark, [(i, f"text {'!' * (i % 5)} number {i}") for i in range(60)])
     labels = [(i, int(i % 5 == 0)) for i in range(60)]
