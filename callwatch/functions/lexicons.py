@@ -153,3 +153,11 @@ LEXICON = [("锦龙008", ["锦华662", "金堂南", "96008"]), ("警花662", ["
 PUNCTUATION = r"\s,，.。:：;；!?！？、\"'“”‘’（）()\[\]【】{}<>《》\-_/\\|~`^"
 #: Rewrites before error rates are taken.
 RADIO_WORDS = [("频道", "ch"), ("幺", "一"), ("两", "二")]
+
+# What cleaning takes out of transcripts, and the scripts that are flagged.
+EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2700}-\x{27BF}\x{1F1E6}-\x{1F1FF}]+"
+BRACKET_TAG = r"[(\[{（【][^)\]}）】]{0,12}[)\]}）】]"
+BLANKS_BETWEEN_CJK = r"(?U)(?<=[\x{4e00}-\x{9fff}])\s+(?=[\x{4e00}-\x{9fff}])"
+DECORATION = r"[~`^_=<>|\\/]+"
+HEADING_MARKS = r"[#*]{2,}"
+SCRIPTS = {"japanese_kana": r"[\x{3040}-\x{30ff}]", "korean_hangul": r"[\x{ac00}-\x{d7af}\x{1100}-\x{11ff}\x{3130}-\x{318f}]"}

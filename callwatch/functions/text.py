@@ -62,19 +62,17 @@ def norm_cer(x: Column) -> Column:
 def sanitize_text(x: Column) -> Column:
     """Without emoji, short bracketed tags, blanks between CJK characters and
     decoration; other white space collapsed."""
-    out = F.regexp_replace(text_or_empty(x), r"[\x{1F300}-\x{1FAFF}\x{2700}-\x{27BF}\x{1F1E6}-\x{1F1FF}]+", "")
-    out = F.regexp_replace(out, r"[(\[{（【][^)\]}）】]{0,12}[)\]}）】]", "")
-    out = F.regexp_replace(out, r"(?U)(?<=[\x{4e00}-\x{9fff}])\s+(?=[\x{4e00}-\x{9fff}])", "")
-    out = F.regexp_replace(out, r"[~`^_=<>|\\/]+", " ")
-    out = F.regexp_replace(out, r"[#*]{2,}", " ")
+    out = F.regexp_replace(text_or_empty(x), L.EMOJI, "")
+    out = F.regexp_replace(out, L.BRACKET_TAG, "")
+    out = F.regexp_replace(out, L.BLANKS_BETWEEN_CJK, "")
+    out = F.regexp_replace(out, L.DECORATION, " ")
+    out = F.regexp_replace(out, L.HEADING_MARKS, " ")
     return F.trim(F.regexp_replace(out, _SPACES, " "))
 
 
 def script_guard(x: Column) -> Column:
     """The scripts in a text that transcripts should not hold."""
-    kana = F.when(text_or_empty(x).rlike(r"[\x{3040}-\x{30ff}]"), F.lit("japanese_kana"))
-    hangul = F.when(text_or_empty(x).rlike(r"[\x{ac00}-\x{d7af}\x{1100}-\x{11ff}\x{3130}-\x{318f}]"), F.lit("korean_hangul"))
-    return F.array_compact(F.array(kana, hangul))
+    return F.array_compact(F.array(*[F.when(text_or_empty(x).rlike(pattern), F.lit(name)) for name, pattern in L.SCRIPTS.items()]))
 
 
 def correct_lexicon(x: Column, rules: list[tuple[str, list[str]]]) -> Column:

@@ -13,6 +13,8 @@ CORNERS = ("x1", "y1", "x2", "y2")
 _KEYS = {"x1": ("lng1", "x1"), "y1": ("lat1", "y1"), "x2": ("lng2", "x2"), "y2": ("lat2", "y2")}
 #: Areas that a join broadcasts; more are joined over grid cells.
 MOST_AREAS = 10_000
+#: Grids, of cells from ``NEAR`` degrees on, each four times as wide as the last.
+LEVELS = 9
 
 
 def ship_filter(ships: DataFrame, min_draft: float = 0.0, min_tonnage: int = 0, types: list[str] | None = None) -> DataFrame:
@@ -21,13 +23,18 @@ def ship_filter(ships: DataFrame, min_draft: float = 0.0, min_tonnage: int = 0,
     return out.filter(F.col("ship_type").isin(wanted)) if wanted else out
 
 
-def area_match(area: Column, label: Column) -> Column:
-    """Whether a position label fits an area's name: a blank name fits all; some
-    part of the name, or its first two characters, must be in the label."""
+def area_tokens(area: Column) -> Column:
+    """The parts of an area's name, in capitals, without general words."""
     bare = T.text_or_empty(area)
     for word in L.AREA_WORDS:
         bare = F.replace(bare, F.lit(word), F.lit(" "))
-    tokens = F.filter(F.split(F.upper(bare), r"(?U)\s+"), lambda t: t != "")
+    return F.filter(F.split(F.upper(bare), r"(?U)\s+"), lambda t: t != "")
+
+
+def area_match(area: Column, label: Column) -> Column:
+    """Whether a position label fits an area's name: a blank name fits all; some
+    part of the name, or its first two characters, must be in the label."""
+    tokens = area_tokens(area)
     where = T.text_or_empty(label)
     hit = F.exists(tokens, lambda t: F.contains(F.upper(where), t)) | F.contains(where, F.substring(T.text_or_empty(area), 1, 2))
     return F.when(T.nz(area).isNull() | (F.size(tokens) == 0), F.lit(True)).otherwise(hit)
@@ -74,31 +81,65 @@ def inside(lng: Column, lat: Column, label: Column, area: Column, geometry: Colu
     return F.when(geometry.isNotNull(), shape).otherwise(area_match(area, label))
 
 
+def _cell(x: Column, level: Column) -> Column:
+    return F.floor(x / (NEAR * F.pow(F.lit(4.0), level))).cast("long")
+
+
+def _in_cells(ships: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Ships in areas with whole geometries. An area lies in the finest grid of
+    which it touches no more than some six cells a side."""
+    whole = parsed.filter("g.x1 is not null and g.x2 is not null and g.y1 is not null and g.y2 is not null")
+    span = F.greatest(F.abs(F.col("g.x1") - F.col("g.x2")), F.abs(F.col("g.y1") - F.col("g.y2"))) + 2 * NEAR
+    level = F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.ceil(F.log(4.0, span / (4 * NEAR))))).cast("int")
+
+    def cells(a: str, b: str) -> Column:
+        return F.explode(F.sequence(_cell(F.least(f"g.{a}", f"g.{b}") - NEAR, F.col("__level")), _cell(F.greatest(f"g.{a}", f"g.{b}") + NEAR, F.col("__level"))))
+
+    shaped = whole.withColumn("__level", level).withColumn("__cx", cells("x1", "x2")).withColumn("__cy", cells("y1", "y2"))
+    used = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
+    placed = ships.withColumn("__grid", used).withColumn("__sx", _cell(F.col("lng"), F.col("__grid"))).withColumn("__sy", _cell(F.col("lat"), F.col("__grid")))
+    same = (F.col("__grid") == F.col("__level")) & (F.col("__sx") == F.col("__cx")) & (F.col("__sy") == F.col("__cy"))
+    met = placed.join(shaped, same & inside(F.col("lng"), F.col("lat"), F.col("position_label"), F.col("area_name"), F.col("g")))
+    return met.drop("__grid", "__sx", "__sy", "__level", "__cx", "__cy", "g", "geometry")
+
+
+def _by_name(ships: DataFrame, named: DataFrame) -> DataFrame:
+    """Ships whose label fits the name of an area. An area's parts and first two
+    characters are looked up among the runs of characters of each distinct label;
+    areas that fit all labels, blank ones, take all ships."""
+    labels = ships.select(F.col("position_label").alias("__label")).distinct()
+    where = T.text_or_empty(F.col("__label"))
+    upto = lambda x: F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1)))
+    runs = lambda x: F.array_distinct(F.flatten(F.transform(upto(x), lambda i: F.transform(upto(x), lambda n: F.substring(x, i, n)))))
+    keys = F.concat(F.transform(runs(F.upper(where)), lambda k: F.concat(F.lit("t"), k)), F.transform(runs(where), lambda k: F.concat(F.lit("p"), k)))
+    looked = labels.select("__label", F.explode(keys).alias("__key"))
+    tokens, name = area_tokens(F.col("area_name")), T.text_or_empty(F.col("area_name"))
+    blank = T.nz(F.col("area_name")).isNull() | (F.size(tokens) == 0)
+    wanted = named.filter(~blank).withColumn("__want", F.explode(F.array_append(F.transform(tokens, lambda t: F.concat(F.lit("t"), t)), F.concat(F.lit("p"), F.substring(name, 1, 2)))))
+    fits = wanted.join(looked, F.col("__want") == F.col("__key")).drop("__want", "__key").distinct()
+    all_ = named.filter(blank)
+    return ships.join(fits, F.col("position_label").eqNullSafe(F.col("__label"))).drop("__label").unionByName(ships.join(all_))
+
+
 def inspect_ships(ships: DataFrame, areas: DataFrame, min_draft: float = 0.0, min_tonnage: int = 0, types: list[str] | None = None) -> DataFrame:
     """Ships (attribute filters passed) with each area (area_id, area_name,
     geometry JSON) that holds them.
 
     Up to ``MOST_AREAS`` areas are broadcast. Beyond, areas with a geometry meet
-    ships in cells of ``NEAR`` degrees that their bounds touch, and those known
-    by name alone meet the distinct position labels.
+    ships in the cells that their bounds touch, of a grid whose cells suit the
+    area's size; those known by name alone meet the distinct position labels on
+    what the two share. Geometries that lack a corner hold most of the sea, and
+    meet all ships.
     """
     wanted = ship_filter(ships, min_draft, min_tonnage, types)
     parsed = areas.withColumn("g", parse_geometry(F.col("geometry")))
     if areas.count() <= MOST_AREAS:
         return wanted.join(F.broadcast(parsed), inside(F.col("lng"), F.col("lat"), F.col("position_label"), F.col("area_name"), F.col("g"))).drop("g", "geometry")
-    cell = lambda x: F.floor(x / NEAR).cast("long")
-    span = lambda a, b: F.sequence(cell(F.least(f"g.{a}", f"g.{b}") - NEAR), cell(F.greatest(f"g.{a}", f"g.{b}") + NEAR))
-    shaped = parsed.filter("g.x1 is not null and g.x2 is not null and g.y1 is not null and g.y2 is not null").withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
-    placed = wanted.withColumn("sx", cell(F.col("lng"))).withColumn("sy", cell(F.col("lat")))
-    by_shape = placed.join(shaped, (F.col("sx") == F.col("cx")) & (F.col("sy") == F.col("cy")) & inside(F.col("lng"), F.col("lat"), F.col("position_label"), F.col("area_name"), F.col("g"))).drop("sx", "sy", "cx", "cy")
-    # areas known by name alone meet each distinct label once
-    named = parsed.filter("g is null").drop("g", "geometry")
-    labels = wanted.select(F.col("position_label").alias("__label")).distinct()
-    fits = labels.join(named, area_match(F.col("area_name"), F.col("__label")))
-    by_name = wanted.join(fits, F.col("position_label") == F.col("__label")).drop("__label")
+    by_shape = _in_cells(wanted, parsed)
+    by_name = _by_name(wanted, parsed.filter("g is null").drop("g", "geometry"))
     partial = parsed.filter("g is not null and (g.x1 is null or g.x2 is null or g.y1 is null or g.y2 is null)")
     by_part = wanted.join(partial, inside(F.col("lng"), F.col("lat"), F.col("position_label"), F.col("area_name"), F.col("g"))).drop("g", "geometry")
-    return by_shape.drop("g", "geometry").unionByName(by_name).unionByName(by_part)
+    return by_shape.unionByName(by_name).unionByName(by_part)
 
 
 def notices(matches: DataFrame, template: str) -> DataFrame:
@@ -107,10 +148,23 @@ def notices(matches: DataFrame, template: str) -> DataFrame:
     return matches.select(F.concat(F.lit("notice_"), number).alias("notice_id"), "ship_id", "area_id", T.render_notice(F.lit(template), F.col("ship_name"), T.text_or_empty(F.col("area_name"))).alias("notice_text"))
 
 
-def inspection_meta(matches: DataFrame, sent: DataFrame) -> DataFrame:
-    """Matched ships and notices by area."""
+def inspection_meta(matches: DataFrame, sent: DataFrame, min_draft: float = 0.0, min_tonnage: int = 0, types: list[str] | None = None) -> DataFrame:
+    """The parameters, matched ships and notices by area, as counts; the ships
+    and notices themselves are the rows of ``matches`` and ``sent``, as those of
+    an area have no bound."""
     told = sent.groupBy(F.col("area_id").alias("__a")).agg(F.count("*").alias("notices"))
-    return matches.groupBy("area_id", "area_name").agg(F.count("*").alias("matched_count"), F.min("ship_id").alias("first_ship"), F.max("ship_id").alias("last_ship")).join(told, F.col("area_id") == F.col("__a"), "left").drop("__a")
+    return matches.groupBy("area_id", "area_name").agg(F.count("*").alias("matched_count"), F.min("ship_id").alias("first_ship"), F.max("ship_id").alias("last_ship")).join(told, F.col("area_id") == F.col("__a"), "left").drop("__a").withColumns({"min_draft_m": F.lit(min_draft), "min_tonnage_t": F.lit(min_tonnage), "allowed_ship_types": F.lit("|".join(types or []))})
+
+
+def inspection_messages(matches: DataFrame, sent: DataFrame, channel: str, min_draft: float = 0.0, min_tonnage: int = 0) -> DataFrame:
+    """(channel_id, type, payload): a status when the inspection of an area
+    starts and one when it is completed, and a message for each notice."""
+    areas = matches.groupBy("area_id", "area_name").agg(F.count("*").alias("matched_count"))
+    message = lambda kind, *fields: (F.lit(channel).alias("channel_id"), F.lit(kind).alias("type"), F.to_json(F.struct(*fields)).alias("payload"))
+    started = areas.select(*message("inspection_status", F.lit("started").alias("stage"), "area_id", "area_name", F.lit(min_draft).alias("min_draft_m"), F.lit(min_tonnage).alias("min_tonnage_t")))
+    done = areas.select(*message("inspection_status", F.lit("completed").alias("stage"), "area_id", "area_name", "matched_count"))
+    told = sent.select(*message("inspection_notice", "notice_id", "ship_id", "area_id", "notice_text"))
+    return started.unionByName(done).unionByName(told)
 
 
 def template_lookup(requests: DataFrame, scenarios: DataFrame, fallback: str) -> DataFrame:
@@ -133,7 +187,8 @@ def upsert_ships(ships: DataFrame, new: DataFrame) -> DataFrame:
     rows = new.filter(F.col("lng").between(-180, 180) & F.col("lat").between(-90, 90)).withColumn("ship_id", F.coalesce(T.nz(F.col("ship_id")), made))
     rows = rows.withColumn("destination", F.coalesce(T.nz(F.col("destination")), F.lit("-"))).withColumn("position_label", F.coalesce(T.nz(F.col("position_label")), F.lit("-")))
     both = ships.withColumn("__new", F.lit(0)).unionByName(rows.withColumn("__new", F.lit(1)))
-    last = Window.partitionBy("ship_id").orderBy(F.desc("__new"))
+    # of several new rows of one id that of the greatest hash, so that reruns agree
+    last = Window.partitionBy("ship_id").orderBy(F.desc("__new"), F.desc(F.xxhash64(*[F.col(f"`{c}`") for c in ships.columns])))
     return both.withColumn("__n", F.row_number().over(last)).filter("__n = 1").drop("__new", "__n")
 
 

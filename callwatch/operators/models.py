@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from callwatch.functions import lexicons as L
 from callwatch.functions import text as T
 
+# The names that columns of other systems go by.
 TEXT_FIELDS = ("asr_text", "text", "prediction", "transcript", "transcription")
 CONFIDENCE_FIELDS = ("asr_confidence", "confidence", "score")
 
@@ -22,13 +23,21 @@ def guard_columns(df: DataFrame, text: str = "asr_text") -> DataFrame:
     return df.withColumn("language_guard_flag", F.when(F.size(marks) > 0, F.lit("1")).otherwise(F.lit("0"))).withColumn("language_guard_notes", F.array_join(marks, "|"))
 
 
-def join_external_results(segments: DataFrame, external: DataFrame, model: str, engine: str = "external_csv") -> DataFrame:
+def _place(df: DataFrame, order: str | None) -> Column:
+    """What tells the last of several rows: a column, then all others, so that
+    reruns agree."""
+    rest = [F.col(f"`{c}`").cast("string") for c in df.columns if c != order]
+    return F.struct(*([F.col(order)] if order else []), *rest)
+
+
+def join_external_results(segments: DataFrame, external: DataFrame, model: str, engine: str = "external_csv", order: str | None = None) -> DataFrame:
     """Results of another system for (segment_id, clip_path): by segment_id, else
-    by clip_path; without either, an error row with empty text. ``external`` has
-    one row for each id and for each path at most."""
+    by clip_path; without either, an error row with empty text. Of results that
+    share an id or a path the last by ``order`` counts."""
     result = F.struct(T.sanitize_text(coalesce_columns(external, TEXT_FIELDS)).alias("text"), T.parse_float(coalesce_columns(external, CONFIDENCE_FIELDS)).alias("confidence"))
-    by_id = external.filter(T.nz(F.col("segment_id")).isNotNull()).select(F.col("segment_id").alias("__id"), result.alias("__one"))
-    by_path = external.filter(T.nz(F.col("clip_path")).isNotNull()).select(F.col("clip_path").alias("__path"), result.alias("__two"))
+    last = F.max_by(result, _place(external, order))
+    by_id = external.filter(T.nz(F.col("segment_id")).isNotNull()).groupBy(F.col("segment_id").alias("__id")).agg(last.alias("__one"))
+    by_path = external.filter(T.nz(F.col("clip_path")).isNotNull()).groupBy(F.col("clip_path").alias("__path")).agg(last.alias("__two"))
     both = segments.join(by_id, F.col("segment_id") == F.col("__id"), "left").join(by_path, F.col("clip_path") == F.col("__path"), "left").withColumn("__r", F.coalesce("__one", "__two"))
     rows = both.select(
         "segment_id", "clip_path", F.lit(model).alias("asr_model_name"), F.lit("external_csv").alias("asr_provider"), F.lit(engine).alias("asr_model"), F.coalesce(F.col("__r.text"), F.lit("")).alias("asr_text"),
@@ -83,10 +92,12 @@ def rank_models(scores: DataFrame) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "asr_model_name", "asr_provider")))
 
 
-def pipeline_agreement(a: DataFrame, b: DataFrame, fields: list[str]) -> DataFrame:
-    """One row: segments compared, percent of them with equal fields, and both
-    row counts. ``b`` has one row for each segment_id."""
-    right = b.select(F.col("segment_id").alias("__id"), *[F.col(f).alias(f"__{f}") for f in fields])
+def pipeline_agreement(a: DataFrame, b: DataFrame, fields: list[str], order: str | None = None) -> DataFrame:
+    """One row: rows of ``a`` compared, percent of them with equal fields, and
+    both row counts. Of rows of ``b`` that share a segment_id the last by
+    ``order`` counts."""
+    last = b.groupBy("segment_id").agg(F.max_by(F.struct(*fields), _place(b, order)).alias("x"))
+    right = last.select(F.col("segment_id").alias("__id"), *[F.col(f"x.{f}").alias(f"__{f}") for f in fields])
     both = a.filter(T.nz(F.col("segment_id")).isNotNull()).join(right, F.col("segment_id") == F.col("__id"))
     same = [F.coalesce(F.bround(100 * F.avg(F.when(T.trim_ws(F.col(f)) == T.trim_ws(F.col(f"__{f}")), 1.0).otherwise(0.0)), 2), F.lit(0.0)).alias(f"agreement_{f}") for f in fields]
     counts = a.agg(F.count("*").alias("first_rows")).join(F.broadcast(b.agg(F.count("*").alias("second_rows"))))

@@ -18,6 +18,11 @@ def _group_hits(lowered: Column, groups: list[dict]) -> Column:
     return F.filter(F.array(*each), lambda g: F.size(g["hits"]) > 0)
 
 
+def call_level(x: Column, groups: list[dict] = L.ROUTING) -> Column:
+    """The risk level of a text's event; null if it has none."""
+    return T.let(F.lower(T.trim_ws(x)), lambda t: F.get(_group_hits(t, groups), F.lit(0))["level"])
+
+
 def route_calls(calls: DataFrame, groups: list[dict] = L.ROUTING, threshold: float = 0.8) -> DataFrame:
     """One event for each call that a routing group is hit by, of the first such
     group. Calls below the confidence threshold go to review: automatic replies

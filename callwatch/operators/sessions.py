@@ -145,3 +145,16 @@ def channel_messages(calls: DataFrame, events: DataFrame) -> DataFrame:
     risk = events.select("channel_id", F.lit("risk_event").alias("type"), F.to_json(F.struct("segment_id", "risk_level", "action_type")).alias("payload"))
     advice = events.select("channel_id", F.lit("broadcast_recommendation").alias("type"), F.to_json(F.struct("segment_id", "broadcast_text")).alias("payload"))
     return chunk.unionByName(risk).unionByName(advice)
+
+
+def recording_messages(segments: DataFrame, events: DataFrame) -> DataFrame:
+    """(channel_id, type, payload) for segments (channel_id, segment_id, idx,
+    start_ms, end_ms, text): each one's bounds and result, and for each channel a
+    status with its segments once voices are found and one at the end with its
+    events too."""
+    length = F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms")).alias("duration_ms")
+    found = segments.select("channel_id", F.lit("vad_segment").alias("type"), F.to_json(F.struct(F.col("idx").alias("index"), "start_ms", "end_ms", length)).alias("payload"))
+    result = segments.select("channel_id", F.lit("segment_result").alias("type"), F.to_json(F.struct("segment_id", "start_ms", "end_ms", "text")).alias("payload"))
+    counts = run_meta(segments, events)
+    status = F.explode(F.array(F.to_json(F.struct(F.lit("vad_detected").alias("stage"), "segment_count")), F.to_json(F.struct(F.lit("completed").alias("stage"), "segment_count", "event_count"))))
+    return found.unionByName(result).unionByName(counts.select("channel_id", F.lit("stream_status").alias("type"), status.alias("payload")))

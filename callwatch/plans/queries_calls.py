@@ -70,11 +70,11 @@ _PUNCT = "[\\s,，.。:：;；!?！？、\"''“”‘’（）()\\[\\]【】{}<
 
 def _documents_query(name, expression, sql):
     def f(spark, sf_dir):
-        d = table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
+        d = table(spark, sf_dir, "documents")
         return d.select("doc_id", expression(F.col("text")).alias("value"))
 
     QUERIES[name] = f
-    ORACLES[name] = f"select doc_id, {sql} as value from documents where not regexp_matches(text, '[^\\x00-\\x7F]')"
+    ORACLES[name] = f"select doc_id, {sql} as value from documents"
 
 
 _agree = f"regexp_replace(trim(lower(text)), '{_PUNCT}', '', 'g')"
@@ -356,6 +356,19 @@ def channel_messages(spark, sf_dir):
     return sessions.channel_messages(c, routing.route_calls(c))
 
 
+_SPAN = "seq * 1200 as start_ms, seq * 1200 + 1000 as end_ms"
+
+
+@query(with_views("calls", extra=EVENTS) + f""", s as (select *, {_SPAN} from calls), n as (select channel_id, count(*) k from events_of group by 1), m as (select c.channel_id, count(*) sc, coalesce(any_value(k), 0) ec from calls c left join n on c.channel_id = n.channel_id group by 1)
+ select channel_id, 'vad_segment' as type, concat('{{"index":', seq, ',"start_ms":', start_ms, ',"end_ms":', end_ms, ',"duration_ms":1000}}') as payload from s
+ union all select channel_id, 'segment_result', concat('{{"segment_id":"', segment_id, '","start_ms":', start_ms, ',"end_ms":', end_ms, ',"text":"', text, '"}}') from s
+ union all select channel_id, 'stream_status', concat('{{"stage":"vad_detected","segment_count":', sc, '}}') from m
+ union all select channel_id, 'stream_status', concat('{{"stage":"completed","segment_count":', sc, ',"event_count":', ec, '}}') from m""")
+def recording_messages(spark, sf_dir):
+    c = views.calls(spark, sf_dir).withColumn("start_ms", F.col("seq") * 1200).withColumn("end_ms", F.col("start_ms") + 1000).withColumn("idx", F.col("seq"))
+    return sessions.recording_messages(c, routing.route_calls(c))
+
+
 @query("select case when class = 1 then 1 else 0 end as class, count(*) filter (where t and p) as tp, count(*) filter (where not t and p) as fp, count(*) filter (where t and not p) as fn, count(*) filter (where t and p) / nullif(count(*) filter (where p), 0) as precision, count(*) filter (where t and p) / nullif(count(*) filter (where t), 0) as recall, 2 * count(*) filter (where t and p) / nullif(count(*) filter (where t) + count(*) filter (where p), 0) as f1 from (select class, quality = class t, 1 - toxic = class p from labels, (values (0), (1)) c(class)) group by class")
 def classification_metrics(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").select(F.col("quality").alias("truth"), (1 - F.col("toxic")).alias("prediction"))
@@ -377,22 +390,30 @@ def labelled_manifest(spark, sf_dir):
     return routing.labelled_manifest(rows)
 
 
-@query()
+@query("select * exclude (h, k, n), k <= round_even(n * 0.2, 0) as held_out from (select *, row_number() over (partition by quality order by h) k, count(*) over (partition by quality) n from (select *, cast(concat('0x', substr(md5(concat(doc_id, ':1')), 1, 15)) as bigint) h from labels))")
 def stratified_split(spark, sf_dir):
     return learning.stratified_split(table(spark, sf_dir, "labels"), "quality", key="doc_id")
 
 
-_GRAMS = " union all ".join(f"select distinct segment_id, substr(text, i::int, {n}) g from calls, generate_series(1, 60) s(i) where i + {n} - 1 <= length(text)" for n in range(1, 5))
+_GRAMS = " union all ".join(f"select distinct conv_id, turn, substr(text, i::int, {n}) g from conversations, generate_series(1, (select max(length(text)) from conversations)) s(i) where i + {n} - 1 <= length(text)" for n in range(1, 5))
 
 
-@query(C + f"select g as gram, count(distinct segment_id) as docs from ({_GRAMS}) group by 1 having count(distinct segment_id) >= 2")
+@query(f"select g as gram, count(*) as docs from ({_GRAMS}) group by 1 having count(*) >= 2")
 def char_ngram_df(spark, sf_dir):
-    return learning.ngram_frequencies(views.plain_calls(spark, sf_dir), "text")
+    return learning.ngram_frequencies(table(spark, sf_dir, "conversations"), "text")
 
 
 @query()
 def risk_classifier(spark, sf_dir):
-    rows = views.plain_calls(spark, sf_dir).select("segment_id", "text", routing.weak_label(F.col("text"), routing.classify_role(F.col("text"))["role"])["label"].alias("label"))
-    split = learning.stratified_split(rows, "label")
-    model = learning.train_risk_classifier(split.filter("not held_out"), "text", "label", terms=4096, iterations=50)
-    return learning.classify(model, split.filter("held_out"), "text").select("segment_id", "label", "predicted")
+    """Labels of the held-out documents, learnt from the whole texts of the others."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("__d"), F.when(F.col("toxic") == 1, F.lit("high")).otherwise(F.lit("normal")).alias("label"))
+    rows = table(spark, sf_dir, "documents").join(labels, F.col("doc_id") == F.col("__d")).select("doc_id", "text", "label")
+    split = learning.stratified_split(rows, "label", key="doc_id")
+    model = learning.train_risk_classifier(split.filter("not held_out"), "text", "label")
+    return learning.classify(model, split.filter("held_out"), "text").select("doc_id", "label", "predicted")
+
+
+@query(with_views("calls", extra=WEAK) + "select segment_id, r as role, rc as role_confidence, case wl when 'high' then 'crisis' when 'normal' then 'non_crisis' when 'uncertain' then 'uncertain' else 'not_target' end as crisis, wc as crisis_confidence, wa as automation, ws as scenario, array_to_string(list_concat(re, list_filter(we, lambda k: not list_contains(re, k))), '|') as evidence, array_to_string(wsh, '|') as ship_hits, array_to_string(woh, '|') as operator_hits from weak")
+def rule_fallback(spark, sf_dir):
+    rows = views.plain_calls(spark, sf_dir).select("segment_id", routing.rule_fallback(F.col("text")).alias("x")).select("segment_id", "x.*")
+    return rows.withColumns({c: bar(c) for c in ("evidence", "ship_hits", "operator_hits")})

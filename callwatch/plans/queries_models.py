@@ -128,10 +128,10 @@ def pipeline_agreement(spark, sf_dir):
     return models.pipeline_agreement(*[views.raw_analysis(spark, sf_dir, k) for k in ("llm", "audio")], ["role_label", "scenario"])
 
 
-@query("select concat('audio/', doc_id, '.wav') as audio_path, case when doc_id % 3 = 0 then substr(trim(text), 1, 20) else lang end as transcript, case when doc_id % 2 = 0 then concat('u', doc_id) else cast(doc_id as varchar) end as item_id from (select doc_id, lang, regexp_replace(text, '\\s', '_', 'g') text from documents)")
+@query("select concat('audio/', doc_id, '.wav') as audio_path, case when doc_id % 3 = 0 then coalesce(nullif(trim(text), ''), lang, '') else coalesce(lang, '') end as transcript, case when doc_id % 2 = 0 then concat('u', doc_id) else cast(doc_id as varchar) end as item_id from (select doc_id, lang, regexp_replace(text, '\\s', '_', 'g') text from documents)")
 def eval_manifest_coalesce(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    flat = F.substring(F.regexp_replace("text", r"\s", "_"), 1, 20)
+    flat = F.regexp_replace("text", r"\s", "_")
     raw = d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".wav")).alias("file"), F.when(F.col("doc_id") % 3 == 0, flat).otherwise(F.lit(" ")).alias("transcript"), F.col("lang").alias("ground_truth"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("u"), F.col("doc_id").cast("string"))).alias("utt_id"))
     return models.eval_manifest(raw, "audio")
 

@@ -68,11 +68,16 @@ def area_match(spark, sf_dir):
     return rows.select("ship_id", "area", inspection.area_match(F.col("area"), F.col("position_label")).alias("matched"))
 
 
-@query(with_views("ships", "areas", extra=_GEO) + "select ship_id, area_id, ty as type, x1 + (ship_id % 7) as x1, y1, x2, y2 from ships, geo where ship_id % 11 = 0")
+# each ship's own shape, as JSON: some broken, some blank
+_SHAPES = """own as (select p_partkey ship_id, case when p_partkey % 13 = 0 then '{broken' when p_partkey % 11 = 0 then '' else concat('{"type":"', case when p_size % 2 = 0 then 'rect' else 'line' end, '","lng1":"121.', 100 + p_partkey % 100, '","lat1":"29.', 100 + p_size, '","lng2":"122.', 100 + p_size, '","lat2":"', p_partkey % 90, '"}') end geometry from part)"""
+
+
+@query("with " + _SHAPES + "," + _GEO.replace("area_id, area_name", "ship_id").replace("from areas", "from own") + " select ship_id, ty as type, x1, y1, x2, y2 from geo")
 def parse_geometry(spark, sf_dir):
-    some = views.ships(spark, sf_dir).filter(F.col("ship_id") % 11 == 0).select("ship_id")
-    rows = some.crossJoin(F.broadcast(views.areas(spark))).withColumn("g", inspection.parse_geometry(F.col("geometry")))
-    return rows.select("ship_id", "area_id", "g.type", (F.col("g.x1") + F.col("ship_id") % 7).alias("x1"), "g.y1", "g.x2", "g.y2")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    parts = [F.lit('{"type":"'), F.when(size % 2 == 0, F.lit("rect")).otherwise(F.lit("line")), F.lit('","lng1":"121.'), (100 + k % 100).cast("string"), F.lit('","lat1":"29.'), (100 + size).cast("string"), F.lit('","lng2":"122.'), (100 + size).cast("string"), F.lit('","lat2":"'), (k % 90).cast("string"), F.lit('"}')]
+    shape = F.when(k % 13 == 0, F.lit("{broken")).when(k % 11 == 0, F.lit("")).otherwise(F.concat(*parts))
+    return table(spark, sf_dir, "part").select(k.alias("ship_id"), inspection.parse_geometry(shape).alias("g")).select("ship_id", "g.type", "g.x1", "g.y1", "g.x2", "g.y2")
 
 
 def _shape(x1, y1, x2, y2):
@@ -100,10 +105,19 @@ def notices(spark, sf_dir):
     return inspection.notices(_matched(spark, sf_dir), TEMPLATE)
 
 
-@query(SH + "select area_id, area_name, count(*) as matched_count, min(ship_id) as first_ship, max(ship_id) as last_ship, count(*) as notices from matched group by 1, 2")
+@query(SH + "select area_id, area_name, count(*) as matched_count, min(ship_id) as first_ship, max(ship_id) as last_ship, count(*) as notices, 5.0::double as min_draft_m, 9200 as min_tonnage_t, '' as allowed_ship_types from matched group by 1, 2")
 def inspection_meta(spark, sf_dir):
     m = _matched(spark, sf_dir)
-    return inspection.inspection_meta(m, inspection.notices(m, TEMPLATE))
+    return inspection.inspection_meta(m, inspection.notices(m, TEMPLATE), 5.0, 9200)
+
+
+@query(SH + """, per as (select area_id, area_name, count(*) n from matched group by 1, 2)
+ select 'c' as channel_id, 'inspection_status' as type, concat('{"stage":"started","area_id":', area_id, ',"area_name":"', area_name, '","min_draft_m":5.0,"min_tonnage_t":9200}') as payload from per
+ union all select 'c', 'inspection_status', concat('{"stage":"completed","area_id":', area_id, ',"area_name":"', area_name, '","matched_count":', n, '}') from per
+ union all select 'c', 'inspection_notice', concat('{"notice_id":"notice_', substr(sha256(concat(ship_id, '|', area_id)), 1, 10), '","ship_id":', ship_id, ',"area_id":', area_id, ',"notice_text":"请', ship_name, '注意，你船位于', area_name, '。"}') from matched""")
+def inspection_messages(spark, sf_dir):
+    m = _matched(spark, sf_dir)
+    return inspection.inspection_messages(m, inspection.notices(m, TEMPLATE), "c", 5.0, 9200)
 
 
 @query("select p_partkey as ship_id, concat('请', p_name, '注意，你船位于', p_type, '。') as notice from part")

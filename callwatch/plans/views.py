@@ -52,11 +52,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, reference, model, prediction), English ASCII documents only, as
-    DuckDB's distance counts bytes."""
-    d = table(spark, sf_dir, "documents").filter((F.col("lang") == "en") & ~F.col("text").rlike(r"[^\x00-\x7F]"))
-    r = d.select("doc_id", F.lower(F.substring("text", 1, 60)).alias("reference"))
-    said = [F.col("reference"), F.replace("reference", F.lit("e"), F.lit("")), F.substring(F.col("reference"), F.lit(1), (5 + F.col("doc_id") % 50).cast("int")), F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.replace("reference", F.lit("a"), F.lit("o")))]
+    """(doc_id, reference, model, prediction): every turn of the conversations,
+    whole, as four models heard it. Characters beyond ASCII are written as x, as
+    DuckDB's distance counts bytes. Distances are dear, so rows are dealt out."""
+    d = table(spark, sf_dir, "conversations").repartition("conv_id", "turn")
+    r = d.select((F.col("conv_id") * 10_000 + F.col("turn")).alias("doc_id"), F.lower(F.regexp_replace("text", r"[^\x00-\x7F]", "x")).alias("reference"))
+    said = [F.col("reference"), F.replace("reference", F.lit("e"), F.lit("")), F.replace("reference", F.lit("th"), F.lit("d")), F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.replace("reference", F.lit("a"), F.lit("o")))]
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), p.alias("prediction")) for m, p in zip(MODELS, said, strict=True)]))
     return r.select("doc_id", "reference", each.alias("x")).select("doc_id", "reference", "x.model", "x.prediction")
 
@@ -106,7 +107,7 @@ def _analysis_sql(kind: str) -> str:
 SQL = {
     "calls": f"select event_id, concat('seg_', event_id) segment_id, concat('mic_', user_id) session_id, concat('vhf_', user_id % 5) channel_id, row_number() over (partition by user_id order by ts, event_id) - 1 seq, ts, {_list(PHRASES)}[event_id % 20 + 1] as text, cast(event_id % 100 as double) / 100 confidence, event_type engine, concat('clips/', event_id, '.wav') clip_path from events",
     "frames": "select user_id audio_id, row_number() over (partition by user_id order by ts, event_id) - 1 frame_idx, cast(floor(value * 100) as int) rms from events",
-    "transcripts": "select doc_id, reference, model, case model when 'a' then reference when 'b' then replace(reference, 'e', '') when 'c' then substr(reference, 1, 5 + doc_id % 50) else case when doc_id % 7 = 0 then '' else replace(reference, 'a', 'o') end end prediction from (select doc_id, lower(substr(text, 1, 60)) reference, unnest(['a', 'b', 'c', 'd']) model from documents where lang = 'en' and not regexp_matches(text, '[^\\x00-\\x7F]'))",
+    "transcripts": "select doc_id, reference, model, case model when 'a' then reference when 'b' then replace(reference, 'e', '') when 'c' then replace(reference, 'th', 'd') else case when doc_id % 7 = 0 then '' else replace(reference, 'a', 'o') end end prediction from (select conv_id * 10000 + turn doc_id, lower(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')) reference, unnest(['a', 'b', 'c', 'd']) model from conversations)",
     "ships": "select p_partkey ship_id, p_name ship_name, p_type ship_type, cast(floor(p_retailprice * 10) as int) tonnage_t, cast(p_size as double) / 4 draft_m, '' destination, concat('A', p_partkey % 5, '段') position_label, cast(121.80 as double) + cast(p_partkey % 100 as double) / 1000 lng, cast(29.90 as double) + cast(p_partkey % 70 as double) / 1000 lat from part",
     "areas": "select * from (values " + ", ".join(f"(cast({i} as bigint), '{n}', '{g}')" for i, n, g in AREAS) + ") t(area_id, area_name, geometry)",
     "analysis_llm": _analysis_sql("llm"),

@@ -25,6 +25,8 @@ SHIP_SCHEMA = "ship_id string, ship_name string, tonnage_t int, draft_m double,
 SCENARIO_SCHEMA = "scenario_id string, scenario_name string, notice_template string"
 CALL_SCHEMA = "session_id string, channel_id string, seq long, kind string, text string, confidence double, engine string, ts timestamp"
 CHUNK_MS = 1200
+#: Rules of a lexicon, which are sent with every plan.
+MOST_RULES = 100_000
 
 
 def ordinals(df: DataFrame, order: str, name: str) -> DataFrame:
@@ -74,14 +76,18 @@ def read_analysis(spark: SparkSession, path: str) -> DataFrame:
 
 def read_lexicon(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
     """(canonical, aliases) rules of a JSON file with sections ships, locations
-    and callsigns, longest names first. Rules are parameters, hence few."""
+    and callsigns, longest names first. Rules are parameters; more than
+    ``MOST_RULES`` of them are an error, none is left out."""
     item = "array<struct<canonical:string,aliases:array<string>>>"
     raw = spark.read.schema(f"ships {item}, locations {item}, callsigns {item}").json(path, multiLine=True)
     sections = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("rules")) for i, c in enumerate(("ships", "locations", "callsigns"))]))
     rows = raw.select(sections.alias("s")).select("s.i", F.posexplode("s.rules").alias("j", "r"))
     clean = rows.select("i", "j", T.trim_ws(F.col("r.canonical")).alias("name"), F.filter(F.transform(F.coalesce("r.aliases", F.array().cast("array<string>")), T.trim_ws), lambda a: a != "").alias("aliases"))
-    found = clean.filter((F.col("name") != "") & (F.size("aliases") > 0)).orderBy(F.desc(F.length("name")), "i", "j").limit(100_000)
-    return [(r["name"], list(r["aliases"])) for r in found.collect()] or L.LEXICON
+    found = clean.filter((F.col("name") != "") & (F.size("aliases") > 0)).orderBy(F.desc(F.length("name")), "i", "j").limit(MOST_RULES + 1)
+    rules = [(r["name"], list(r["aliases"])) for r in found.collect()]
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"a lexicon has at most {MOST_RULES} rules")
+    return rules or L.LEXICON
 
 
 def read_ships(spark: SparkSession, path: str, default: DataFrame | None = None) -> DataFrame:

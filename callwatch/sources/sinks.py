@@ -59,3 +59,13 @@ def write_selection(long: DataFrame, wide: DataFrame, path: str) -> None:
 def message_rows(messages: DataFrame) -> DataFrame:
     """(channel_id, type, payload) as the key and value of a message queue."""
     return messages.select(F.col("channel_id").alias("key"), F.to_json(F.struct("type", "payload")).alias("value"))
+
+
+def publish_messages(path: str):
+    """A foreachBatch function that appends a batch's messages, keyed by channel,
+    to a folder of their own; a batch that is run again replaces what it wrote."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        message_rows(batch).write.mode("overwrite").json(f"{path}/batch={batch_id}")
+
+    return write

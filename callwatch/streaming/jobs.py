@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from callwatch.functions import lexicons as L
 from callwatch.functions import text as T
 from callwatch.operators import sessions
-from callwatch.operators.routing import route_calls
+from callwatch.operators.routing import call_level, route_calls
 from callwatch.runtime import ship_package
 
 
@@ -22,25 +22,28 @@ def route_stream(calls: DataFrame, rules: list[tuple[str, list[str]]] = (), word
     return route_calls(calls.withColumn("text", fixed["text"]).withColumn("keywords", T.extract_keywords(F.col("text"), words)))
 
 
-SUMMARY = "session_id string, text string, chunks long, status string"
-#: seq numbers and texts so far, whether the session has begun.
-STATE = "seqs array<bigint>, texts array<string>, begun boolean"
+SUMMARY = "session_id string, text string, chunks long, events long, levels array<string>, status string"
+#: seq numbers, texts and levels of events so far, whether the session has begun.
+STATE = "seqs array<bigint>, texts array<string>, levels array<string>, begun boolean"
 
 
 def session_state(calls: DataFrame, timeout: str = "10 minutes") -> DataFrame:
     """One summary for each session of (session_id, seq, kind, text, ts): kind
-    start begins it, chunk adds text, stop ends it. A chunk of a session that was
-    never begun is rejected. Event time past the timeout ends a session that no
-    stop has. A seq that is delivered twice counts once."""
+    start begins it, chunk adds text and the event that its text gives rise to,
+    stop ends it. A chunk of a session that was never begun is rejected. Event
+    time past the timeout ends a session that no stop has. A seq that is
+    delivered twice counts once."""
     wait = int(pd.Timedelta(timeout).total_seconds() * 1000)
+    names = ["session_id", "text", "chunks", "events", "levels", "status"]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seqs, texts, begun = state.get if state.exists else ([], [], False)
-        seen = dict(zip(seqs, texts, strict=True))
+        seqs, texts, levels, begun = state.get if state.exists else ([], [], [], False)
+        seen = dict(zip(seqs, zip(texts, levels, strict=True), strict=True))
 
         def summary(status: str) -> pd.DataFrame:
-            said = [seen[k] for k in sorted(seen) if seen[k]]
-            return pd.DataFrame([(key[0], "\n".join(said), len(seen), status)], columns=["session_id", "text", "chunks", "status"])
+            said = [seen[k] for k in sorted(seen)]
+            events = [level for _, level in said if level]
+            return pd.DataFrame([(key[0], "\n".join(text for text, _ in said if text), len(seen), len(events), events, status)], columns=names)
 
         if state.hasTimedOut:
             state.remove()
@@ -54,21 +57,21 @@ def session_state(calls: DataFrame, timeout: str = "10 minutes") -> DataFrame:
             elif row.kind == "stop":
                 stopped = True
             elif begun:
-                seen.setdefault(int(row.seq), row.text or "")
+                seen.setdefault(int(row.seq), (row.text or "", row.level or ""))
             else:
                 rejected += 1
         if rejected and not begun:
-            yield pd.DataFrame([(key[0], "", rejected, "rejected")], columns=["session_id", "text", "chunks", "status"])
+            yield pd.DataFrame([(key[0], "", rejected, 0, [], "rejected")], columns=names)
         if stopped and begun:
             if state.exists:
                 state.remove()
             yield summary("stopped")
         elif begun:
-            state.update((list(seen), list(seen.values()), begun))
+            state.update((list(seen), [t for t, _ in seen.values()], [x for _, x in seen.values()], begun))
             state.setTimeoutTimestamp(int(rows["ts"].max().timestamp() * 1000) + wait)
 
     ship_package(calls.sparkSession)
-    watched = calls.withWatermark("ts", timeout)
+    watched = calls.withColumn("level", call_level(F.col("text"))).withWatermark("ts", timeout)
     return watched.groupBy("session_id").applyInPandasWithState(run, SUMMARY, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 

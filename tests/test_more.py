@@ -83,11 +83,54 @@ def test_metrics(spark):
     assert tuple(sessions.desk_metrics(rows).first()) == (0.5, 1, 1, 0.25, 0.75, 25.0)
 
 
-def test_splits(spark):
-    rows = spark.createDataFrame([(f"s{i}", "a" if i % 4 else "b") for i in range(400)], "segment_id string, label string")
-    exact = learning.exact_split(rows, "label").groupBy("label").agg(F.count_if("held_out").alias("n")).collect()
-    assert {r.label: r.n for r in exact} == {"a": 60, "b": 20}
-    assert 40 < learning.stratified_split(rows, "label").filter("held_out").count() < 120
+@pytest.mark.parametrize("share", [0.0, 0.2, 0.5, 1.0])
+def test_splits_are_exact_by_class(spark, share):
+    rows = spark.createDataFrame([(f"s{i}", "a" if i % 4 else "b" if i % 8 else None) for i in range(400)] + [("alone", "c")], "segment_id string, label string")
+    got = {r.label: (r.n, r.k) for r in learning.stratified_split(rows, "label", share).groupBy("label").agg(F.count("*").alias("n"), F.count_if("held_out").alias("k")).collect()}
+    assert got == {x: (n, round(n * share)) for x, n in (("a", 300), ("b", 50), (None, 50), ("c", 1))}
+    again = learning.stratified_split(rows.repartition(7), "label", share).filter("held_out").select("segment_id").collect()
+    assert sorted(again) == sorted(learning.stratified_split(rows, "label", share).filter("held_out").select("segment_id").collect())
+    assert learning.stratified_split(rows.limit(0), "label").count() == 0
+
+
+def test_ngrams_are_of_characters(spark):
+    texts = ["", "a", "🚢é\nx", "aAa", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", learning.char_ngrams(F.coalesce("t", F.lit(""))).alias("g")).collect()
+    for r in rows:
+        t = r.t or ""
+        assert r.g == [t[i : i + n] for n in range(1, 5) for i in range(len(t) - n + 1)]
+
+
+def test_risk_classifier_on_held_out_texts(spark):
+    import random
+
+    rng = random.Random(1)
+    text = lambda high: " ".join(rng.choice(["fire", "Mayday", "sinking"] if high and rng.random() < 0.3 else ["berth", "tide", "pilot", "wind"]) for _ in range(20))
+    rows = spark.createDataFrame([(i, text(i % 5 == 0), "high" if i % 5 == 0 else "normal") for i in range(200)], "segment_id long, text string, label string")
+    split = learning.stratified_split(rows, "label")
+    model = learning.train_risk_classifier(split.filter("not held_out"), "text", "label", terms=1 << 14)
+    got = learning.classify(model, split.filter("held_out"), "text").collect()
+    assert sum(r.label == r.predicted for r in got) >= 0.9 * len(got) == 36
+
+
+def test_last_result_of_an_id_counts(spark):
+    segments = spark.createDataFrame([("1", "p1"), ("2", "p2"), ("3", "p3")], "segment_id string, clip_path string")
+    found = spark.createDataFrame([("1", None, "old", 1), ("1", None, "new", 2), (None, "p2", "x", 5), (None, "p2", "y", 4), ("", "", "z", 9)], "segment_id string, clip_path string, asr_text string, n int")
+    got = {r.segment_id: r.asr_text for r in models.join_external_results(segments, found, "m", order="n").collect()}
+    assert got == {"1": "new", "2": "x", "3": ""}
+    a = spark.createDataFrame([("1", "u"), ("1", "v"), ("2", "u"), (None, "u")], "segment_id string, role string")
+    b = spark.createDataFrame([("1", "u", 1), ("1", "v", 2), ("2", "u", 1), ("9", "u", 1)], "segment_id string, role string, n int")
+    row = models.pipeline_agreement(a, b, ["role"], order="n").first()
+    assert (row.compared_segments, row.agreement_role, row.first_rows, row.second_rows) == (3, 66.67, 4, 4)
+
+
+def test_lexicon_of_too_many_rules(spark, tmp_path, monkeypatch):
+    path = tmp_path / "lexicon.json"
+    path.write_text('{"ships": [{"canonical": "a", "aliases": ["b"]}, {"canonical": "cc", "aliases": ["d"]}]}')
+    assert [n for n, _ in readers.read_lexicon(spark, str(path))] == ["cc", "a"]
+    monkeypatch.setattr(readers, "MOST_RULES", 1)
+    with pytest.raises(ValueError, match="at most 1 rules"):
+        readers.read_lexicon(spark, str(path))
 
 
 def test_merged_labels(spark):
