@@ -92,8 +92,11 @@ def correct_lexicon(x: Column, rules: list[tuple[str, list[str]]]) -> Column:
 
 
 def keywords_in(x: Column, words: list[str]) -> Column:
-    """The words contained in x, in the list's order."""
-    return F.array_compact(F.array(*[F.when(F.contains(x, F.lit(w.lower())), F.lit(w)) for w in words]))
+    """The words contained in x, in the list's order. Most texts hold none of
+    them, which one pattern tells before each word is looked for."""
+    each = F.array_compact(F.array(*[F.when(F.contains(x, F.lit(w.lower())), F.lit(w)) for w in words]))
+    any_ = "|".join(rf"\Q{w.lower()}\E" for w in words)
+    return F.when(x.rlike(any_), each).otherwise(F.array().cast("array<string>")) if words else each
 
 
 def extract_keywords(x: Column, words: list[str]) -> Column:
@@ -128,20 +131,24 @@ def clamp_confidence(confidence: Column, score: Column, default: float = 0.85) -
     return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(confidence, score))), F.lit(default))
 
 
+def _distance(a: Column, b: Column) -> Column:
+    return F.when(a == b, F.lit(0)).otherwise(F.levenshtein(a, b))
+
+
 def edit_distance(a: Column, b: Column) -> Column:
-    return F.levenshtein(text_or_empty(a), text_or_empty(b))
+    return _distance(text_or_empty(a), text_or_empty(b))
 
 
 def cer(reference: Column, hypothesis: Column) -> Column:
     """Character error rate; may exceed 1. An empty reference has 0 against an
     empty hypothesis and else 1."""
-    return let(F.struct(norm_cer(reference).alias("r"), norm_cer(hypothesis).alias("h")), lambda x: F.when(x["r"] == "", F.when(x["h"] == "", F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(F.levenshtein(x["r"], x["h"]) / F.length(x["r"])))
+    return let(F.struct(norm_cer(reference).alias("r"), norm_cer(hypothesis).alias("h")), lambda x: F.when(x["r"] == "", F.when(x["h"] == "", F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(_distance(x["r"], x["h"]) / F.length(x["r"])))
 
 
 def similarity(a: Column, b: Column) -> Column:
     def of(x: Column) -> Column:
         longest = F.greatest(F.length(x["a"]), F.length(x["b"]))
-        return F.when(longest == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.levenshtein(x["a"], x["b"]) / longest))
+        return F.when(longest == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - _distance(x["a"], x["b"]) / longest))
 
     return let(F.struct(norm_agree(a).alias("a"), norm_agree(b).alias("b")), of)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callwatch.functions import lexicons as L
 from callwatch.functions import text as T
+from callwatch.runtime import dealt
 
 # The names that columns of other systems go by.
 TEXT_FIELDS = ("asr_text", "text", "prediction", "transcript", "transcription")
@@ -139,7 +140,8 @@ def agreement_queue(details: DataFrame, models: list[str]) -> DataFrame:
     all pairs of an item's predictions (1 for a single one), the longest, the
     first of several, as suggested reference, a priority, and a column for each
     model. Pairs are as many as the models' pairs, for each item."""
-    wide = details.groupBy("id").pivot("model", models).agg(F.max("prediction"))
+    # the aggregate needs this shuffle anyway; distances are dear, so its tasks are not merged
+    wide = dealt(details, "id").groupBy("id").pivot("model", models).agg(F.max("prediction"))
     said = F.array_compact(F.array(*[F.when(F.col(m).isNotNull(), F.struct(F.col(m).alias("p"))) for m in models]))
     pairs = [F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), T.similarity(F.col(a), F.col(b))) for i, a in enumerate(models) for b in models[i + 1 :]]
 

@@ -9,7 +9,7 @@ from callwatch.functions import text as T
 from callwatch.operators import models, sessions
 from callwatch.plans import views
 from callwatch.plans.sql import with_views
-from callwatch.runtime import table
+from callwatch.runtime import table, written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -70,7 +70,8 @@ _SIM = "case when greatest(length(x.np), length(y.np)) = 0 then 1.0 else greates
  w as (select doc_id, max(prediction) filter (where model = 'a') prediction__a, max(prediction) filter (where model = 'b') prediction__b, max(prediction) filter (where model = 'c') prediction__c, max(prediction) filter (where model = 'd') prediction__d, arg_max(prediction, length(prediction) * 10 - ascii(model) + 97) s from transcripts group by 1)
  select w.doc_id as id, round(agreement, 9) as agreement, s as suggested_reference, '' as human_reference, case when agreement < 0.75 then 'high' when agreement < 0.9 then 'medium' else 'low' end as review_priority, prediction__a, prediction__b, prediction__c, prediction__d from w join p on w.doc_id = p.doc_id order by agreement, id""")
 def agreement_queue(spark, sf_dir):
-    rows = models.agreement_queue(views.transcripts(spark, sf_dir).withColumnRenamed("doc_id", "id"), views.MODELS)
+    # written first, as a global sort reads its input twice
+    rows = written(models.agreement_queue(views.transcripts(spark, sf_dir).withColumnRenamed("doc_id", "id"), views.MODELS))
     return rows.orderBy("agreement", "id").withColumn("agreement", F.round("agreement", 9))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callwatch.runtime import table
+from callwatch.runtime import dealt, table
 
 PHRASES = [
     "Mayday，Mayday，本船东方18机舱起火，请求救助", "我船与渔船发生碰撞，船体进水", "交管中心，长江7号报告，已靠泊5号泊位", "VTS，新海9报告，锚地抛锚完毕", "新海9，VTS收到，请保持守听",
@@ -54,8 +54,9 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, reference, model, prediction): every turn of the conversations,
     whole, as four models heard it. Characters beyond ASCII are written as x, as
-    DuckDB's distance counts bytes. Distances are dear, so rows are dealt out."""
-    d = table(spark, sf_dir, "conversations").repartition("conv_id", "turn")
+    DuckDB's distance counts bytes. Distances cost far more than a shuffle of the
+    turns, so these are dealt over all cores."""
+    d = dealt(table(spark, sf_dir, "conversations"), "conv_id", "turn")
     r = d.select((F.col("conv_id") * 10_000 + F.col("turn")).alias("doc_id"), F.lower(F.regexp_replace("text", r"[^\x00-\x7F]", "x")).alias("reference"))
     said = [F.col("reference"), F.replace("reference", F.lit("e"), F.lit("")), F.replace("reference", F.lit("th"), F.lit("d")), F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.replace("reference", F.lit("a"), F.lit("o")))]
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), p.alias("prediction")) for m, p in zip(MODELS, said, strict=True)]))

@@ -67,6 +67,13 @@ def in_tasks(df: DataFrame, rows: int, per_task: int = 500_000) -> DataFrame:
     return df.coalesce(rows // per_task + 1)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hashed by ``keys`` over all cores, for work that costs far more than
+    its bytes suggest; adaptive execution doesn't merge these tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and read
     again from there if an executor is lost."""
