@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callwatch.runtime import map_arrow
+
 AUDIO, FRAME, LEVEL = "audio_id", "frame_idx", "rms"
 
 #: Settings by use: silence and longest segment in ms (0: no limit).
@@ -29,18 +36,24 @@ def downmix(samples: DataFrame) -> DataFrame:
     return samples.groupBy(AUDIO, "i").agg(F.avg("x").alias("x"))
 
 
-def _nearest_rank(levels: Column, percent: float) -> Column:
-    place = F.bround((F.size(levels) - 1) * min(100.0, max(0.0, percent)) / 100)
-    return F.element_at(levels, place.cast("int") + 1)
-
-
 def adaptive_threshold(frames: DataFrame, floor: float, noise_pct: float = 20, speech_pct: float = 90, ratio: float = 0.35, mode: str = "adaptive") -> DataFrame:
     """(audio_id, threshold): noise plus a share of what speech stands above it,
     both nearest-rank percentiles of the positive levels; the floor at least,
-    and where speech is not above noise. A recording's levels meet in one row."""
-    levels = frames.groupBy(AUDIO).agg(F.sort_array(F.collect_list(F.when(F.col(LEVEL) > 0, F.col(LEVEL)))).alias("__l"))
-    noise, speech = _nearest_rank(F.col("__l"), noise_pct), _nearest_rank(F.col("__l"), speech_pct)
-    fixed = (F.size("__l") == 0) if mode == "adaptive" else F.lit(True)
+    and where speech is not above noise. Frames are counted by level first, so
+    a recording of any length is one row for each level of 16-bit sound."""
+    level = F.when(F.col(LEVEL) > 0, F.col(LEVEL))
+    counts = frames.groupBy(AUDIO, level.alias("__level")).agg(F.count(level).alias("__n"))
+    whole = Window.partitionBy(AUDIO)
+    upto = whole.orderBy(F.asc_nulls_first("__level")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("__upto", F.sum("__n").over(upto)).withColumn("__total", F.sum("__n").over(whole))
+
+    def nearest_rank(percent: float) -> Column:
+        place = F.bround((F.col("__total") - 1) * min(100.0, max(0.0, percent)) / 100)
+        return F.min(F.when(F.col("__upto") > place, F.col("__level")))
+
+    levels = ranked.groupBy(AUDIO).agg(F.max("__total").alias("__total"), nearest_rank(noise_pct).alias("__noise"), nearest_rank(speech_pct).alias("__speech"))
+    noise, speech = F.col("__noise"), F.col("__speech")
+    fixed = (F.col("__total") == 0) if mode == "adaptive" else F.lit(True)
     value = F.when(fixed, F.lit(float(floor))).when(speech <= noise, F.lit(float(floor))).otherwise(F.greatest(F.lit(float(floor)), noise + (speech - noise) * ratio))
     return levels.select(AUDIO, value.cast("double").alias("threshold"))
 
@@ -54,61 +67,74 @@ def _voiced(frames: DataFrame, thresholds: DataFrame) -> DataFrame:
     return frames.join(known, F.col(AUDIO) == F.col("__a")).withColumn("voiced", F.col(LEVEL) >= F.col("threshold")).drop("__a")
 
 
+#: Frames of a recording that one task takes when voiced runs are sought.
+STRETCH = 32_768
+
+
 def energy_segments(frames: DataFrame, thresholds: DataFrame, frame_ms: int = 30, silence_ms: int = 90, min_speech_ms: int = 60, max_segment_ms: int = 0) -> DataFrame:
     """(audio_id, start_ms, end_ms) of the voiced runs of each recording.
 
     A run ends after enough silent frames; shorter gaps belong to it. It is
     reported one frame past its last voiced one; a run that is open at the end
     of the recording reaches to the last frame. Runs shorter than the least
-    speech are left out. Without a longest segment the runs come from one window
-    over the voiced frames; with one, each recording's frames are folded in order.
+    speech are left out. With a longest segment, a run is also cut when it has
+    that many frames, and goes on at the next voiced frame.
+
+    Recordings are dealt over tasks in stretches of frames; a window in each
+    stretch finds the pieces of runs, and only pieces meet by recording.
     """
     silent, least = _frames_of(silence_ms, frame_ms), _frames_of(min_speech_ms, frame_ms)
-    marked = _voiced(frames, thresholds)
-    if max_segment_ms > 0:
-        return _capped(marked, frame_ms, silent, least, max_segment_ms // frame_ms)
-    ends = frames.groupBy(F.col(AUDIO).alias("__a")).agg(F.max(FRAME).alias("__last"))
-    order = Window.partitionBy(AUDIO).orderBy(FRAME)
+    ends = frames.groupBy(F.col(AUDIO).alias("__a")).agg(F.max(FRAME).cast("long").alias("__end"))
+    voiced = _voiced(frames, thresholds).filter("voiced").select(AUDIO, F.col(FRAME).cast("long").alias(FRAME)).withColumn("__b", F.floor(F.col(FRAME) / STRETCH))
+    order = Window.partitionBy(AUDIO, "__b").orderBy(FRAME)
     new = F.coalesce((F.col(FRAME) - F.lag(FRAME).over(order) > silent).cast("int"), F.lit(1))
-    runs = marked.filter("voiced").withColumn("__new", new).withColumn("__run", F.sum("__new").over(order)).groupBy(AUDIO, "__run").agg(F.min(FRAME).alias("first"), F.max(FRAME).alias("last"))
-    placed = runs.join(ends, F.col(AUDIO) == F.col("__a"))
-    open_ = F.col("__last") - F.col("last") < silent
-    stop = F.when(open_, F.col("__last") + 1).otherwise(F.col("last") + 2)
-    return placed.withColumn("__stop", stop).filter(F.col("__stop") - F.col("first") >= least).select(AUDIO, (F.col("first") * frame_ms).cast("long").alias("start_ms"), (F.col("__stop") * frame_ms).cast("long").alias("end_ms"))
-
-
-def _capped(marked: DataFrame, frame_ms: int, silent: int, least: int, most: int) -> DataFrame:
-    """Runs that are also cut at ``most`` frames; the next begins at the next
-    voiced frame. The silence rule comes first."""
-    done_type = "array<struct<first:bigint,stop:bigint>>"
-    zero = F.struct(F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), F.array().cast(done_type).alias("done"))
-
-    def closed(acc: Column, stop: Column) -> Column:
-        return F.concat(acc["done"], F.array(F.struct(acc["first"].alias("first"), stop.alias("stop"))))
-
-    def state(first: Column, last: Column, done: Column) -> Column:
-        return F.struct(first.alias("first"), last.alias("last"), done.alias("done"))
-
-    nothing = F.lit(None).cast("long")
-
-    def step(acc: Column, x: Column) -> Column:
-        i, voiced = x[FRAME], x["voiced"]
-        first = F.coalesce(acc["first"], F.when(voiced, i))
-        last = F.when(voiced, i).otherwise(acc["last"])
-        silence = ~voiced & (i - acc["last"] >= silent)
-        long = i - first + 1 >= most
-        return (
-            F.when(first.isNull(), state(nothing, nothing, acc["done"]))
-            .when(silence, state(nothing, nothing, closed(acc, acc["last"] + 2)))
-            .when(long, state(nothing, nothing, F.concat(acc["done"], F.array(F.struct(first.alias("first"), (i + 1).alias("stop"))))))
-            .otherwise(state(first, last, acc["done"]))
-        )
-
-    rows = marked.groupBy(AUDIO).agg(F.sort_array(F.collect_list(F.struct(F.col(FRAME).cast("long").alias(FRAME), "voiced"))).alias("x"))
-    end = F.element_at("x", -1)[FRAME] + 1
-    runs = rows.select(AUDIO, F.aggregate("x", zero, step).alias("s"), end.alias("end"))
-    every = F.when(F.col("s.first").isNotNull(), F.concat("s.done", F.array(F.struct(F.col("s.first").alias("first"), F.col("end").alias("stop"))))).otherwise(F.col("s.done"))
-    return runs.select(AUDIO, F.explode(every).alias("r")).filter(F.col("r.stop") - F.col("r.first") >= least).select(AUDIO, (F.col("r.first") * frame_ms).alias("start_ms"), (F.col("r.stop") * frame_ms).alias("end_ms"))
+    voiced = voiced.withColumn("__new", new).withColumn("__piece", F.sum("__new").over(order)).drop("__new")
+    along = Window.partitionBy(AUDIO).orderBy("__b", "__piece")
+    pieces = voiced.groupBy(AUDIO, "__b", "__piece").agg(F.min(FRAME).alias("__first"), F.max(FRAME).alias("__last"))
+    begins = F.coalesce(F.col("__first") - F.lag("__last").over(along) > silent, F.lit(True))
+    pieces = pieces.withColumn("__begin", F.when(begins, F.col("__first"))).withColumn("__run", F.last("__begin", ignorenulls=True).over(along))
+    runs = pieces.groupBy(AUDIO, "__run").agg(F.max("__last").alias("__last"))
+    start, last, end = F.col("__run"), F.col("__last"), F.col("__end")
+    stop = F.when(end - last < silent, end + 1).otherwise(last + 2)
+    most = _frames_of(max_segment_ms, frame_ms)
+    if max_segment_ms > 0:
+        runs, start = _cut(voiced, pieces, runs, most), F.col("__start")
+        stop = F.when(start + most - 1 <= F.least(last + silent - 1, end), start + most).otherwise(stop)
+    placed = runs.join(ends, F.col(AUDIO) == F.col("__a")).withColumn("__stop", stop)
+    return placed.filter(F.col("__stop") - start >= least).select(AUDIO, (start * frame_ms).alias("start_ms"), (F.col("__stop") * frame_ms).alias("end_ms"))
+
+
+def _cut(voiced: DataFrame, pieces: DataFrame, runs: DataFrame, most: int) -> DataFrame:
+    """(audio_id, __start, __last): where the segments of at most ``most`` frames
+    of each run begin, and the run's last voiced frame. Runs don't depend on each
+    other; the voiced frames of those that are long enough to be cut are sorted
+    and walked in batches, so that none is held whole."""
+    long = F.col("__last") - F.col("__run") >= most
+    wanted = pieces.select(AUDIO, "__b", "__piece", "__run").join(runs.filter(long), [AUDIO, "__run"])
+    walked = voiced.join(wanted, [AUDIO, "__b", "__piece"]).select(AUDIO, "__run", "__last", FRAME)
+    walked = walked.repartition(F.col(AUDIO), F.col("__run")).sortWithinPartitions(AUDIO, "__run", FRAME)
+    cut = map_arrow(walked, _starts(most), walked.schema).select(AUDIO, F.col(FRAME).alias("__start"), "__last").distinct()
+    return runs.filter(~long).select(AUDIO, F.col("__run").alias("__start"), "__last").unionByName(cut)
+
+
+def _starts(most: int):
+    """Of the sorted voiced frames of runs, those at which a segment begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        due = 0
+        for batch in batches:
+            frame, first = batch.column(FRAME).to_numpy(), batch.column("__run").to_numpy()
+            keep = np.zeros(len(frame), bool)
+            edges = np.unique(np.concatenate([[0], np.flatnonzero(frame == first), [len(frame)]]))
+            for a, b in itertools.pairwise(edges.tolist()):
+                if frame[a] == first[a]:
+                    due = frame[a]
+                while (a := a + int(np.searchsorted(frame[a:b], due))) < b:
+                    keep[a] = True
+                    due = frame[a] + most
+            yield batch.filter(pa.array(keep))
+
+    return run
 
 
 def fixed_split(recordings: DataFrame, segments: DataFrame, max_ms: int) -> DataFrame:

@@ -34,10 +34,28 @@ def model(levels, floor, silent, least, most=0):
     return sorted((a, b) for a, b in out if b - a >= least)
 
 
-@pytest.mark.parametrize("cap", [0, 240])
-def test_runs_match_the_model(spark, cap):
+def rank(levels, percent):
+    return sorted(levels)[round((len(levels) - 1) * percent / 100)]
+
+
+def test_thresholds_match_the_model(spark):
+    rng = random.Random(5)
+    data = {k: [rng.choice([0, 0, 300, 500, rng.randint(1, 4000)]) for _ in range(rng.randint(1, 40))] for k in range(60)} | {99: [0, 0], 98: [None]}
+    frames = spark.createDataFrame([(k, i, x) for k, v in data.items() for i, x in enumerate(v)], "audio_id long, frame_idx long, rms int")
+    got = {r.audio_id: r.threshold for r in audio.adaptive_threshold(frames, 400).collect()}
+    for k, v in data.items():
+        some = [x for x in v if x]
+        low, high = (rank(some, 20), rank(some, 90)) if some else (0, 0)
+        assert got[k] == pytest.approx(max(400, low + (high - low) * 0.35) if high > low else 400), k
+    assert audio.adaptive_threshold(frames.limit(0), 400).count() == 0
+
+
+@pytest.mark.parametrize("stretch", [7, audio.STRETCH])
+@pytest.mark.parametrize("cap", [0, 30, 240])
+def test_runs_match_the_model(spark, monkeypatch, cap, stretch):
+    monkeypatch.setattr(audio, "STRETCH", stretch)
     rng = random.Random(7)
-    data = {k: [rng.choice([0, 0, 500, 1500]) for _ in range(rng.randint(1, 60))] for k in range(60)}
+    data = {k: [rng.choice([0, 0, 500, 1500] if k % 2 else [0, 1500, 1500]) for _ in range(rng.randint(1, 60))] for k in range(60)}
     frames = spark.createDataFrame([(k, i, x) for k, v in data.items() for i, x in enumerate(v)], "audio_id long, frame_idx long, rms int")
     fixed = audio.adaptive_threshold(frames, 1000, mode="fixed")
     got = {}
