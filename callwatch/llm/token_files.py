@@ -28,7 +28,7 @@ def _encoded(path: str, end: int):
         for batch in pieces(batches, AT_ONCE):
             ids, counts = encoder(path).encode(batch.column("text"))
             ends = np.cumsum(counts)
-            ids = np.insert(ids, ends, end).astype(np.int32)
+            ids = np.insert(ids, ends, end).view(np.int32)
             starts = np.concatenate([[0], np.cumsum(counts + 1)])
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
             columns = [batch.column("doc_id"), pa.array(np.full(len(batch), part, np.int32)), pa.array(offset + starts[:-1]), pa.array(counts + 1), lists]

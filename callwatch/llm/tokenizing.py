@@ -52,7 +52,8 @@ class Encoder:
             self.bytes_of[i] = len(token)
         # the pieces remembered: where their ids begin in ``ids``, how many they are, and uses
         self.known = pa.array([], pa.string())
-        self.start = self.length = self.uses = np.empty(0, np.int64)
+        self.start = self.length = np.empty(0, np.int32)
+        self.uses = np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
 
     def _forget(self) -> None:
@@ -62,7 +63,7 @@ class Encoder:
         self.known, start, self.length = self.known.filter(pa.array(stay)), self.start[stay], self.length[stay]
         upto = np.cumsum(self.length)
         self.ids = self.ids[np.repeat(start - upto + self.length, self.length) + np.arange(self.length.sum())]
-        self.start = upto - self.length
+        self.start = (upto - self.length).astype(np.int32)
         self.uses = np.zeros(len(self.known), np.int64)
 
     def _cut(self, texts: pa.Array) -> pa.ListArray:
@@ -101,8 +102,8 @@ class Encoder:
         for pieces, encode in ((new.filter(joins), self._together), (new.filter(pc.invert(joins)), lambda x: self._each(x.to_pylist()))):
             found, sizes = encode(pieces)
             self.known = pa.concat_arrays([self.known, pieces])
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
-            self.length = np.concatenate([self.length, sizes])
+            self.start = np.concatenate([self.start, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)])
+            self.length = np.concatenate([self.length, sizes.astype(np.int32)])
             self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int64)])
             self.ids = np.concatenate([self.ids, *found])
 
@@ -111,6 +112,7 @@ class Encoder:
         has, how many pieces each text has, and the list."""
         if len(self.known) > REMEMBERED:
             self._forget()
+        pa.default_memory_pool().release_unused()  # what the last batch took, before this one takes as much
         whole = np.full(len(texts), not self.by_piece)
         if self.by_piece and len(texts):
             tests = [pc.match_substring_regex(texts, _OTHER_SPACE), *(pc.match_substring(texts, x) for x in self.special)]
