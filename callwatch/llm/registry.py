@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callwatch.llm import decontamination, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, substring_dedup, token_counts, token_files
+from callwatch.llm import conversation_repair, decontamination, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, spelling, substring_dedup, token_counts, token_files, vector_search
 from callwatch.llm.oracles import ORACLES
 from callwatch.runtime import table
 
@@ -61,6 +61,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_documents(spark, sf_dir))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_decontamination, op4_mixing, op5_token_files, op6_near_dedup, op7_quality_classifier, op8_sharding, op9_token_counts, op10_pii, pipeline)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_decontamination, op4_mixing, op5_token_files, op6_near_dedup, op7_quality_classifier, op8_sharding, op9_token_counts, op10_pii, op11_spelling_variants, op12_conversation_repair, op13_nearest_neighbours, pipeline)}
 
 
 def oracles() -> dict[str, str]:
