@@ -58,7 +58,7 @@ def adaptive_threshold(frames: DataFrame, floor: float, noise_pct: float = 20, s
     return levels.select(AUDIO, value.cast("double").alias("threshold"))
 
 
-def _frames_of(ms: int, frame_ms: int) -> int:
+def frames_of(ms: int, frame_ms: int) -> int:
     return max(1, ms // frame_ms)
 
 
@@ -83,7 +83,7 @@ def energy_segments(frames: DataFrame, thresholds: DataFrame, frame_ms: int = 30
     Recordings are dealt over tasks in stretches of frames; a window in each
     stretch finds the pieces of runs, and only pieces meet by recording.
     """
-    silent, least = _frames_of(silence_ms, frame_ms), _frames_of(min_speech_ms, frame_ms)
+    silent, least = frames_of(silence_ms, frame_ms), frames_of(min_speech_ms, frame_ms)
     ends = frames.groupBy(F.col(AUDIO).alias("__a")).agg(F.max(FRAME).cast("long").alias("__end"))
     voiced = _voiced(frames, thresholds).filter("voiced").select(AUDIO, F.col(FRAME).cast("long").alias(FRAME)).withColumn("__b", F.floor(F.col(FRAME) / STRETCH))
     order = Window.partitionBy(AUDIO, "__b").orderBy(FRAME)
@@ -96,7 +96,7 @@ def energy_segments(frames: DataFrame, thresholds: DataFrame, frame_ms: int = 30
     runs = pieces.groupBy(AUDIO, "__run").agg(F.max("__last").alias("__last"))
     start, last, end = F.col("__run"), F.col("__last"), F.col("__end")
     stop = F.when(end - last < silent, end + 1).otherwise(last + 2)
-    most = _frames_of(max_segment_ms, frame_ms)
+    most = frames_of(max_segment_ms, frame_ms)
     if max_segment_ms > 0:
         runs, start = _cut(voiced, pieces, runs, most), F.col("__start")
         stop = F.when(start + most - 1 <= F.least(last + silent - 1, end), start + most).otherwise(stop)

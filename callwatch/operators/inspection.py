@@ -142,10 +142,11 @@ def inspect_ships(ships: DataFrame, areas: DataFrame, min_draft: float = 0.0, mi
     return by_shape.unionByName(by_name).unionByName(by_part)
 
 
-def notices(matches: DataFrame, template: str) -> DataFrame:
-    """One notice for each matched ship and area; ids depend on both."""
+def notices(matches: DataFrame, template: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One notice for each matched ship and area; ids depend on both. Columns of
+    the match that are to ``keep`` follow."""
     number = F.substring(F.sha2(F.concat_ws("|", F.col("ship_id").cast("string"), F.col("area_id").cast("string")), 256), 1, 10)
-    return matches.select(F.concat(F.lit("notice_"), number).alias("notice_id"), "ship_id", "area_id", T.render_notice(F.lit(template), F.col("ship_name"), T.text_or_empty(F.col("area_name"))).alias("notice_text"))
+    return matches.select(F.concat(F.lit("notice_"), number).alias("notice_id"), "ship_id", "area_id", T.render_notice(F.lit(template), F.col("ship_name"), T.text_or_empty(F.col("area_name"))).alias("notice_text"), *keep)
 
 
 def inspection_meta(matches: DataFrame, sent: DataFrame, min_draft: float = 0.0, min_tonnage: int = 0, types: list[str] | None = None) -> DataFrame:

@@ -23,11 +23,12 @@ def call_level(x: Column, groups: list[dict] = L.ROUTING) -> Column:
     return T.let(F.lower(T.trim_ws(x)), lambda t: F.get(_group_hits(t, groups), F.lit(0))["level"])
 
 
-def route_calls(calls: DataFrame, groups: list[dict] = L.ROUTING, threshold: float = 0.8) -> DataFrame:
+def route_calls(calls: DataFrame, groups: list[dict] = L.ROUTING, threshold: float = 0.8, keep: tuple[str, ...] = ()) -> DataFrame:
     """One event for each call that a routing group is hit by, of the first such
     group. Calls below the confidence threshold go to review: automatic replies
     become rechecks. Event ids depend on the call and the level, so retries
-    don't double events. Null confidence counts as 0."""
+    don't double events. Null confidence counts as 0. Columns of the call that are
+    to ``keep`` follow."""
     first = T.let(F.lower(T.trim_ws(F.col("text"))), lambda t: F.get(_group_hits(t, groups), F.lit(0)))
     low = F.coalesce(F.col("confidence"), F.lit(0.0)) < threshold
     found = calls.withColumn("__g", first).filter(F.col("__g").isNotNull())
@@ -48,6 +49,7 @@ def route_calls(calls: DataFrame, groups: list[dict] = L.ROUTING, threshold: flo
         F.when(recheck, F.lit("auto_reply_recheck")).otherwise(F.col("__g.action_type")).alias("action_type"),
         (F.col("__g.review") | low).alias("requires_human_review"),
         (F.col("__g.auto") & ~low).alias("is_auto_reply"),
+        *keep,
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callwatch.functions import text as T
+from callwatch.runtime import numbered
 
 DIMENSIONS = {"role": "role_pred", "crisis_label": "crisis_label_pred", "automation_label": "automation_label_pred", "scenario": "scenario_pred", "source": "analysis_source"}
 
@@ -114,9 +115,11 @@ def event_by_id(events: DataFrame, event_id: str) -> DataFrame:
 
 
 def search_records(records: DataFrame, needle: str) -> DataFrame:
-    """Records whose text or reply holds the needle; blank finds all."""
+    """Records (segment_id, ts, text, reply) whose text or reply holds the needle,
+    newest first; blank finds all."""
     word = needle.strip()
-    return records.filter(F.contains(F.concat_ws(" ", "text", "reply"), F.lit(word))) if word else records
+    found = records.filter(F.contains(F.concat_ws(" ", "text", "reply"), F.lit(word))) if word else records
+    return found.orderBy(F.desc("ts"), F.desc("segment_id"))
 
 
 def coverage_sample(rows: DataFrame, category: str, k: int, key: str = "segment_id") -> DataFrame:
@@ -147,14 +150,46 @@ def channel_messages(calls: DataFrame, events: DataFrame) -> DataFrame:
     return chunk.unionByName(risk).unionByName(advice)
 
 
+def segment_payloads() -> tuple[Column, Column]:
+    """A segment's bounds and its result, as JSON."""
+    length = F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms")).alias("duration_ms")
+    return F.to_json(F.struct(F.col("idx").alias("index"), "start_ms", "end_ms", length)), F.to_json(F.struct("segment_id", "start_ms", "end_ms", "text"))
+
+
 def recording_messages(segments: DataFrame, events: DataFrame) -> DataFrame:
     """(channel_id, type, payload) for segments (channel_id, segment_id, idx,
     start_ms, end_ms, text): each one's bounds and result, and for each channel a
     status with its segments once voices are found and one at the end with its
     events too."""
-    length = F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms")).alias("duration_ms")
-    found = segments.select("channel_id", F.lit("vad_segment").alias("type"), F.to_json(F.struct(F.col("idx").alias("index"), "start_ms", "end_ms", length)).alias("payload"))
-    result = segments.select("channel_id", F.lit("segment_result").alias("type"), F.to_json(F.struct("segment_id", "start_ms", "end_ms", "text")).alias("payload"))
+    bounds, said = segment_payloads()
+    found = segments.select("channel_id", F.lit("vad_segment").alias("type"), bounds.alias("payload"))
+    result = segments.select("channel_id", F.lit("segment_result").alias("type"), said.alias("payload"))
     counts = run_meta(segments, events)
     status = F.explode(F.array(F.to_json(F.struct(F.lit("vad_detected").alias("stage"), "segment_count")), F.to_json(F.struct(F.lit("completed").alias("stage"), "segment_count", "event_count"))))
     return found.unionByName(result).unionByName(counts.select("channel_id", F.lit("stream_status").alias("type"), status.alias("payload")))
+
+
+#: Kinds of messages of a call in the order in which they are sent.
+CALL_MESSAGES = ["stream_chunk_result", "risk_event", "broadcast_recommendation"]
+
+
+def feed_of_calls(calls: DataFrame, events: DataFrame) -> DataFrame:
+    """(channel_id, ts, seq, place, type, payload): the messages of
+    ``channel_messages`` with what orders them; ``events`` carry the ts and seq of
+    their calls."""
+    place = {kind: i for i, kind in enumerate(CALL_MESSAGES)}
+    payloads = {
+        CALL_MESSAGES[0]: (calls, ["segment_id", "seq", "text"]),
+        CALL_MESSAGES[1]: (events, ["segment_id", "risk_level", "action_type"]),
+        CALL_MESSAGES[2]: (events, ["segment_id", "broadcast_text"]),
+    }
+    parts = [rows.select("channel_id", "ts", F.col("seq").cast("long").alias("seq"), F.lit(place[kind]).alias("place"), F.lit(kind).alias("type"), F.to_json(F.struct(*fields)).alias("payload")) for kind, (rows, fields) in payloads.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def ordered_feed(messages: DataFrame) -> DataFrame:
+    """(channel_id, number, type, payload) of messages (channel_id, ts, seq, place,
+    type, payload): numbered in each channel from 1 by time, seq, place and
+    payload. A channel of any length is numbered over several tasks."""
+    plain = messages.select("channel_id", F.unix_millis("ts").alias("__at"), F.col("seq").alias("__seq"), F.col("place").alias("__place"), "type", "payload")
+    return numbered(plain, ["__at", "__seq", "__place", "payload"], "number", "channel_id").select("channel_id", "number", "type", "payload")

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from callwatch.functions import text as T
 from callwatch.operators.models import guard_columns
-from callwatch.runtime import ship_package
+from callwatch.runtime import ship_package, use_rocksdb
 
 Result = tuple[str, float | None, str]
 
@@ -50,24 +51,39 @@ def transcribe(segments: DataFrame, load: Callable[[], Callable[[str], Result]],
     return guard_columns(clean.withColumn("asr_model_name", F.lit(model)).withColumn("asr_provider", F.lit(provider)))
 
 
-def transcribe_stream(chunks: DataFrame, step: Callable[[bytes, bytes, bool], tuple[str, bytes]]) -> DataFrame:
-    """(recording, seq, samples, is_final) -> (recording, seq, text) with a model's
-    cache of bytes kept for each recording until its final chunk. Chunks of one
-    batch are taken in order."""
+class Listening(StatefulProcessor):
+    """A model's cache of bytes for a recording."""
+
+    def __init__(self, step: Callable[[bytes, bytes, bool], tuple[str, bytes]], ttl: int):
+        self.step, self.ttl = step, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.cache = handle.getValueState("cache", "bytes binary", self.ttl)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cache = state.get[0] if state.exists else b""
-        rows = pd.concat(list(batches)).sort_values("seq")
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        cache = bytes(self.cache.get()[0]) if self.cache.exists() else b""
         out, done = [], False
-        for row in rows.itertuples(index=False):
-            text, cache = step(bytes(row.samples), cache, bool(row.is_final))
+        for row in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
+            text, cache = self.step(bytes(row.samples), cache, bool(row.is_final))
             done = bool(row.is_final)
             out.append((key[0], row.seq, text))
         if done:
-            state.remove()
+            self.cache.clear()
         else:
-            state.update((cache,))
+            self.cache.update((cache,))
         yield pd.DataFrame(out, columns=["recording", "seq", "text"])
 
-    ship_package(chunks.sparkSession)
-    return chunks.groupBy("recording").applyInPandasWithState(run, "recording string, seq long, text string", "cache binary", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def transcribe_stream(chunks: DataFrame, step: Callable[[bytes, bytes, bool], tuple[str, bytes]], ttl: str = "1 hour") -> DataFrame:
+    """(recording, seq, samples, is_final) -> (recording, seq, text) with a model's
+    cache of bytes kept for each recording until its final chunk. Chunks of one
+    batch are taken in order. A recording without a final chunk is forgotten
+    when none has come for the ttl, in processing time."""
+    spark = chunks.sparkSession
+    ship_package(spark)
+    use_rocksdb(spark)
+    plain = chunks.select("recording", "seq", "samples", "is_final")
+    return plain.groupBy("recording").transformWithStateInPandas(Listening(step, int(pd.Timedelta(ttl).total_seconds() * 1000)), "recording string, seq long, text string", "append", "processingTime")

@@ -310,11 +310,11 @@ def event_by_id(spark, sf_dir):
     return sessions.event_by_id(routing.route_calls(views.plain_calls(spark, sf_dir)), wanted).select("event_id", "segment_id", "risk_level")
 
 
-@query(with_views("calls", extra=EVENTS) + "select c.segment_id, c.text, e.suggestion as reply from calls c join events_of e on c.segment_id = e.segment_id where contains(concat_ws(' ', c.text, e.suggestion), '人工')")
+@query(with_views("calls", extra=EVENTS) + "select c.segment_id, c.ts, c.text, e.suggestion as reply from calls c join events_of e on c.segment_id = e.segment_id where contains(concat_ws(' ', c.text, e.suggestion), '人工') order by c.ts desc, c.segment_id desc")
 def search_records(spark, sf_dir):
     c = views.plain_calls(spark, sf_dir)
     e = routing.route_calls(c).select(F.col("segment_id").alias("__s"), F.col("suggestion").alias("reply"))
-    return sessions.search_records(c.join(e, F.col("segment_id") == F.col("__s")).select("segment_id", "text", "reply"), "人工")
+    return sessions.search_records(c.join(e, F.col("segment_id") == F.col("__s")).select("segment_id", "ts", "text", "reply"), "人工")
 
 
 @query(C + "select segment_id, ts, text from calls order by ts, segment_id limit 50")
@@ -356,6 +356,15 @@ def channel_messages(spark, sf_dir):
     return sessions.channel_messages(c, routing.route_calls(c))
 
 
+@query(with_views("calls", extra=EVENTS) + """, m as (select c.channel_id, c.ts, 0 as place, 'stream_chunk_result' as type, concat('{"segment_id":"', segment_id, '","seq":', seq, ',"text":"', text, '"}') as payload from calls c
+ union all select e.channel_id, c.ts, 1, 'risk_event', concat('{"segment_id":"', e.segment_id, '","risk_level":"', risk_level, '","action_type":"', action_type, '"}') from events_of e join calls c on c.segment_id = e.segment_id
+ union all select e.channel_id, c.ts, 2, 'broadcast_recommendation', concat('{"segment_id":"', e.segment_id, '","broadcast_text":"', broadcast_text, '"}') from events_of e join calls c on c.segment_id = e.segment_id)
+ select channel_id, row_number() over (partition by channel_id order by ts, place, payload) as number, type, payload from m""")
+def ordered_messages(spark, sf_dir):
+    c = views.calls(spark, sf_dir)
+    return sessions.ordered_feed(sessions.feed_of_calls(c, routing.route_calls(c, keep=("ts", "seq"))))
+
+
 _SPAN = "seq * 1200 as start_ms, seq * 1200 + 1000 as end_ms"
 
 
@@ -417,3 +426,11 @@ def risk_classifier(spark, sf_dir):
 def rule_fallback(spark, sf_dir):
     rows = views.plain_calls(spark, sf_dir).select("segment_id", routing.rule_fallback(F.col("text")).alias("x")).select("segment_id", "x.*")
     return rows.withColumns({c: bar(c) for c in ("evidence", "ship_hits", "operator_hits")})
+
+
+@query("with d as (select case when quality = 1 then 'high' else 'low' end risk, case when toxic = 1 then 'uncertain' when doc_id % 3 = 0 then 'low' else 'high' end predicted_risk, ['ship', 'operator'][doc_id % 2 + 1] as role, ['ship', 'operator'][doc_id % 5 % 2 + 1] predicted_role, doc_id % 997 latency_ms from labels) select count(*) filter (where risk = 'high' and predicted_risk = 'high') / nullif(count(*) filter (where risk = 'high'), 0) as high_recall, count(*) filter (where risk = 'high' and predicted_risk <> 'high') as high_misses, count(*) filter (where risk <> 'high' and predicted_risk = 'high') as high_alarms, avg((predicted_risk = 'uncertain')::int::double) as uncertain_rate, avg((role = predicted_role)::int::double) as role_accuracy, avg(latency_ms) as mean_latency_ms from d")
+def desk_metrics(spark, sf_dir):
+    n = F.col("doc_id")
+    said = F.when(F.col("toxic") == 1, "uncertain").when(n % 3 == 0, "low").otherwise("high")
+    rows = table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, "high").otherwise("low").alias("risk"), said.alias("predicted_risk"), views.pick(["ship", "operator"], n % 2).alias("role"), views.pick(["ship", "operator"], n % 5 % 2).alias("predicted_role"), (n % 997).alias("latency_ms"))
+    return sessions.desk_metrics(rows)

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -32,6 +32,11 @@ def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFra
     return df.mapInArrow(run, schema)
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """The state store that streaming processors with maps and timers need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark from whatever store ``sf_dir`` names."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -116,3 +121,18 @@ def spread_join(left: DataFrame, right: DataFrame, on: dict[str, str], counts: D
     b = dealt(right, on, lambda n: F.explode(F.sequence(F.lit(0), n - 1))).withColumnsRenamed({c: f"__{i}_key" for i, c in enumerate(on.values())}).withColumnRenamed("__salt", "__other_salt")
     same = [F.col(c) == F.col(f"__{i}_key") for i, c in enumerate(on)] + [F.col("__salt") == F.col("__other_salt")]
     return a.join(b, same).drop("__salt", "__other_salt", *[f"__{i}_key" for i in range(len(on))])
+
+
+def numbered(df: DataFrame, order: list[str], name: str, within: str | None = None) -> DataFrame:
+    """``df`` with a column that numbers its rows from 1 by ``order``, or those of
+    each value of ``within``. Rows are ranged over partitions and numbered in
+    each, after the counts of those before; only a row for each partition and
+    value meets in a task, so neither one value nor the whole is sorted in one."""
+    value = F.col(within) if within else F.lit(0)
+    placed = written(df.withColumn("__within", value).repartitionByRange("__within", *order).withColumn("__part", F.spark_partition_id()))
+    counts = placed.groupBy(F.col("__within").alias("__w"), F.col("__part").alias("__p")).agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy("__w").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("__w", "__p", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__part", "__within").orderBy(*order))
+    same = (F.col("__part") == F.col("__p")) & F.col("__within").eqNullSafe(F.col("__w"))
+    return placed.withColumn("__rank", rank).join(before, same).withColumn(name, F.col("__before") + F.col("__rank")).drop("__part", "__rank", "__p", "__before", "__within", "__w")

@@ -8,14 +8,14 @@ from io import BytesIO
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callwatch.functions import lexicons as L
 from callwatch.functions import text as T
 from callwatch.operators.models import normalize_analysis
 from callwatch.operators.routing import last_wins
-from callwatch.runtime import ship_package, written
+from callwatch.runtime import numbered, ship_package
 
 # Audio suffixes, and folders that hold made files.
 AUDIO_SUFFIXES = ["wav", "mp3", "m4a", "flac", "aac", "pcm", "ogg"]
@@ -30,14 +30,8 @@ MOST_RULES = 100_000
 
 
 def ordinals(df: DataFrame, order: str, name: str) -> DataFrame:
-    """``df`` with a column that numbers its rows from 1 by ``order``. Rows are
-    ranged over partitions and numbered in each, after the counts of those
-    before; only one row for each partition meets in a task."""
-    placed = written(df.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id()))
-    counts = placed.groupBy(F.col("__part").alias("__p")).agg(F.count("*").alias("__n"))
-    before = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(order))
-    return placed.withColumn("__rank", rank).join(before, F.col("__part") == F.col("__p")).withColumn(name, F.col("__before") + F.col("__rank")).drop("__part", "__rank", "__p", "__before")
+    """``df`` with a column that numbers its rows from 1 by ``order``."""
+    return numbered(df, [order], name)
 
 
 def _audio_files(spark: SparkSession, root: str, suffixes: list[str]) -> DataFrame:

@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+from pyarrow import fs
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, WriterCommitMessage
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StructType
+
+from callwatch.runtime import ship_package
 
 
 def write_manifest(df: DataFrame, path: str, format: str = "csv") -> None:
@@ -69,3 +80,94 @@ def publish_messages(path: str):
         message_rows(batch).write.mode("overwrite").json(f"{path}/batch={batch_id}")
 
     return write
+
+
+@dataclass
+class Staged(WriterCommitMessage):
+    """The file that a task has written, or none for a task without rows."""
+
+    file: str | None
+
+
+class MessageWriter(DataSourceStreamWriter):
+    """Two phases: tasks write files of their own to a staging folder that readers
+    pass over, and the driver moves a batch's files together and renames their
+    folder, so that a batch is visible whole or not at all."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def _place(self) -> tuple[fs.FileSystem, str]:
+        store, root = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        return store, root.rstrip("/")
+
+    def write(self, iterator: Iterator[Row]) -> Staged:
+        store, root = self._place()
+        folder = f"{root}/_staging"
+        file, out = f"{folder}/{uuid.uuid4().hex}.json", None
+        try:
+            for row in iterator:
+                if out is None:
+                    store.create_dir(folder, recursive=True)
+                    out = store.open_output_stream(file)
+                out.write((json.dumps(row.asDict(), ensure_ascii=False) + "\n").encode())
+        except BaseException:
+            if out is not None:
+                out.close()
+                store.delete_file(file)
+            raise
+        if out is None:
+            return Staged(None)
+        out.close()
+        return Staged(file)
+
+    def commit(self, messages: list[Staged | None], batchId: int) -> None:
+        store, root = self._place()
+        files = [m.file for m in messages if m is not None and m.file]
+        done = f"{root}/batch={batchId}"
+        if store.get_file_info(done).type != fs.FileType.NotFound:
+            # the batch was run again after it had been committed
+            self._drop(store, files)
+            return
+        together = f"{root}/_staging/batch-{batchId}-{uuid.uuid4().hex}"
+        store.create_dir(together, recursive=True)
+        for i, file in enumerate(files):
+            store.move(file, f"{together}/part-{i:05}.json")
+        store.move(together, done)
+
+    def abort(self, messages: list[Staged | None], batchId: int) -> None:
+        store, _ = self._place()
+        self._drop(store, [m.file for m in messages if m is not None and m.file])
+
+    @staticmethod
+    def _drop(store: fs.FileSystem, files: list[str]) -> None:
+        for file in files:
+            if store.get_file_info(file).type == fs.FileType.File:
+                store.delete_file(file)
+
+
+class MessageFolder(DataSource):
+    """Stream sink ``callwatch_messages``: rows as JSON lines in one folder for each
+    micro-batch below ``path``, which driver and executors share."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "callwatch_messages"
+
+    def streamWriter(self, schema: StructType, overwrite: bool) -> MessageWriter:
+        return MessageWriter(self.options["path"])
+
+
+def message_stream(messages: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """A writer of a stream of messages, keyed by channel, to the sink of
+    ``MessageFolder``; ``start()`` begins it. ``read_messages`` reads what is
+    committed."""
+    spark = messages.sparkSession
+    ship_package(spark)
+    spark.dataSource.register(MessageFolder)
+    return message_rows(messages).writeStream.format("callwatch_messages").option("path", path).option("checkpointLocation", checkpoint)
+
+
+def read_messages(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value, batch) of the committed batches."""
+    return spark.read.schema("key string, value string, batch long").json(path)
