@@ -25,9 +25,9 @@ def feed(tmp_path, batches):
     return str(folder)
 
 
-def drain(df, name, tmp_path, mode="append"):
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"ck_{name}")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+def drain(df, name, tmp_path, mode="append", **trigger):
+    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"ck_{name}")).trigger(**(trigger or {"availableNow": True})).start()
+    assert q.awaitTermination(120)
     return df.sparkSession.table(name)
 
 
@@ -80,7 +80,7 @@ def test_stream_transcription_keeps_its_cache(spark, tmp_path):
         return (cache + samples).decode(), cache + samples
 
     source = spark.readStream.schema(schema).parquet(str(folder))
-    got = {r.seq: r.text for r in drain(transcription.transcribe_stream(source, step), "said", tmp_path).collect()}
+    got = {r.seq: r.text for r in drain(transcription.transcribe_stream(source, step), "said", tmp_path, once=True).collect()}
     assert got == {0: "a", 1: "ab", 2: "abc"}
 
 
