@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +24,16 @@ SIMILARITY = 0.8
 #: At a similarity of 0.8 the expected distance is about 10, with a deviation of 3.
 RADIUS = 19
 BLOCKS = 4
-#: Items, and bytes of their texts, that are sent to the tasks at once; more are
-#: taken in several passes.
+#: Items, and bytes of their texts, that one index holds: a lot.
 ITEMS_AT_ONCE = 20_000
 BYTES_AT_ONCE = 32 * 2**20
+#: Compressed bytes of the lots that one pass over the documents takes.
+PASS_BYTES = 256 * 2**20
+#: Bytes of documents that a task holds while it goes through the lots.
+DOCUMENT_BYTES = 16 * 2**20
+
+#: An item's id (None if it has none) and text.
+Row = tuple[int | None, str]
 
 _EDGE = re.compile(r"^\W+|\W+$")
 
@@ -43,7 +52,7 @@ class Items:
     window's are looked up, so no item within the radius is missed.
     """
 
-    def __init__(self, rows: tuple[tuple[int, str], ...]):
+    def __init__(self, rows: tuple[Row, ...]):
         hashed = WordHashes(normal)
         self.ids, self.sizes, self.shingles, self.counts = [], [], [], []
         for item, text in rows:
@@ -151,37 +160,42 @@ def _matches(items: Items, shingles: np.ndarray, similarity: float) -> Iterator[
 
 
 @lru_cache(maxsize=2)
-def _built(rows: tuple[tuple[int, str], ...]) -> Items:
-    """The index of a lot, built once by each Python worker."""
-    return Items(rows)
+def _built(packed: bytes) -> Items:
+    """The index of a lot, kept by each Python worker while it is the only one or
+    the next."""
+    return Items(pickle.loads(zlib.decompress(packed)))
 
 
-def _found_in(batch: pa.RecordBatch, items: Items, hashed: WordHashes, similarity: float) -> Iterator[tuple[int, int, int, int, float]]:
-    """(row, item, start, words, similarity) for a batch's matches."""
-    for row, text in enumerate(texts(batch)):
-        for match in _matches(items, grams(hashed.of(text.split()), WIDTH), similarity):
-            yield row, *match
+def _found_in(batch: pa.RecordBatch, lots: list[Broadcast], hashed: WordHashes, similarity: float) -> Iterator[tuple[int, int | None, int, int, float]]:
+    """(row, item id, start, words, similarity) for a batch's matches in all lots.
+    Documents are hashed once, and one lot's index is in use at a time."""
+    shingles = [grams(hashed.of(text.split()), WIDTH) for text in texts(batch)]
+    for lot in lots:
+        items = _built(lot.value)
+        for row, own in enumerate(shingles):
+            for item, *match in _matches(items, own, similarity):
+                yield row, items.ids[item], *match
 
 
-def _scan(rows: tuple[tuple[int, str], ...], similarity: float):
+def _scan(lots: list[Broadcast], similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, hashed = _built(rows), WordHashes(normal)
-        for batch in pieces(batches):
-            found = list(_found_in(batch, items, hashed, similarity))
+        hashed = WordHashes(normal)
+        for batch in pieces(batches, DOCUMENT_BYTES):
+            found = list(_found_in(batch, lots, hashed, similarity))
             at, item, start, words, s = (list(x) for x in zip(*found, strict=True)) if found else ([] for _ in range(5))
-            columns = [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array([items.ids[i] for i in item], pa.int64()), pa.array(start, pa.int64()), pa.array(words, pa.int64()), pa.array(s, pa.float64())]
+            columns = [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(words, pa.int64()), pa.array(s, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "start_word", "n_words", "similarity"])
 
     return run
 
 
-def _clean(rows: tuple[tuple[int, str], ...], similarity: float):
+def _clean(lots: list[Broadcast], similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, hashed = _built(rows), WordHashes(normal)
-        for batch in pieces(batches):
+        hashed = WordHashes(normal)
+        for batch in pieces(batches, DOCUMENT_BYTES):
             text = pa.RecordBatch.from_arrays([batch.column("text").cast(pa.binary())], ["text"])
             stay = np.ones(len(batch), bool)
-            stay[[row for row, *_ in _found_in(text, items, hashed, similarity)]] = False
+            stay[[row for row, *_ in _found_in(text, lots, hashed, similarity)]] = False
             yield batch.filter(pa.array(stay))
 
     return run
@@ -195,16 +209,27 @@ def item_classes(benchmark: DataFrame) -> DataFrame:
     return items.join(least, F.col("text") == F.col("__text")).select("item_id", "class_id")
 
 
-def _lots(benchmark: DataFrame) -> Iterator[tuple[tuple[int, str], ...]]:
+def _passes(benchmark: DataFrame) -> list[list[Broadcast]]:
     """The distinct texts of the items with their least ids, in lots of bounded
-    numbers and bytes; an empty one if there are none."""
+    numbers and bytes, which are compressed and broadcast one by one; as many
+    to a pass over the documents as ``PASS_BYTES`` hold. One empty lot if there
+    are no items."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null")
     items = written(items.groupBy("text").agg(F.min("item_id").alias("item_id")))
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     lots = max(1, -(-n // ITEMS_AT_ONCE), -(-size // BYTES_AT_ONCE))
+    passes: list[list[Broadcast]] = [[]]
+    held = 0
     for lot in range(lots):
-        some = items.filter(F.pmod(F.xxhash64("text"), F.lit(lots)) == lot)
-        yield tuple(sorted((r["item_id"] or 0, r["text"]) for r in some.collect()))  # about a lot's rows and bytes
+        some = items.filter(F.pmod(F.xxhash64("text"), F.lit(lots)) == lot).collect()  # about a lot's rows and bytes
+        rows = sorted(((r["item_id"], r["text"]) for r in some), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        packed = zlib.compress(pickle.dumps(tuple(rows)), 1)
+        if passes[-1] and held + len(packed) > PASS_BYTES:
+            passes.append([])
+            held = 0
+        passes[-1].append(benchmark.sparkSession.sparkContext.broadcast(packed))
+        held += len(packed)
+    return passes
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -220,19 +245,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     to reach the similarity are passed over, which loses nothing.
 
     Items are sent to the tasks in lots of ``ITEMS_AT_ONCE`` items and
-    ``BYTES_AT_ONCE`` bytes; each lot is one pass over the documents, which are
-    not shuffled. Items under five words have no shingle and are left out, null
-    texts too. Items of equal texts are one, under the least id (0 if they have
-    none); ``item_classes`` lists them. Null or empty documents match nothing.
+    ``BYTES_AT_ONCE`` bytes, compressed. One pass over the documents, which are
+    not shuffled, takes lots of up to ``PASS_BYTES``: a task hashes some
+    documents and goes through the lots, with one index at a time. Items under
+    five words have no shingle and are left out, null texts too. Items of equal
+    texts are one, under the least id (null if they have none);
+    ``item_classes`` lists them. Null or empty documents match nothing.
     Rows of documents that repeat, or lack an id, match each for itself. Empty
     tables give no rows.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     schema = "doc_id long, item_id long, start_word long, n_words long, similarity double"
-    return reduce(DataFrame.unionByName, (map_arrow(plain, _scan(rows, similarity), schema) for rows in _lots(benchmark)))
+    found = [map_arrow(plain, _scan(lots, similarity), schema) for lots in _passes(benchmark)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents in which no item is found, with all their columns. Each row
     is judged for itself, where it is: nothing is joined by id or shuffled."""
-    return reduce(lambda df, rows: map_arrow(df, _clean(rows, similarity), df.schema), _lots(benchmark), docs)
+    for lots in _passes(benchmark):
+        docs = map_arrow(docs, _clean(lots, similarity), docs.schema)
+    return docs

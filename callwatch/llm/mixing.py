@@ -84,7 +84,8 @@ def sampling_plan(keyed: DataFrame, budget: float = BUDGET, most: float = MOST,
     what then remains goes to the documents with the smallest keys, of which the
     last is taken if most of it fits. Sorting never gathers a source: bucket
     totals are summed first, and only the keys of the bucket in which the budget
-    ends are put in order. Equal keys are taken alike.
+    ends are put in order. Rows of equal keys repeat each other; of those at
+    which the budget ends, so many are taken as fit (``__tie`` and ``__need``).
     """
     sources = written(keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__rows"), F.avg("key").alias("__mean")))
     targets = source_targets(sources.select("source", "source_size"), budget, most, pattern)
@@ -98,17 +99,42 @@ def sampling_plan(keyed: DataFrame, budget: float = BUDGET, most: float = MOST,
     edges = totals.select("source", "__bucket", (upto - F.col("__sum")).alias("__before"), upto.alias("__upto"), "__budget")
     edge = written(edges.filter("__before < __budget and __budget <= __upto").select("source", F.col("__bucket").alias("__edge"), "__before"))
 
-    inside = _planned(open_, edge).filter("__bucket = __edge").groupBy("source", "key").agg(F.sum("size").alias("size"), F.first("__before").alias("__before"), F.first("__rest").alias("__rest"))
+    inside = _planned(open_, edge).filter("__bucket = __edge").groupBy("source", "key").agg(F.sum("size").alias("size"), F.max("size").alias("__one"), F.count("*").alias("__n"), F.first("__before").alias("__before"), F.first("__rest").alias("__rest"))
     run = F.sum("size").over(Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    taken = inside.withColumn("__run", run).filter(F.col("__before") + F.col("__run") - F.col("size") / 2 <= F.col("__rest"))
-    last = taken.groupBy(F.col("source").alias("__s")).agg(F.max("key").alias("__last"))
+    room = F.col("__rest") - F.col("__before") - (run - F.col("size"))
+    fits = F.when(F.col("__one") == 0, F.when(room >= 0, F.col("__n")).otherwise(F.lit(0))).otherwise(F.greatest(F.lit(0), F.least(F.col("__n"), F.floor(room / F.col("__one") + 0.5))))
+    some = inside.withColumn("__fits", fits.cast("long")).filter("__fits > 0")
+    part = F.col("__fits") < F.col("__n")
+    last = some.groupBy(F.col("source").alias("__s")).agg(F.max(F.when(~part, F.col("key"))).alias("__last"), F.max(F.when(part, F.col("key"))).alias("__tie"), F.max(F.when(part, F.col("__fits"))).alias("__need"))
     ends = edge.select(F.col("source").alias("__e"), "__edge").join(last, F.col("__e").eqNullSafe(F.col("__s")), "left").drop("__s")
     return written(plan.join(ends, F.col("source").eqNullSafe(F.col("__e")), "left").drop("__e"))
 
 
+def _tied() -> Column:
+    return F.coalesce(F.col("key") == F.col("__tie"), F.lit(False))
+
+
+def _with_ranks(planned: DataFrame, plan: DataFrame) -> DataFrame:
+    """``planned`` (with ``__row``, ids whose upper bits are a partition) with the
+    number of each row among those at which its source's budget ends, null for
+    all others. They are counted by partition first, so that many equal rows are
+    numbered in many tasks."""
+    none = F.lit(None).cast("long").alias("__rank")
+    if plan.filter("__tie is not null").isEmpty():
+        return planned.select("*", none)
+    at = F.shiftright("__row", 33)
+    tied = planned.filter(_tied()).withColumn("__part", at)
+    counts = tied.groupBy(F.col("source").alias("__s"), F.col("__part").alias("__p")).agg(F.count("*").alias("__k"))
+    earlier = Window.partitionBy("__s").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("__s", "__p", F.coalesce(F.sum("__k").over(earlier), F.lit(0)).alias("__earlier"))
+    own = F.row_number().over(Window.partitionBy("source", "__part").orderBy("__row"))
+    ranked = tied.withColumn("__own", own).join(before, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__part") == F.col("__p")))
+    return planned.filter(~_tied()).select("*", none).unionByName(ranked.select(*planned.columns, (F.col("__earlier") + F.col("__own")).alias("__rank")))
+
+
 def _copies() -> Column:
     """How often a row is taken, from its key and its source's plan."""
-    more = F.col("__edge").isNull() | (_bucket() < F.col("__edge")) | (_bucket() == F.col("__edge")) & (F.col("key") <= F.col("__last"))
+    more = F.col("__edge").isNull() | (_bucket() < F.col("__edge")) | (_bucket() == F.col("__edge")) & (F.coalesce(F.col("key") <= F.col("__last"), F.lit(False)) | F.coalesce(F.col("__rank") <= F.col("__need"), F.lit(False)))
     return (F.col("__epochs") + F.when((F.col("__rest") > 0) & more, F.lit(1)).otherwise(F.lit(0))).cast("long")
 
 
@@ -117,19 +143,25 @@ def mixture(docs: DataFrame, budget: float = BUDGET, most: float = MOST, pattern
     taken (words, repeats counted), copies; see ``sampling_plan``.
 
     Null or empty texts have size 0 and no words to take; a source of such texts
-    alone has target 0. Rows that repeat are separate documents that are taken
-    alike, rows that share an id or have none differ by their texts. An empty
-    input gives an empty result.
+    alone has target 0. Rows that repeat are separate documents: those at which a
+    source's budget ends differ by one copy, others are taken alike. Rows that
+    share an id or have none differ by their texts. An empty input gives an
+    empty result.
     """
-    keyed = written(sample_keys(docs, F.col(id_column).alias("doc_id"), id_column=id_column, **options))
-    planned = _planned(keyed, sampling_plan(keyed, budget, most, pattern)).withColumn("copies", _copies())
+    keyed = written(sample_keys(docs, F.col(id_column).alias("doc_id"), id_column=id_column, **options).withColumn("__row", F.monotonically_increasing_id()))
+    plan = sampling_plan(keyed, budget, most, pattern)
+    planned = _with_ranks(_planned(keyed, plan), plan).withColumn("copies", _copies())
     return planned.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mix(docs: DataFrame, budget: float = BUDGET, most: float = MOST, pattern: tuple[float, ...] = PATTERN, **options) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes it, by its
-    own key; rows are not joined by id nor shuffled. Rows without words are left
-    out."""
+    own key; rows are not joined by id nor shuffled, but for repeated rows of
+    which only some are taken: then the rows are written first. Rows without
+    words are left out."""
     plan = sampling_plan(written(sample_keys(docs, **options)), budget, most, pattern)
-    own = _planned(sample_keys(docs, F.struct("*").alias("row"), **options).filter("size > 0"), plan)
+    rows = sample_keys(docs, F.struct("*").alias("row"), **options).withColumn("__row", F.monotonically_increasing_id())
+    if not plan.filter("__tie is not null").isEmpty():
+        rows = written(rows)
+    own = _with_ranks(_planned(rows.filter("size > 0"), plan), plan)
     return own.select("row", F.explode(F.array_repeat(F.lit(1), _copies().cast("int"))).alias("copy")).select("row.*")
