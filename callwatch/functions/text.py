@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callwatch.functions import automaton
 from callwatch.functions import lexicons as L
 
 #: White space in the Unicode sense, for Java.
@@ -19,7 +20,8 @@ def text_or_empty(x: Column) -> Column:
 
 def trim_ws(x: Column) -> Column:
     """Without white space, in the Unicode sense, at either end."""
-    return F.regexp_replace(text_or_empty(x), r"(?U)^\s+|\s+$", "")
+    # possessive, and only from a run's first character, so that inner blanks cost once
+    return F.regexp_replace(text_or_empty(x), r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def nz(x: Column) -> Column:
@@ -77,11 +79,14 @@ def script_guard(x: Column) -> Column:
 
 def correct_lexicon(x: Column, rules: list[tuple[str, list[str]]]) -> Column:
     """(text, hits): aliases replaced by their canonical names, those of longer
-    names and longer aliases first; later rules see what earlier ones made."""
-    ordered = [(name, alias) for name, aliases in sorted(rules, key=lambda r: -len(r[0])) for alias in sorted(aliases, key=lambda a: -len(a)) if alias != name]
+    names and longer aliases first; later rules see what earlier ones made.
+    Blank aliases don't count. Many rules are matched by an automaton."""
+    ordered = [(name, alias) for name, aliases in sorted(rules, key=lambda r: -len(r[0])) for alias in sorted(aliases, key=lambda a: -len(a)) if alias and alias != name]
     empty = F.array().cast("array<struct<alias:string,canonical:string>>")
     if not ordered:
         return F.struct(text_or_empty(x).alias("text"), empty.alias("hits"))
+    if len(ordered) > automaton.FEW:
+        return automaton.replaced(text_or_empty(x), [(alias, name) for name, alias in ordered])
     pairs = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(n).alias("canonical")) for n, a in ordered])
 
     def step(acc: Column, rule: Column) -> Column:
@@ -100,11 +105,17 @@ def keywords_in(x: Column, words: list[str]) -> Column:
 
 
 def extract_keywords(x: Column, words: list[str]) -> Column:
+    """The words contained in lower-cased x, in the list's order. A long list is
+    matched by an automaton."""
+    if len(words) > automaton.FEW:
+        return automaton.hits(F.lower(text_or_empty(x)), words)
     return let(F.lower(text_or_empty(x)), lambda t: keywords_in(t, words))
 
 
 def match_keywords(x: Column, words: list[str]) -> Column:
     """As ``extract_keywords``, on text without blanks and commas."""
+    if len(words) > automaton.FEW:
+        return automaton.hits(norm_label(x), words)
     return let(norm_label(x), lambda t: keywords_in(t, words))
 
 

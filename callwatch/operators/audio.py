@@ -153,12 +153,21 @@ def number_segments(segments: DataFrame) -> DataFrame:
     return segments.withColumn("segment_id", F.format_string("%s_seg_%04d", F.col(AUDIO).cast("string"), n)).withColumn("duration_ms", F.greatest(F.lit(0).cast("long"), F.col("end_ms") - F.col("start_ms")))
 
 
+#: Time that frames and segments are joined by, beside the recording.
+SLICE_MS = 60_000
+
+
 def slice_frames(frames: DataFrame, segments: DataFrame, frame_ms: int) -> DataFrame:
     """(segment_id, frames, level): frames that lie in each segment, counted and
-    averaged. Segments are joined to frames by recording and range."""
-    inside = (F.col(FRAME) * frame_ms >= F.col("start_ms")) & (F.col(FRAME) * frame_ms < F.col("end_ms"))
-    pieces = segments.select(F.col(AUDIO).alias("__a"), "segment_id", "start_ms", "end_ms")
-    return frames.join(pieces, (F.col(AUDIO) == F.col("__a")) & inside).groupBy("segment_id").agg(F.count("*").alias("frames"), F.avg(LEVEL).alias("level"))
+    averaged. A segment is repeated for each of the ``SLICE_MS`` that it touches,
+    and meets the frames of that time only, so a recording of any length is
+    joined in many tasks."""
+    at = F.col(FRAME) * frame_ms
+    first, last = F.floor(F.col("start_ms") / SLICE_MS), F.floor(F.greatest("start_ms", F.col("end_ms") - 1) / SLICE_MS)
+    pieces = segments.select(F.col(AUDIO).alias("__a"), "segment_id", "start_ms", "end_ms", F.explode(F.sequence(first, last)).alias("__t"))
+    timed = frames.withColumn("__slice", F.floor(at / SLICE_MS))
+    same = (F.col(AUDIO) == F.col("__a")) & (F.col("__slice") == F.col("__t")) & (at >= F.col("start_ms")) & (at < F.col("end_ms"))
+    return timed.join(pieces, same).groupBy("segment_id").agg(F.count("*").alias("frames"), F.avg(LEVEL).alias("level"))
 
 
 def slice_bytes(content: Column, start_ms: Column, end_ms: Column, rate: int = 16000, width: int = 2) -> Column:

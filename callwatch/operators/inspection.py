@@ -103,20 +103,28 @@ def _in_cells(ships: DataFrame, parsed: DataFrame) -> DataFrame:
     return met.drop("__grid", "__sx", "__sy", "__level", "__cx", "__cy", "g", "geometry")
 
 
+#: Characters by which an area's parts are looked up in labels.
+GRAM = 3
+
+
 def _by_name(ships: DataFrame, named: DataFrame) -> DataFrame:
     """Ships whose label fits the name of an area. An area's parts and first two
-    characters are looked up among the runs of characters of each distinct label;
-    areas that fit all labels, blank ones, take all ships."""
+    characters are looked up by their first characters, up to ``GRAM``, among
+    those of each distinct label, and then sought in it, so the work grows with
+    a label's length; areas that fit all labels, blank ones, take all ships."""
     labels = ships.select(F.col("position_label").alias("__label")).distinct()
     where = T.text_or_empty(F.col("__label"))
-    upto = lambda x: F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1)))
-    runs = lambda x: F.array_distinct(F.flatten(F.transform(upto(x), lambda i: F.transform(upto(x), lambda n: F.substring(x, i, n)))))
-    keys = F.concat(F.transform(runs(F.upper(where)), lambda k: F.concat(F.lit("t"), k)), F.transform(runs(where), lambda k: F.concat(F.lit("p"), k)))
+    starts = lambda x: F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1)))
+    runs = lambda x, n: F.transform(starts(x), lambda i: F.substring(x, i, n))
+    grams = lambda x: F.array_distinct(F.flatten(F.array(*[runs(x, F.lit(n)) for n in range(1, GRAM + 1)])))
+    keys = F.concat(F.transform(grams(F.upper(where)), lambda k: F.concat(F.lit("t"), k)), F.transform(grams(where), lambda k: F.concat(F.lit("p"), k)))
     looked = labels.select("__label", F.explode(keys).alias("__key"))
     tokens, name = area_tokens(F.col("area_name")), T.text_or_empty(F.col("area_name"))
     blank = T.nz(F.col("area_name")).isNull() | (F.size(tokens) == 0)
-    wanted = named.filter(~blank).withColumn("__want", F.explode(F.array_append(F.transform(tokens, lambda t: F.concat(F.lit("t"), t)), F.concat(F.lit("p"), F.substring(name, 1, 2)))))
-    fits = wanted.join(looked, F.col("__want") == F.col("__key")).drop("__want", "__key").distinct()
+    part = lambda kind, x: F.struct(F.concat(F.lit(kind), F.substring(x, 1, GRAM)).alias("key"), F.lit(kind).alias("kind"), x.alias("part"))
+    wanted = named.filter(~blank).withColumn("__want", F.explode(F.array_append(F.transform(tokens, lambda t: part("t", t)), part("p", F.substring(name, 1, 2)))))
+    held = F.contains(F.when(F.col("__want.kind") == "t", F.upper(where)).otherwise(where), F.col("__want.part"))
+    fits = wanted.join(looked, (F.col("__want.key") == F.col("__key")) & held).drop("__want", "__key").distinct()
     all_ = named.filter(blank)
     return ships.join(fits, F.col("position_label").eqNullSafe(F.col("__label"))).drop("__label").unionByName(ships.join(all_))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from callwatch.functions import lexicons as L
 from callwatch.functions import text as T
-from callwatch.runtime import dealt
+from callwatch.operators.quantiles import exact_quantile
+from callwatch.runtime import dealt, written
 
 # The names that columns of other systems go by.
 TEXT_FIELDS = ("asr_text", "text", "prediction", "transcript", "transcription")
@@ -115,11 +116,14 @@ def with_cer(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
 def eval_models(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Items, scored items, mean and median error rate, accuracy (1 less the mean
     rate, 0 at least) and the share of passing items, by model."""
-    scored = with_cer(rows, threshold)
-    return scored.groupBy("model").agg(
-        F.count("*").alias("items"), F.count("cer").alias("scored_items"), F.avg("cer").alias("mean_cer"), T.accuracy(F.avg("cer")).alias("mean_accuracy"), F.percentile("cer", F.lit(0.5)).alias("median_cer"),
+    # distances are dear, so they are computed once
+    scored = written(with_cer(rows, threshold).select("model", "cer", "passed"))
+    sums = scored.groupBy("model").agg(
+        F.count("*").alias("items"), F.count("cer").alias("scored_items"), F.avg("cer").alias("mean_cer"), T.accuracy(F.avg("cer")).alias("mean_accuracy"),
         F.avg(F.when(F.col("cer").isNotNull(), F.col("passed").cast("double"))).alias("passing_share"),
     )
+    medians = exact_quantile(scored, "model", "cer", 0.5, "median_cer").withColumnRenamed("model", "__m")
+    return sums.join(medians, F.col("model").eqNullSafe(F.col("__m")), "left").select("model", "items", "scored_items", "mean_cer", "mean_accuracy", "median_cer", "passing_share")
 
 
 def ranked_models(scores: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callwatch.functions import lexicons as L
 from callwatch.functions import text as T
+from callwatch.runtime import dealt
 
 
 def _group_hits(lowered: Column, groups: list[dict]) -> Column:
@@ -154,7 +155,8 @@ def fuse_analysis(calls: DataFrame, llm: DataFrame, audio: DataFrame) -> DataFra
     def keyed(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.col("segment_id").alias(f"__{name}_id"), F.struct(*[F.col(c) for c in ANALYSIS]).alias(f"__{name}"))
 
-    judged = T.once(calls, "fallback", rule_fallback(F.col("text")))
+    # the joins need this shuffle anyway; rules are dear, so its tasks are not merged
+    judged = T.once(dealt(calls, "segment_id"), "fallback", rule_fallback(F.col("text")))
     joined = judged.join(keyed(llm, "llm"), F.col("segment_id") == F.col("__llm_id"), "left").join(keyed(audio, "audio"), F.col("segment_id") == F.col("__audio_id"), "left")
     l, a, fb = F.col("__llm"), F.col("__audio"), F.col("fallback")  # noqa: E741
     from_llm = l.isNotNull() & ((l["role"] != "unclear") | a.isNull())

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callwatch.functions import text as T
-from callwatch.runtime import numbered
+from callwatch.operators.quantiles import exact_quantile
+from callwatch.runtime import numbered, written
 
 DIMENSIONS = {"role": "role_pred", "crisis_label": "crisis_label_pred", "automation_label": "automation_label_pred", "scenario": "scenario_pred", "source": "analysis_source"}
 
@@ -70,7 +71,10 @@ def desk_metrics(rows: DataFrame) -> DataFrame:
 
 def duration_profile(segments: DataFrame, step: int) -> DataFrame:
     """(bucket, n, shortest, longest, mean, median) of durations by step."""
-    return segments.groupBy(F.floor(F.col("duration_ms") / step).alias("bucket")).agg(F.count("*").alias("n"), F.min("duration_ms").alias("shortest"), F.max("duration_ms").alias("longest"), F.avg("duration_ms").alias("mean"), F.percentile("duration_ms", F.lit(0.5)).alias("median"))
+    rows = written(segments.select(F.floor(F.col("duration_ms") / step).alias("bucket"), "duration_ms"))
+    sums = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("duration_ms").alias("shortest"), F.max("duration_ms").alias("longest"), F.avg("duration_ms").alias("mean"))
+    medians = exact_quantile(rows, "bucket", "duration_ms", 0.5, "median").withColumnRenamed("bucket", "__b")
+    return sums.join(medians, F.col("bucket").eqNullSafe(F.col("__b")), "left").drop("__b")
 
 
 def _so_far(session: str):

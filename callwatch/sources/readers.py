@@ -16,6 +16,7 @@ from callwatch.functions import text as T
 from callwatch.operators.models import normalize_analysis
 from callwatch.operators.routing import last_wins
 from callwatch.runtime import numbered, ship_package
+from callwatch.sources.pcm import levels_of
 
 # Audio suffixes, and folders that hold made files.
 AUDIO_SUFFIXES = ["wav", "mp3", "m4a", "flac", "aac", "pcm", "ogg"]
@@ -140,18 +141,14 @@ def frame_levels(content: bytes, frame_ms: int) -> tuple[int, int, int, np.ndarr
         return 0, 0, 0, np.empty(0, np.int64)
     if width != 2:
         return rate, channels, width, np.empty(0, np.int64)
-    samples = np.frombuffer(raw, "<i2").astype(np.float64).reshape(-1, channels).mean(axis=1)
-    size = max(1, rate * frame_ms // 1000)
-    starts = np.arange(0, len(samples), size)
-    if not len(starts):
-        return rate, channels, width, np.empty(0, np.int64)
-    counts = np.diff(np.append(starts, len(samples)))
-    return rate, channels, width, np.sqrt(np.add.reduceat(samples**2, starts) / counts).astype(np.int64)
+    return rate, channels, width, levels_of(raw, channels, max(1, rate * frame_ms // 1000))
 
 
-def pcm_frames(spark: SparkSession, path: str, frame_ms: int = 30) -> DataFrame:
-    """(path, rate, channels, width, frame_idx, rms) of WAV files. A file that
-    can't be read has one row with zeros and null frame."""
+def pcm_frames_by_file(spark: SparkSession, path: str, frame_ms: int = 30) -> DataFrame:
+    """(path, rate, channels, width, frame_idx, rms) of WAV files, each of
+    which one task reads whole: for stores that only Spark reaches. Elsewhere
+    ``pcm.pcm_frames`` reads ranges of bytes. A file that can't be read has one
+    row with zeros and null frame."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -78,7 +78,7 @@ def test_files_to_segments(spark, tmp_path):
     write_wav(tmp_path / "a.wav", [(600, 0.5), (2500, 1), (600, 0.7), (2500, 1), (600, 0.5)])
     write_wav(tmp_path / "b.wav", [(0, 1)])
     (tmp_path / "c.wav").write_bytes(b"no audio")
-    rows = readers.pcm_frames(spark, str(tmp_path), 30)
+    rows = readers.pcm_frames_by_file(spark, str(tmp_path), 30)
     assert audio.standard_pcm_filter(rows).select("path").distinct().count() == 2
     frames = rows.filter("frame_idx is not null").withColumnRenamed("path", "audio_id")
     thresholds = audio.adaptive_threshold(frames, 300)
