@@ -195,5 +195,5 @@ def ordered_feed(messages: DataFrame) -> DataFrame:
     """(channel_id, number, type, payload) of messages (channel_id, ts, seq, place,
     type, payload): numbered in each channel from 1 by time, seq, place and
     payload. A channel of any length is numbered over several tasks."""
-    plain = messages.select("channel_id", F.unix_millis("ts").alias("__at"), F.col("seq").alias("__seq"), F.col("place").alias("__place"), "type", "payload")
+    plain = messages.select("channel_id", F.col("ts").alias("__at"), F.col("seq").alias("__seq"), F.col("place").alias("__place"), "type", "payload")
     return numbered(plain, ["__at", "__seq", "__place", "payload"], "number", "channel_id").select("channel_id", "number", "type", "payload")

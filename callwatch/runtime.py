@@ -102,13 +102,14 @@ def restricted(df: DataFrame, column: str, ids: DataFrame, how: str = "left_semi
     return df.join(F.broadcast(wanted) if few else wanted, F.col(column).eqNullSafe(F.col(name)), how)
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: dict[str, str], counts: DataFrame, by: list[str], most: int) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: dict[str, str], counts: DataFrame, by: list[str], most: int, bound: int | None = None) -> DataFrame:
     """``left`` joined with ``right``, which has one row for each key, by columns
     of the two; right's keys are dropped. Keys that many rows of ``left`` have,
     as ``counts`` (left's key columns, n) tells, are dealt over several tasks by a
     hash of the columns ``by``, and right's row is repeated for each of them:
-    once for every ``most`` rows. At most ``MOST_BROADCAST`` keys are dealt so."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    once for every ``most`` rows. At most ``MOST_BROADCAST`` keys are dealt so.
+    Where the caller knows a ``bound`` of left's rows, they are not summed."""
+    total = bound if bound is not None else counts.agg(F.sum("n")).first()[0] or 0
     bar = max(most, total // MOST_BROADCAST + 1)
     names = {c: f"__hot_{i}" for i, c in enumerate(on)}
     hot = counts.filter(F.col("n") > bar).select(*[F.col(c).alias(n) for c, n in names.items()], F.ceil(F.col("n") / bar).cast("int").alias("__parts"))

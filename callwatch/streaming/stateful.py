@@ -272,7 +272,7 @@ def ordered_messages(messages: DataFrame) -> DataFrame:
     payload, batch after batch. The batch twin is ``sessions.ordered_feed``."""
     ship_package(messages.sparkSession)
     use_rocksdb(messages.sparkSession)
-    plain = messages.select("channel_id", F.unix_millis("ts").alias("at"), "seq", "place", "type", "payload")
+    plain = messages.select("channel_id", F.unix_micros("ts").alias("at"), "seq", "place", "type", "payload")
     return plain.groupBy("channel_id").transformWithStateInPandas(Numbering([c.split()[0] for c in MESSAGES.split(", ")]), MESSAGES, "append", "none")
 
 
