@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callwatch.runtime import in_tasks, written
+from callwatch.runtime import in_tasks, spread_join, written
+
+
+#: Arcs of a vertex that one task takes; a hub's are dealt over several.
+HUB = 100_000
 
 
 def _star(arcs: DataFrame, rows: int) -> DataFrame:
     """(u, v) -> (u, v, m) with m the least of u and its neighbours."""
-    least = in_tasks(arcs.groupBy(F.col("u").alias("__u")).agg(F.min("v").alias("__m")), rows)
-    return in_tasks(arcs.join(least, F.col("u") == F.col("__u")).select("u", "v", F.least("u", "__m").alias("m")), rows)
+    least = arcs.groupBy(F.col("u").alias("__u")).agg(F.min("v").alias("__m"), F.count("*").alias("__n"))
+    met = spread_join(arcs, least.select("__u", "__m"), {"u": "__u"}, least.select(F.col("__u").alias("u"), F.col("__n").alias("n")), ["v"], HUB, rows)
+    return in_tasks(met.select("u", "v", F.least("u", "__m").alias("m")), rows)
 
 
 def components(edges: DataFrame) -> DataFrame:

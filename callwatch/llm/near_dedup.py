@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from callwatch.llm.graph import components
 from callwatch.llm.words import WordHashes, mix, pieces, shingles, texts
-from callwatch.runtime import in_tasks, map_arrow, restricted, written
+from callwatch.runtime import in_tasks, map_arrow, restricted, spread_join, written
 
 WIDTH = 5
 PERCENT = 80
@@ -22,6 +22,9 @@ BANDS, ROWS = 48, 6
 STAR_ROUNDS = 2
 #: Nodes of a group in which all pairs across components are checked.
 SMALL = 32
+#: Rows of a group, or copies of a text, that one task takes; more are dealt over
+#: several.
+GROUP_ROWS = 20_000
 #: Pairs that a task checks.
 PAIRS_PER_TASK = 4_000
 
@@ -195,22 +198,26 @@ def _across(members: DataFrame, texts_of: DataFrame, size: int, width: int, perc
     few = small.join(small.select(F.col("g").alias("__g"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("c").alias("__c")), (F.col("g") == F.col("__g")) & (F.col("c") < F.col("__c")))
     few = few.select("node", "n", "other", "m")
 
-    large = nodes.join(counts.filter(F.col("size") > SMALL), F.col("g") == F.col("__g")).drop("__g")
-    large = large.select("g", "node", "c", "size").distinct()
+    # from here on a large group's rows are dealt over tasks wherever they meet its one row
+    per_group = counts.select(F.col("__g").alias("g"), F.col("size").alias("n"))
+    large = spread_join(nodes.select("g", "node", "c"), counts.filter(F.col("size") > SMALL), {"g": "__g"}, per_group, ["node"], GROUP_ROWS, size).distinct()
     own = written(large.join(texts_of.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node")).select("g", "node", F.xxhash64("text").alias("v"), "c", "size", "text"))
     usual = map_arrow(own.select("g", "node", "text"), _shingle_rows(width), "g long, h long").groupBy("g", "h").agg(F.count("*").alias("k"))
-    usual = usual.join(counts, F.col("g") == F.col("__g")).filter(2 * F.col("k") > F.col("size")).groupBy("g").agg(F.sort_array(F.collect_list("h")).alias("usual"))
-    usual = written(in_tasks(usual, size)).withColumnRenamed("g", "__g")
-    with_usual = own.join(usual, F.col("g") == F.col("__g"), "left").select("g", "node", "v", "c", "text", F.coalesce("usual", F.array().cast("array<long>")).alias("usual"))
+    usual = written(usual)
+    per_usual = usual.groupBy("g").agg(F.count("*").alias("n"))
+    usual = spread_join(usual, counts, {"g": "__g"}, per_usual, ["h"], GROUP_ROWS).filter(2 * F.col("k") > F.col("size")).groupBy("g").agg(F.sort_array(F.collect_list("h")).alias("usual"))
+    bare = counts.filter(F.col("size") > SMALL).join(usual, F.col("g") == F.col("__g"), "left")
+    usual = written(in_tasks(bare.select("__g", F.coalesce("usual", F.array().cast("array<long>")).alias("usual")), size))
+    with_usual = spread_join(own, usual, {"g": "__g"}, per_group, ["node", "v"], GROUP_ROWS, size).select("g", "node", "v", "c", "text", "usual")
     apart = written(map_arrow(with_usual, _differences(width), "g long, node long, v long, c long, n long, d long, rest array<long>"))
     slack = (100 - percent) * F.col("n") - (100 + percent) * F.col("d")
     best = written(in_tasks(apart.withColumn("s", slack).groupBy(F.col("g").alias("__g")).agg(F.max("s").alias("most"), F.max_by("node", "s").alias("b")), size))
-    placed = apart.withColumn("s", slack).join(best, F.col("g") == F.col("__g"))
+    placed = spread_join(apart.withColumn("s", slack), best, {"g": "__g"}, per_group, ["node", "v"], GROUP_ROWS, size)
     sure = written(in_tasks(placed.filter(F.col("s") + F.col("most") >= 0).select(F.col("node").alias("a"), "b"), size))
 
     entries = placed.select("g", "node", "v", "c", "n", "d", "s", "most", F.explode("rest").alias("h"))
-    often = apart.select("g", F.explode("rest").alias("h")).groupBy(F.col("g").alias("__g"), F.col("h").alias("__h")).agg(F.count("*").alias("k"))
-    counted = entries.join(often, (F.col("g") == F.col("__g")) & (F.col("h") == F.col("__h"))).drop("__g", "__h")
+    often = written(apart.select("g", F.explode("rest").alias("h")).groupBy(F.col("g").alias("__g"), F.col("h").alias("__h")).agg(F.count("*").alias("k")))
+    counted = spread_join(entries, often, {"g": "__g", "h": "__h"}, often.select(F.col("__g").alias("g"), F.col("__h").alias("h"), F.col("k").alias("n")), ["node", "v"], GROUP_ROWS)
 
     def needed(s: Column, t: Column) -> Column:
         return F.greatest(F.lit(1), F.ceil(-(s + t) / (2 * (100 + percent))))
@@ -249,7 +256,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     sketches = written(map_arrow(plain, _sketched(width, bands, rows), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"))
     linkable = sketches.filter("n_shingles > 0 and doc_id is not null")
-    classes = written(linkable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node")))
+    classes = written(linkable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
     reps = linkable.join(classes.select(F.col("node").alias("__node"), F.col("fp1").alias("__fp1"), F.col("fp2").alias("__fp2")), (F.col("doc_id") == F.col("__node")) & (F.col("fp1") == F.col("__fp1")) & (F.col("fp2") == F.col("__fp2")), "left_semi")
     entries = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = entries.groupBy(F.col("key").alias("__key")).agg(F.count("*").alias("__n")).filter("__n > 1").select("__key")
@@ -257,7 +264,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     # rows that share an id are one vertex, whatever their texts
     own = linkable.groupBy(F.col("doc_id").alias("a")).agg(F.min("fp1").alias("x"), F.max("fp1").alias("y")).filter("x <> y").select("a")
-    same = linkable.join(classes.withColumnsRenamed({"fp1": "__1", "fp2": "__2", "n_shingles": "__n"}), (F.col("fp1") == F.col("__1")) & (F.col("fp2") == F.col("__2"))).join(own, F.col("doc_id") == F.col("a"), "left_semi")
+    same = linkable.join(own, F.col("doc_id") == F.col("a"), "left_semi").select("doc_id", "fp1", "fp2")
+    same = same.join(classes.select(F.col("fp1").alias("__1"), F.col("fp2").alias("__2"), "node"), (F.col("fp1") == F.col("__1")) & (F.col("fp2") == F.col("__2")))
     links = [written(same.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct())]
     # each text of a node once; only rows that share an id are shuffled for it
     shared = linkable.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
@@ -292,11 +300,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         links.append(found)
         if turn == STAR_ROUNDS or not found.isEmpty():
             labels = written(components(reduce(DataFrame.unionByName, links)))
-    named = classes.join(labels, F.col("node") == F.col("id"), "left").select(F.col("fp1").alias("__1"), F.col("fp2").alias("__2"), F.coalesce("component", "node").alias("__component"))
-    linked = sketches.select("doc_id", "n_shingles", "fp1", "fp2").withColumn("__on", F.col("n_shingles") > 0)
-    out = linked.join(named, F.col("__on") & (F.col("fp1") == F.col("__1")) & (F.col("fp2") == F.col("__2")), "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("__component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = classes.join(labels, F.col("node") == F.col("id"), "left").select(F.col("fp1").alias("__1"), F.col("fp2").alias("__2"), F.coalesce("component", "node").alias("component_id"))
+    # copies of one text are dealt over tasks; texts without words meet nothing
+    held = linkable.select("doc_id", "n_shingles", "fp1", "fp2")
+    linked = spread_join(held, named, {"fp1": "__1", "fp2": "__2"}, classes.select("fp1", "fp2", F.col("copies").alias("n")), ["doc_id"], GROUP_ROWS)
+    rest = sketches.filter("n_shingles = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
+    out = linked.select("doc_id", "n_shingles", "component_id").unionByName(rest.select("doc_id", "n_shingles", "component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

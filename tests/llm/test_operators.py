@@ -19,6 +19,8 @@ from tokenizers import Tokenizer
 from callwatch.llm.words import grams
 from callwatch.llm import decontamination, graph, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, substring_dedup, token_counts, token_files, tokenizing, words
 
+from callwatch.runtime import spread_join
+
 from .conftest import WORD, clashing, frame
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -569,6 +571,38 @@ def test_near_duplicates_of_repeated_rows(spark, monkeypatch):
     assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(expected * 2)
 
 
+def test_large_groups_are_dealt_over_tasks(spark, monkeypatch):
+    """One large group of near copies, one of copies, and texts without words give
+    the same when their rows are dealt over several tasks."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(f"x{i}" if j in (k := rng.sample(range(60), 3)) else w for j, w in enumerate(base))) for i in range(90)]
+    docs += [(1000 + i, "copied words " * 9) for i in range(80)] + [(2000 + i, " ") for i in range(40)] + [(None, "copied words " * 9)]
+    df = frame(spark, docs)
+    plain = rows_of(near_dedup.near_duplicates(df, width=2), "doc_id", "n_shingles", "component_id", "kept")
+    monkeypatch.setattr(near_dedup, "GROUP_ROWS", 7)
+    monkeypatch.setattr(graph, "HUB", 7)
+    assert rows_of(near_dedup.near_duplicates(df, width=2), "doc_id", "n_shingles", "component_id", "kept") == plain
+    assert sum(c == 1000 for _, _, c, _ in plain) == 80
+    edges = spark.createDataFrame([(0, i) for i in range(1, 3000)], "a long, b long").repartition(8)
+    assert {r.component for r in graph.components(edges).collect()} == {0}
+
+
+def test_a_hot_key_is_joined_in_several_tasks(spark):
+    left = spark.range(4000).select(F.lit(1).alias("k"), "id").unionByName(spark.range(50).select((F.col("id") + 2).alias("k"), "id"))
+    right = left.select(F.col("k").alias("r"), (F.col("k") * 10).alias("value")).distinct()
+    counts = left.groupBy("k").agg(F.count("*").alias("n"))
+    joined = spread_join(left, right, {"k": "r"}, counts, ["id"], 500, bound=4050)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert joined.filter("value = k * 10").count() == 4050
+        assert joined.filter("k = 1").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_near_duplicate_edges(spark, nothing, awkward):
     assert near_dedup.near_duplicates(nothing).count() == 0
     got = near_dedup.near_duplicates(awkward).collect()
