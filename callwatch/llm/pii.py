@@ -25,10 +25,11 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "local_phone": r"(?<![0-9+(-])(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])",
-    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
+    # a hexadecimal string, or what issuers' prefixes begin
+    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ASIA|AIza|gh[opsur]_|github_pat_|glpat-|xox[abprs]-|[sr]k_(?:live|test)_|SG\.|npm_|pypi-|hf_|sk-)[A-Za-z0-9_-]{16,128})(?![A-Za-z0-9])",
 }
 #: What a text must contain for a pattern to match at all.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "local_phone": r"[0-9]{3}[.-][0-9]{4}", "secret": "[0-9A-Fa-f]{32}"}
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "local_phone": r"[0-9]{3}[.-][0-9]{4}", "secret": "[0-9A-Fa-f]{32}|AKIA|ASIA|AIza|gh[opsur]_|github_pat_|glpat-|xox[abprs]-|[sr]k_|SG\\.|npm_|pypi-|hf_|sk-"}
 
 # a part of zeros alone is 0
 _OCTET = r"(?:0*+(?:[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])|0++)"
@@ -42,20 +43,19 @@ STRICT = {
     "number": r"^[3-6][0-9]{13,15}$",
     "phone": r"^\+[1-9][0-9]{0,2}[\x20-]?(\([0-9]{1,4}\)|[0-9]{1,4})([\x20.-]?[0-9]{2,4}){2,4}$",
     "local_phone": r"^\([2-9][0-9]{2}\)|^[2-9][0-9]{2}[.-][2-9]",
-    "secret": r"^(?=.*[0-9])(?=.*[A-Fa-f]).{32,64}$",
+    "secret": r"^(?=.*[0-9])(?=.*[A-Za-z]).{20,128}$",
 }
 #: Entries of each kind's gazetteer and the pattern that an entry must fill.
-#: One that isn't complete says nothing of a span that is not listed.
+#: One that isn't complete says nothing of a span that is not listed. Telephone
+#: numbers without a country code have none: two labelers judge them.
 GAZETTEER = {
     "email": ("com org net edu gov mil int info biz name pro aero coop museum io co me tv ai app dev eu us uk ca au nz ie de at ch li fr be lu nl es pt it gr mt cy dk se no fi is ee lv lt pl cz sk hu si hr rs ro bg ua ru by tr il in pk cn hk tw jp kr sg my th vn id ph za ng ke eg ma br ar cl mx pe uy ve".split(), r"\.(?:{})$"),
     "ip": ("127 10 169.254 192.168 224 239 255 0".split(), r"^(?!(?:{})\.)"),
     "card": ("4 51 52 53 54 55 222 223 224 225 226 227 228 229 23 24 25 26 270 271 2720 34 37 36 38 39 300 301 302 303 304 305 6011 644 645 646 647 648 649 65 352 353 354 355 356 357 358".split(), r"^(?:{})"),
     "number": ("4 51 52 53 54 55 222 223 224 225 226 227 228 229 23 24 25 26 270 271 2720 34 37 6011 65".split(), r"^(?:{})"),
     "phone": ("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 85 87 88 96 97 99".split(), r"^\+(?:{})"),
-    # area codes do not repeat their last two digits as 11, nor begin with 37 or 96
-    "local_phone": ("0 1 .11 37 96".split(), r"^\(?(?!{})"),
-    # lengths at which keys and digests are issued
-    "secret": ("32 40 48 56 64 96 128".split(), r"^(?:.{{{}}})$"),
+    # prefixes that issuers of keys are known by; a key without one is not listed
+    "secret": ("akia asia aiza gho_ ghp_ ghs_ ghu_ ghr_ github_pat_ glpat- xoxa- xoxb- xoxp- xoxr- xoxs- sk_live_ sk_test_ rk_live_ rk_test_ sg. npm_ pypi- hf_ sk-".split(), r"^(?:{})"),
 }
 CUES = {
     "email": "mail contact write address kontakt courriel correo".split(),
@@ -72,10 +72,14 @@ CONTEXT = 32
 INCOMPLETE = ("secret",)
 #: Kinds whose shape alone says little: without a cue, context votes against.
 NEED_CUE = ("number", "secret")
+#: Kinds whose candidates have the strict shape nearly always, so that it tells
+#: nothing for them: the regex labeler only votes against.
+SHAPELESS = ("secret",)
 LABELERS = ("regex", "gazetteer", "context")
 #: What the span classifier sees: the span's length and variety of characters,
-#: the kinds of characters beside it, and whether text before it holds a cue.
-FEATURES = ("length", "distinct", "left", "right", "context")
+#: the kinds of characters beside it, and the words before it (1 a cue, 2 a word
+#: that speaks against, 0 neither), which the context labeler goes by too.
+FEATURES = ("length", "distinct", "left", "right", "words")
 BESIDE = (r"^$", r"[\s]", r"[\"'`=:<>(\[{]", r"[\p{L}\p{N}]")
 
 
@@ -90,10 +94,6 @@ class Knowledge:
 
     def listed(self, kind: str) -> str:
         entries, pattern = self.gazetteer[kind]
-        if kind == "secret":
-            return "|".join(pattern.format(n) for n in entries)
-        if kind == "local_phone":
-            return "".join([r"^\(?", *(f"(?!{x})" for x in entries)])
         return pattern.format("|".join(x.replace(".", r"\.") for x in entries))
 
 
@@ -181,19 +181,21 @@ def candidates(docs: DataFrame, knowledge: Knowledge | None = None) -> DataFrame
             before = F.lower(x["before"])
             strict = x["word"].rlike(STRICT[kind])
             listed = F.lower(x["word"]).rlike(known.listed(kind)) if kind in known.gazetteer else None
-            cue = before.rlike("|".join(known.cues[kind])) & ~before.rlike("|".join(known.against))
+            against = before.rlike("|".join(known.against))
+            cue = before.rlike("|".join(known.cues[kind])) & ~against
             variety = F.size(F.array_distinct(F.split(F.left(x["word"], F.lit(128)), "")))
             return F.struct(
                 F.lit(kind).alias("kind"),
                 x["start"].alias("start"),
                 x["end"].alias("end"),
-                _vote(strict, ~strict).alias("regex"),
+                _vote(strict & F.lit(kind not in SHAPELESS), ~strict).alias("regex"),
                 (F.lit(-1) if listed is None else _vote(listed, F.lit(kind not in INCOMPLETE))).alias("gazetteer"),
-                _vote(cue, F.lit(True) if kind in NEED_CUE else before.rlike("|".join(known.against))).alias("context"),
+                _vote(cue, F.lit(True) if kind in NEED_CUE else against).alias("context"),
                 F.least(F.lit(7), F.floor((x["end"] - x["start"]) / 8).cast("int")).alias("length"),
                 F.least(F.lit(3), F.floor(variety / 5).cast("int")).alias("distinct"),
                 _beside(F.right(x["before"], F.lit(1))).alias("left"),
                 _beside(x["after"]).alias("right"),
+                F.when(against, F.lit(2)).when(cue, F.lit(1)).otherwise(F.lit(0)).alias("words"),
             )
 
         return F.transform(spans, of)
@@ -255,7 +257,8 @@ def learn(patterns: list[dict], rounds: int = 50) -> Votes:
 
     Votes are weighed by ``estimate``; the probabilities it gives to spans are the
     labels of the classifier, a naive Bayes one for each kind on ``FEATURES``,
-    which sees a span's shape and surroundings and not how the labelers voted.
+    which sees a span's shape and surroundings. Cue words are among these, so it
+    is not blind to what the context labeler knows; votes themselves it never sees.
     """
     counts: dict[tuple, int] = {}
     for p in patterns:

@@ -101,6 +101,8 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 #: Occurrences of an anchor, and partners of a centre, that one task takes.
 SEED_ROWS = 20_000
 CENTRE_ROWS = 5_000
+#: Rows of one text that one task takes.
+CLASS_ROWS = 100_000
 #: Places that are compared at once.
 PLACES = 20_000
 
@@ -251,7 +253,11 @@ class Repeats:
         cut = map_arrow(with_text.select("fp1", "fp2", "text", "spans"), _stripped, "fp1 long, fp2 long, n_removed long, sha string")
         copies = self.classes.filter("n > 1").select("fp1", "fp2", F.lit(None).cast("long").alias("n_removed"), F.lit(EMPTY).alias("sha"))
         changed = written(cut.unionByName(copies).withColumnsRenamed({"fp1": "__1", "fp2": "__2", "sha": "__sha"}).withColumn("__changed", F.lit(True)))
-        out = self.facts.select("doc_id", "n_words", "sha", "fp1", "fp2").join(changed, (F.col("fp1") == F.col("__1")) & (F.col("fp2") == F.col("__2")), "left")
+        # copies of one text are dealt over tasks; texts without a window stay as they are
+        rows = self.facts.select("doc_id", "n_words", "sha", "fp1", "fp2", F.monotonically_increasing_id().alias("__row"))
+        verdicts = self.classes.select(F.col("fp1").alias("__c1"), F.col("fp2").alias("__c2")).join(changed, (F.col("__c1") == F.col("__1")) & (F.col("__c2") == F.col("__2")), "left").drop("__1", "__2")
+        long = spread_join(rows.filter(F.col("n_words") >= self.window), verdicts, {"fp1": "__c1", "fp2": "__c2"}, self.classes.select("fp1", "fp2", "n"), ["__row"], CLASS_ROWS)
+        out = long.unionByName(rows.filter(F.col("n_words") < self.window), allowMissingColumns=True)
         removed = F.when(F.col("__changed"), F.coalesce("n_removed", "n_words")).otherwise(F.lit(0).cast("long"))
         return out.select("doc_id", "n_words", removed.alias("n_removed"), F.coalesce("__sha", "sha").alias("kept_sha256"))
 
@@ -259,7 +265,8 @@ class Repeats:
         """(doc_id, start, end): intervals of repeated words of each row, end
         exclusive; they may overlap. A copy's is its whole text."""
         long = self.facts.filter(F.col("n_words") >= self.window).select("doc_id", "n_words", "fp1", "fp2")
-        counted = long.join(self.classes.select(F.col("fp1").alias("__1"), F.col("fp2").alias("__2"), "n"), (F.col("fp1") == F.col("__1")) & (F.col("fp2") == F.col("__2"))).drop("__1", "__2")
+        known = self.classes.select(F.col("fp1").alias("__1"), F.col("fp2").alias("__2"), "n")
+        counted = spread_join(long.withColumn("__row", F.monotonically_increasing_id()), known, {"fp1": "__1", "fp2": "__2"}, self.classes.select("fp1", "fp2", "n"), ["__row"], CLASS_ROWS).drop("__row")
         whole = counted.filter("n > 1").select("doc_id", F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))
         some = counted.filter("n = 1").join(self.class_spans().withColumnsRenamed({"fp1": "__1", "fp2": "__2"}), (F.col("fp1") == F.col("__1")) & (F.col("fp2") == F.col("__2")))
         return whole.unionByName(some.select("doc_id", "start", "end"))
