@@ -108,7 +108,11 @@ def spread_join(left: DataFrame, right: DataFrame, on: dict[str, str], counts: D
     as ``counts`` (left's key columns, n) tells, are dealt over several tasks by a
     hash of the columns ``by``, and right's row is repeated for each of them:
     once for every ``most`` rows. At most ``MOST_BROADCAST`` keys are dealt so.
-    Where the caller knows a ``bound`` of left's rows, they are not summed."""
+    Where the caller knows a ``bound`` of left's rows, they are not summed, and a
+    bound of ``most`` or less means that no key can have more."""
+    if bound is not None and bound <= most:
+        plain = right.withColumnsRenamed({c: f"__{i}_key" for i, c in enumerate(on.values())})
+        return left.join(plain, [F.col(c) == F.col(f"__{i}_key") for i, c in enumerate(on)]).drop(*[f"__{i}_key" for i in range(len(on))])
     total = bound if bound is not None else counts.agg(F.sum("n")).first()[0] or 0
     bar = max(most, total // MOST_BROADCAST + 1)
     names = {c: f"__hot_{i}" for i, c in enumerate(on)}
