@@ -149,9 +149,9 @@ AREA_WORDS = ["段", "区", "主航道"]
 # Lexicon rules for lack of a file.
 LEXICON = [("锦龙008", ["锦华662", "金堂南", "96008"]), ("警花662", ["警官六六", "警花六六"]), ("北仑主航道A3段", ["主航道A3", "A3段"]), ("172号泊位", ["16 172号泊位", "一七二号泊位"])]
 
-#: The punctuation that comparisons of transcripts ignore, as a character class.
+#: The punctuation that comparisons of transcripts ignore, as a character class.
 PUNCTUATION = r"\s,，.。:：;；!?！？、\"'“”‘’（）()\[\]【】{}<>《》\-_/\\|~`^"
-#: Rewrites before error rates are taken.
+#: Rewrites before error rates are taken.
 RADIO_WORDS = [("频道", "ch"), ("幺", "一"), ("两", "二")]
 
 # What cleaning takes out of transcripts, and the scripts that are flagged.

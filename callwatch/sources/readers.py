@@ -122,7 +122,7 @@ def read_model_details(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def join_sidecar_text(segments: DataFrame, root: str) -> DataFrame:
     """Segments with the text of the .txt file beside their clip, at confidence
-    0.86; without one '' and 0."""
+    0.86; without one, or with one of no bytes, '' and 0."""
     spark = segments.sparkSession
     stem = lambda c: F.regexp_replace(F.regexp_replace(c, r"^file:/*", "/"), r"\.[^./]*$", "")
     notes = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").select(stem(F.col("_metadata.file_path")).alias("__stem"), T.trim_ws(F.col("value")).alias("__text"))

@@ -105,8 +105,8 @@ def test_fusion_prefers_a_clear_role(spark):
 
 
 def test_search_and_union(spark):
-    a = spark.createDataFrame([("x", "reply one")], "text string, reply string")
+    a = spark.createDataFrame([("s", 1, "x", "reply one")], "segment_id string, ts int, text string, reply string")
     assert sessions.search_records(a, " ").count() == 1
     assert sessions.search_records(a, "one").count() == 1
     assert sessions.search_records(a, "two").count() == 0
-    assert sessions.ragged_union(a, a.select(F.lit(1).alias("z"))).columns == ["text", "reply", "z"]
+    assert sessions.ragged_union(a, a.select(F.lit(1).alias("z"))).columns == ["segment_id", "ts", "text", "reply", "z"]

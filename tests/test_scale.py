@@ -1,8 +1,11 @@
 """Forms for large tables and long recordings give what the plain forms give."""
 
 import random
+import subprocess
+import sys
 import time
 import wave
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -130,3 +133,18 @@ def test_a_split_with_many_classes_is_not_broadcast(spark, monkeypatch):
     few = sorted(map(tuple, learning.stratified_split(df, "label").collect()))
     monkeypatch.setattr(learning, "MOST_BROADCAST", 0)
     assert sorted(map(tuple, learning.stratified_split(df, "label").collect())) == few
+
+
+def test_written_tables_can_be_cleared():
+    """In a process of its own, as it ends what other tests may read."""
+    code = """
+from pathlib import Path
+from pyspark.sql import SparkSession
+from callwatch import runtime
+spark = SparkSession.builder.master("local").config("spark.ui.enabled", "false").getOrCreate()
+assert runtime.written(spark.range(5)).count() == 5
+folder = Path(runtime.shared_dir(spark).removeprefix("file:")) / "tables" / spark.sparkContext.applicationId
+assert len(list(folder.iterdir())) == 1
+assert runtime.clear_written(spark) and not folder.exists() and not runtime.clear_written(spark)
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent, timeout=120)
