@@ -131,7 +131,6 @@ def test_repeats_match_brute_force(spark, seed, monkeypatch):
     if seed == 2:  # all that occurs often is dealt over several tasks
         monkeypatch.setattr(substring_dedup, "SEED_ROWS", 2)
         monkeypatch.setattr(substring_dedup, "CENTRE_ROWS", 1)
-        monkeypatch.setattr(substring_dedup, "CLASS_ROWS", 1)
     texts = repeats_corpus(seed)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(frame(spark, list(enumerate(texts)))).collect()}
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
