@@ -15,6 +15,10 @@ _KEYS = {"x1": ("lng1", "x1"), "y1": ("lat1", "y1"), "x2": ("lng2", "x2"), "y2":
 MOST_AREAS = 10_000
 #: Grids, of cells from ``NEAR`` degrees on, each four times as wide as the last.
 LEVELS = 9
+#: Degrees beyond which places lie in the outermost cells, whose pairs are still tested exactly.
+OUTERMOST = 360.0
+#: Ships of one cell of a band that meet in a task; more are dealt over several.
+SHIPS_A_SHARE = 1_000_000
 
 
 def ship_filter(ships: DataFrame, min_draft: float = 0.0, min_tonnage: int = 0, types: list[str] | None = None) -> DataFrame:
@@ -81,16 +85,30 @@ def inside(lng: Column, lat: Column, label: Column, area: Column, geometry: Colu
     return F.when(geometry.isNotNull(), shape).otherwise(area_match(area, label))
 
 
+def _bounded(x: Column) -> Column:
+    """``x`` within the outermost cells, which keeps the order of any two values."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(-OUTERMOST), F.least(F.lit(OUTERMOST), x)))
+
+
 def _cell(x: Column, level: Column) -> Column:
-    return F.floor(x / (NEAR * F.pow(F.lit(4.0), level))).cast("long")
+    return F.floor(_bounded(x) / (NEAR * F.pow(F.lit(4.0), level))).cast("long")
+
+
+def _level(span: Column) -> Column:
+    """The finest grid of which ``span`` touches no more than some six cells."""
+    return F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.ceil(F.log(4.0, (span + 2 * NEAR) / (4 * NEAR))))).cast("int")
+
+
+def _inside_of_g() -> Column:
+    return inside(F.col("lng"), F.col("lat"), F.col("position_label"), F.col("area_name"), F.col("g"))
 
 
 def _in_cells(ships: DataFrame, parsed: DataFrame) -> DataFrame:
     """Ships in areas with whole geometries. An area lies in the finest grid of
     which it touches no more than some six cells a side."""
     whole = parsed.filter("g.x1 is not null and g.x2 is not null and g.y1 is not null and g.y2 is not null")
-    span = F.greatest(F.abs(F.col("g.x1") - F.col("g.x2")), F.abs(F.col("g.y1") - F.col("g.y2"))) + 2 * NEAR
-    level = F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.ceil(F.log(4.0, span / (4 * NEAR))))).cast("int")
+    side = lambda a, b: F.abs(_bounded(F.col(f"g.{a}")) - _bounded(F.col(f"g.{b}")))
+    level = _level(F.greatest(side("x1", "x2"), side("y1", "y2")))
 
     def cells(a: str, b: str) -> Column:
         return F.explode(F.sequence(_cell(F.least(f"g.{a}", f"g.{b}") - NEAR, F.col("__level")), _cell(F.greatest(f"g.{a}", f"g.{b}") + NEAR, F.col("__level"))))
@@ -99,15 +117,72 @@ def _in_cells(ships: DataFrame, parsed: DataFrame) -> DataFrame:
     used = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
     placed = ships.withColumn("__grid", used).withColumn("__sx", _cell(F.col("lng"), F.col("__grid"))).withColumn("__sy", _cell(F.col("lat"), F.col("__grid")))
     same = (F.col("__grid") == F.col("__level")) & (F.col("__sx") == F.col("__cx")) & (F.col("__sy") == F.col("__cy"))
-    met = placed.join(shaped, same & inside(F.col("lng"), F.col("lat"), F.col("position_label"), F.col("area_name"), F.col("g")))
+    met = placed.join(shaped, same & _inside_of_g())
     return met.drop("__grid", "__sx", "__sy", "__level", "__cx", "__cy", "g", "geometry")
 
 
+def _bands(g: Column) -> Column:
+    """The bands, structs of (axis, low, high), in one of which a ship must lie to
+    be in a geometry that lacks a corner; an empty array where any ship may be.
+
+    A missing coordinate is the ship's own. So a shape that lacks longitudes only
+    bounds the latitude, and the other way round. A line from (own, y) to
+    (x, own) is near where a ship is close to that latitude or that longitude:
+    its distance is at least the lesser of the two differences over the square
+    root of two. Any other shape holds each ship: a rectangle has no bound left,
+    and a line has one end at the ship.
+    """
+    band = lambda axis, a, b: F.struct(F.lit(axis).alias("axis"), (F.least(a, b) - 2 * NEAR).alias("low"), (F.greatest(a, b) + 2 * NEAR).alias("high"))
+    x1, y1, x2, y2 = (g[c] for c in CORNERS)
+    has_x, has_y = x1.isNotNull() & x2.isNotNull(), y1.isNotNull() & y2.isNotNull()
+    line = g["type"] == "line"
+    none = F.array().cast("array<struct<axis:string,low:double,high:double>>")
+    return (
+        F.when(has_y, F.array(band("y", y1, y2)))
+        .when(has_x, F.array(band("x", x1, x2)))
+        .when(line & y1.isNotNull() & x2.isNotNull(), F.array(band("y", y1, y1), band("x", x2, x2)))
+        .when(line & x1.isNotNull() & y2.isNotNull(), F.array(band("y", y2, y2), band("x", x1, x1)))
+        .otherwise(none)
+    )
+
+
+def _with_all(ships: DataFrame, areas: DataFrame, shares: int) -> DataFrame:
+    """Each ship with each area, for areas that hold all ships: ships are dealt
+    into shares, each of which has a copy of the areas."""
+    dealt = ships.withColumn("__share", F.pmod(F.xxhash64("ship_id", "lng", "lat"), F.lit(shares)))
+    copied = areas.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    return dealt.join(copied, F.col("__share") == F.col("__copy")).drop("__share", "__copy")
+
+
+def _in_bands(ships: DataFrame, parsed: DataFrame, shares: int) -> DataFrame:
+    """Ships in areas whose geometry lacks a corner: those that leave a band of
+    longitudes or latitudes meet the ships in its cells, the finest of which it
+    touches no more than some six; those that hold all ships take them all. A
+    wide band's cells hold many ships, which are dealt into shares."""
+    partial = parsed.filter("g is not null and (g.x1 is null or g.x2 is null or g.y1 is null or g.y2 is null)").withColumn("__bands", _bands(F.col("g")))
+    # of a ship in both bands of a shape only the first counts, so that pairs don't repeat
+    shaped = partial.select("*", F.posexplode("__bands").alias("__i", "__band"))
+    low, high = F.col("__band.low"), F.col("__band.high")
+    shaped = shaped.withColumn("__level", _level(_bounded(high) - _bounded(low)))
+    shaped = shaped.withColumn("__cell", F.explode(F.sequence(_cell(low, F.col("__level")), _cell(high, F.col("__level")))))
+    shaped = shaped.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    own = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(c).cast("double").alias("at")) for a, c in (("x", "lng"), ("y", "lat"))])
+    placed = ships.withColumn("__own", F.explode(own)).withColumn("__grid", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    placed = placed.withColumn("__place", _cell(F.col("__own.at"), F.col("__grid"))).withColumn("__share", F.pmod(F.xxhash64("ship_id", "lng", "lat"), F.lit(shares)))
+    same = (F.col("__own.axis") == F.col("__band.axis")) & (F.col("__grid") == F.col("__level")) & (F.col("__place") == F.col("__cell")) & (F.col("__share") == F.col("__copy"))
+    first = F.get("__bands", F.lit(0))
+    again = (F.col("__i") > 0) & F.col("lat").between(first["low"], first["high"])
+    held = F.col("__own.at").between(low, high) & ~again & _inside_of_g()
+    met = placed.join(shaped, same & held).drop("__own", "__grid", "__place", "__share", "__bands", "__i", "__band", "__level", "__cell", "__copy")
+    every = _with_all(ships, partial.filter(F.size("__bands") == 0).drop("__bands"), shares).filter(_inside_of_g())
+    return met.unionByName(every).drop("g", "geometry")
+
+
 #: Characters by which an area's parts are looked up in labels.
 GRAM = 3
 
 
-def _by_name(ships: DataFrame, named: DataFrame) -> DataFrame:
+def _by_name(ships: DataFrame, named: DataFrame, shares: int) -> DataFrame:
     """Ships whose label fits the name of an area. An area's parts and first two
     characters are looked up by their first characters, up to ``GRAM``, among
     those of each distinct label, and then sought in it, so the work grows with
@@ -126,7 +201,7 @@ def _by_name(ships: DataFrame, named: DataFrame) -> DataFrame:
     held = F.contains(F.when(F.col("__want.kind") == "t", F.upper(where)).otherwise(where), F.col("__want.part"))
     fits = wanted.join(looked, (F.col("__want.key") == F.col("__key")) & held).drop("__want", "__key").distinct()
     all_ = named.filter(blank)
-    return ships.join(fits, F.col("position_label").eqNullSafe(F.col("__label"))).drop("__label").unionByName(ships.join(all_))
+    return ships.join(fits, F.col("position_label").eqNullSafe(F.col("__label"))).drop("__label").unionByName(_with_all(ships, all_, shares))
 
 
 def inspect_ships(ships: DataFrame, areas: DataFrame, min_draft: float = 0.0, min_tonnage: int = 0, types: list[str] | None = None) -> DataFrame:
@@ -136,18 +211,17 @@ def inspect_ships(ships: DataFrame, areas: DataFrame, min_draft: float = 0.0, mi
     Up to ``MOST_AREAS`` areas are broadcast. Beyond, areas with a geometry meet
     ships in the cells that their bounds touch, of a grid whose cells suit the
     area's size; those known by name alone meet the distinct position labels on
-    what the two share. Geometries that lack a corner hold most of the sea, and
-    meet all ships.
+    what the two share. A missing corner is the ship's own, so geometries that
+    lack one leave a band of longitudes or latitudes, or hold every ship.
     """
     wanted = ship_filter(ships, min_draft, min_tonnage, types)
     parsed = areas.withColumn("g", parse_geometry(F.col("geometry")))
     if areas.count() <= MOST_AREAS:
-        return wanted.join(F.broadcast(parsed), inside(F.col("lng"), F.col("lat"), F.col("position_label"), F.col("area_name"), F.col("g"))).drop("g", "geometry")
+        return wanted.join(F.broadcast(parsed), _inside_of_g()).drop("g", "geometry")
     by_shape = _in_cells(wanted, parsed)
-    by_name = _by_name(wanted, parsed.filter("g is null").drop("g", "geometry"))
-    partial = parsed.filter("g is not null and (g.x1 is null or g.x2 is null or g.y1 is null or g.y2 is null)")
-    by_part = wanted.join(partial, inside(F.col("lng"), F.col("lat"), F.col("position_label"), F.col("area_name"), F.col("g"))).drop("g", "geometry")
-    return by_shape.unionByName(by_name).unionByName(by_part)
+    shares = wanted.count() // SHIPS_A_SHARE + 1
+    by_name = _by_name(wanted, parsed.filter("g is null").drop("g", "geometry"), shares)
+    return by_shape.unionByName(by_name).unionByName(_in_bands(wanted, parsed, shares))
 
 
 def notices(matches: DataFrame, template: str, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -1,5 +1,7 @@
 """Forms for large tables and long recordings give what the plain forms give."""
 
+import itertools
+import json
 import random
 import subprocess
 import sys
@@ -128,6 +130,49 @@ def test_names_are_looked_up_by_their_first_characters(spark, monkeypatch):
     assert pairs() == broadcast and len(broadcast) > 15 and time.time() - began < 30
 
 
+def _shapes():
+    """Geometries that lack each set of corners, and some with far or odd ones."""
+    rng = random.Random(5)
+    shapes = []
+    for kind, missing in itertools.product(("rect", "line"), range(16)):
+        for _ in range(3):
+            at = {"lng1": rng.uniform(120, 124), "lat1": rng.uniform(28, 32), "lng2": rng.uniform(120, 124), "lat2": rng.uniform(28, 32)}
+            shapes.append({"type": kind, **{k: v for i, (k, v) in enumerate(at.items()) if not missing >> i & 1}})
+    far = [{"lng1": -1e9, "lat1": -1e9, "lng2": 1e9, "lat2": 1e9}, {"lat1": 1e12, "lat2": 29}, {"lng1": "NaN", "lng2": 121}, {"lat1": "Infinity", "lat2": "-Infinity"}, {"lng1": 179.99, "lng2": 361}]
+    return shapes + [{"type": kind, **f} for kind in ("rect", "line") for f in far]
+
+
+def test_shapes_without_a_corner_are_joined_by_bands(spark, monkeypatch):
+    rng = random.Random(6)
+    shapes = _shapes()
+    # ships near the shapes' corners and sides, and elsewhere; some without a place, some beyond the globe
+    places = [(rng.uniform(119, 125), rng.uniform(27, 33)) for _ in range(150)] + [(None, 29.0), (121.0, None), (None, None), (400.0, 29.0), (121.0, -500.0)]
+    for s in shapes[:96]:
+        x, y = (s.get(k, 122.0) for k in (rng.choice(["lng1", "lng2"]), rng.choice(["lat1", "lat2"])))
+        places.append((x + rng.uniform(-0.015, 0.015), y + rng.uniform(-0.015, 0.015)))
+    ships = spark.createDataFrame([(f"s{i}", f"n{i}", 100, 9.0, "t", "", "l", x, y) for i, (x, y) in enumerate(places)], readers.SHIP_SCHEMA)
+    # an area of a blank name holds all ships, too
+    areas = spark.createDataFrame([(i, "", json.dumps(g)) for i, g in enumerate(shapes)] + [(999, " ", "")], "area_id long, area_name string, geometry string")
+    pairs = lambda: sorted((r.ship_id, r.area_id) for r in inspection.inspect_ships(ships, areas).select("ship_id", "area_id").collect())
+    broadcast = pairs()
+    assert len({a for _, a in broadcast}) > 90
+    monkeypatch.setattr(inspection, "MOST_AREAS", 0)
+    assert pairs() == broadcast
+    monkeypatch.setattr(inspection, "SHIPS_A_SHARE", 40)
+    assert pairs() == broadcast
+    plan = inspection.inspect_ships(ships, areas)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_areas_without_ships_or_ships_without_areas(spark, monkeypatch):
+    monkeypatch.setattr(inspection, "MOST_AREAS", -1)
+    ships = spark.createDataFrame([("s", "n", 100, 9.0, "t", "", "l", 121.0, 29.0)], readers.SHIP_SCHEMA)
+    areas = spark.createDataFrame([(1, "", '{"type":"rect","lat1":28,"lat2":30}')], "area_id long, area_name string, geometry string")
+    assert inspection.inspect_ships(ships, areas).count() == 1
+    assert inspection.inspect_ships(ships.limit(0), areas).count() == 0
+    assert inspection.inspect_ships(ships, areas.limit(0)).count() == 0
+
+
 def test_a_split_with_many_classes_is_not_broadcast(spark, monkeypatch):
     df = spark.range(3000).select(F.col("id").cast("string").alias("segment_id"), (F.col("id") % 40).cast("string").alias("label"))
     few = sorted(map(tuple, learning.stratified_split(df, "label").collect()))
