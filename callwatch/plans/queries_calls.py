@@ -88,9 +88,11 @@ def text_health(spark, sf_dir):
     return views.plain_calls(spark, sf_dir).select("segment_id", T.text_health(F.col("text")).alias("h")).select("segment_id", "h.*")
 
 
-@query("select event_id, case when props is null then 7.5 else coalesce(try_cast(substr(props, 1, 4) as double), 7.5) end as value from events")
+@query("select event_id, coalesce(try_cast(case when event_type = 'error' then props else json_extract_string(props, '$.k') end as double), 7.5) as value from events")
 def parse_float(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", T.parse_float(F.substring("props", 1, 4), 7.5).alias("value"))
+    """Numbers out of JSON, and whole objects, which are none."""
+    text = F.when(F.col("event_type") == "error", F.col("props")).otherwise(F.get_json_object("props", "$.k"))
+    return table(spark, sf_dir, "events").select("event_id", T.parse_float(text, 7.5).alias("value"))
 
 
 @query("select event_id, coalesce(greatest(0.0, least(1.0, coalesce(case when event_id % 3 = 0 then null else value / 50 end, case when event_id % 6 = 0 then null else value / 40 end))), 0.85)::double as value from events")

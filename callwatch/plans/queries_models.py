@@ -99,14 +99,14 @@ def model_error_rows(spark, sf_dir):
 
 
 def _long(spark, sf_dir):
-    """Texts of the calls under two models, the second of which cuts them."""
+    """Texts of the calls under two models, the second of which says them twice."""
     c = views.plain_calls(spark, sf_dir)
-    x = models.model_grid(c, ["m1", "m2"]).withColumn("asr_text", F.when(F.col("asr_model_name") == "m1", F.col("text")).otherwise(F.substring("text", 1, 5)))
+    x = models.model_grid(c, ["m1", "m2"]).withColumn("asr_text", F.when(F.col("asr_model_name") == "m1", F.col("text")).otherwise(F.concat("text", "text")))
     rows = x.select("segment_id", "clip_path", "asr_model_name", F.lit("p").alias("asr_provider"), "asr_text", F.col("confidence").alias("asr_confidence"), F.lit("").alias("asr_error"), F.col("event_id").alias("ord"))
     return models.guard_columns(rows)
 
 
-LG = with_views("calls", extra="long_ as (select segment_id, clip_path, m asr_model_name, 'p' asr_provider, case m when 'm1' then text else substr(text, 1, 5) end asr_text, confidence asr_confidence, event_id from calls, (values ('m1'), ('m2')) t(m)), long as (select *, case when regexp_matches(asr_text, '[\\x{3040}-\\x{30ff}]') then 'japanese_kana' else '' end notes from long_), sc as (select asr_model_name, asr_provider, count(*) samples, count(*) filter (where notes <> '') language_guard_hits, count(*) filter (where trim(asr_text) = '') empty_text_hits, count(*) filter (where length(trim(asr_text)) between 1 and 7) short_text_hits from long group by 1, 2), scored as (select *, greatest(0, samples - 3.0 * language_guard_hits - 2.0 * empty_text_hits - short_text_hits)::double score from sc)")
+LG = with_views("calls", extra="long_ as (select segment_id, clip_path, m asr_model_name, 'p' asr_provider, case m when 'm1' then text else concat(text, text) end asr_text, confidence asr_confidence, event_id from calls, (values ('m1'), ('m2')) t(m)), long as (select *, case when regexp_matches(asr_text, '[\\x{3040}-\\x{30ff}]') then 'japanese_kana' else '' end notes from long_), sc as (select asr_model_name, asr_provider, count(*) samples, count(*) filter (where notes <> '') language_guard_hits, count(*) filter (where trim(asr_text) = '') empty_text_hits, count(*) filter (where length(trim(asr_text)) between 1 and 7) short_text_hits from long group by 1, 2), scored as (select *, greatest(0, samples - 3.0 * language_guard_hits - 2.0 * empty_text_hits - short_text_hits)::double score from sc)")
 
 
 @query(LG + "select *, round(score / samples, 9) as score_per_sample from scored")
@@ -129,11 +129,12 @@ def pipeline_agreement(spark, sf_dir):
     return models.pipeline_agreement(*[views.raw_analysis(spark, sf_dir, k) for k in ("llm", "audio")], ["role_label", "scenario"])
 
 
-@query("select concat('audio/', doc_id, '.wav') as audio_path, case when doc_id % 3 = 0 then coalesce(nullif(trim(text), ''), lang, '') else coalesce(lang, '') end as transcript, case when doc_id % 2 = 0 then concat('u', doc_id) else cast(doc_id as varchar) end as item_id from (select doc_id, lang, regexp_replace(text, '\\s', '_', 'g') text from documents)")
+@query("select concat('audio/', doc_id, '.wav') as audio_path, case when has then coalesce(nullif(trim(text), ''), lang, '') else coalesce(lang, '') end as transcript, case when has then concat('u', doc_id) else cast(doc_id as varchar) end as item_id from (select doc_id, lang, regexp_replace(text, '\\s', '_', 'g') text from documents), (values (true), (false)) t(has)")
 def eval_manifest_coalesce(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    """Each document twice: with its text and an id of its own, and without either."""
+    d = table(spark, sf_dir, "documents").withColumn("has", F.explode(F.array(F.lit(True), F.lit(False))))
     flat = F.regexp_replace("text", r"\s", "_")
-    raw = d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".wav")).alias("file"), F.when(F.col("doc_id") % 3 == 0, flat).otherwise(F.lit(" ")).alias("transcript"), F.col("lang").alias("ground_truth"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("u"), F.col("doc_id").cast("string"))).alias("utt_id"))
+    raw = d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".wav")).alias("file"), F.when(F.col("has"), flat).otherwise(F.lit(" ")).alias("transcript"), F.col("lang").alias("ground_truth"), F.when(F.col("has"), F.concat(F.lit("u"), F.col("doc_id").cast("string"))).alias("utt_id"))
     return models.eval_manifest(raw, "audio")
 
 
