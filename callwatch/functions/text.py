@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +31,14 @@ def nz(x: Column) -> Column:
     return F.nullif(trim_ws(x), F.lit(""))
 
 
+def constant(value: Any, kind: str) -> Column:
+    """A table of fixed values, of the type ``kind``, as one literal: Spark folds
+    the expression, and a plan isn't built word by word."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def words_of(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    return constant(list(words), "array<string>")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -96,12 +104,23 @@ def correct_lexicon(x: Column, rules: list[tuple[str, list[str]]]) -> Column:
     return F.aggregate(pairs, F.struct(text_or_empty(x).alias("text"), empty.alias("hits")), step)
 
 
+#: Words with their lower-cased forms, as literals.
+KEYWORDS = "array<struct<word:string,low:string>>"
+
+
+def keywords(words: list[str]) -> list[dict[str, str]]:
+    return [{"word": w, "low": w.lower()} for w in words]
+
+
+def found_in(x: Column, table: Column) -> Column:
+    """The words of a table of the type ``KEYWORDS`` whose lower-cased forms are
+    contained in x, in the table's order."""
+    return F.transform(F.filter(table, lambda k: F.contains(x, k["low"])), lambda k: k["word"])
+
+
 def keywords_in(x: Column, words: list[str]) -> Column:
-    """The words contained in x, in the list's order. Most texts hold none of
-    them, which one pattern tells before each word is looked for."""
-    each = F.array_compact(F.array(*[F.when(F.contains(x, F.lit(w.lower())), F.lit(w)) for w in words]))
-    any_ = "|".join(rf"\Q{w.lower()}\E" for w in words)
-    return F.when(x.rlike(any_), each).otherwise(F.array().cast("array<string>")) if words else each
+    """The words contained in x, which is in lower case, in the list's order."""
+    return found_in(x, constant(keywords(words), KEYWORDS))
 
 
 def extract_keywords(x: Column, words: list[str]) -> Column:
@@ -196,7 +215,7 @@ def text_health(x: Column) -> Column:
 
 
 def synonym(x: Column, table: dict[str, str], default: str) -> Column:
-    pairs = F.create_map(*[F.lit(v) for pair in table.items() for v in pair])
+    pairs = constant(table, "map<string,string>")
     return F.coalesce(F.element_at(pairs, F.lower(trim_ws(x))), F.lit(default))
 
 

@@ -12,11 +12,11 @@ from callwatch.runtime import dealt
 
 def _group_hits(lowered: Column, groups: list[dict]) -> Column:
     """Structs of each group's attributes and hits, for the groups hit, in order."""
-    each = []
-    for g in groups:
-        fields = [F.lit(g[k]).alias(k) for k in ("level", "event_type", "suggestion", "broadcast_text", "action_type", "review", "auto")]
-        each.append(F.struct(*fields, T.keywords_in(lowered, g["keywords"]).alias("hits")))
-    return F.filter(F.array(*each), lambda g: F.size(g["hits"]) > 0)
+    fields = ("level", "event_type", "suggestion", "broadcast_text", "action_type", "review", "auto")
+    kind = ",".join(f"{k}:{'boolean' if k in ('review', 'auto') else 'string'}" for k in fields)
+    table = T.constant([{**{k: g[k] for k in fields}, "keywords": T.keywords(g["keywords"])} for g in groups], f"array<struct<{kind},keywords:{T.KEYWORDS}>>")
+    each = F.transform(table, lambda g: F.struct(*[g[k].alias(k) for k in fields], T.found_in(lowered, g["keywords"]).alias("hits")))
+    return F.filter(each, lambda g: F.size(g["hits"]) > 0)
 
 
 def call_level(x: Column, groups: list[dict] = L.ROUTING) -> Column:
@@ -80,7 +80,8 @@ def classify_role(x: Column) -> Column:
 def match_scenario(clean: Column, scenarios: dict[str, list[str]]) -> Column:
     """(scenario, hits) with most hits in a normalised text; the first of several,
     or 'unknown' without any."""
-    each = F.array(*[F.struct(F.lit(name).alias("scenario"), T.keywords_in(clean, words).alias("hits")) for name, words in scenarios.items()])
+    table = T.constant([{"scenario": name, "keywords": T.keywords(words)} for name, words in scenarios.items()], f"array<struct<scenario:string,keywords:{T.KEYWORDS}>>")
+    each = F.transform(table, lambda s: F.struct(s["scenario"].alias("scenario"), T.found_in(clean, s["keywords"]).alias("hits")))
     none = F.struct(F.lit("unknown").alias("scenario"), F.array().cast("array<string>").alias("hits"))
     return F.aggregate(each, none, lambda best, one: F.when(F.size(one["hits"]) > F.size(best["hits"]), one).otherwise(best))
 

@@ -9,7 +9,7 @@ from callwatch.functions import text as T
 from callwatch.operators import learning, models, routing, sessions
 from callwatch.plans import views
 from callwatch.plans.sql import EVENTS, ROLES, WEAK, first_text, hits, joined, listed, norm, quoted, synonym, with_views
-from callwatch.runtime import table
+from callwatch.runtime import dealt, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -173,7 +173,8 @@ _M = with_views("calls", "analysis_llm", "analysis_audio", extra=_FUSE)
 
 
 def _analyses(spark, sf_dir):
-    return [models.normalize_analysis(views.raw_analysis(spark, sf_dir, k)) for k in ("llm", "audio")]
+    # as their cleaning costs more than a shuffle, rows of the one file are dealt over all cores
+    return [models.normalize_analysis(dealt(views.raw_analysis(spark, sf_dir, k), "segment_id")) for k in ("llm", "audio")]
 
 
 def _manifest(spark, sf_dir):

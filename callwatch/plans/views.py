@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from callwatch.functions import text as T
 from callwatch.runtime import dealt, table
 
 PHRASES = [
@@ -28,7 +29,7 @@ AREAS = [
 
 
 def pick(values: list[str], index):
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return F.element_at(T.words_of(values), (index + 1).cast("int"))
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
