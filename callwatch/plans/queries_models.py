@@ -99,14 +99,14 @@ def model_error_rows(spark, sf_dir):
 
 
 def _long(spark, sf_dir):
-    """Texts of the calls under two models, the second of which says them twice."""
+    """Texts of the calls under two models, the second of which adds the name of the engine."""
     c = views.plain_calls(spark, sf_dir)
-    x = models.model_grid(c, ["m1", "m2"]).withColumn("asr_text", F.when(F.col("asr_model_name") == "m1", F.col("text")).otherwise(F.concat("text", "text")))
+    x = models.model_grid(c, ["m1", "m2"]).withColumn("asr_text", F.when(F.col("asr_model_name") == "m1", F.col("text")).otherwise(F.concat("text", "engine")))
     rows = x.select("segment_id", "clip_path", "asr_model_name", F.lit("p").alias("asr_provider"), "asr_text", F.col("confidence").alias("asr_confidence"), F.lit("").alias("asr_error"), F.col("event_id").alias("ord"))
     return models.guard_columns(rows)
 
 
-LG = with_views("calls", extra="long_ as (select segment_id, clip_path, m asr_model_name, 'p' asr_provider, case m when 'm1' then text else concat(text, text) end asr_text, confidence asr_confidence, event_id from calls, (values ('m1'), ('m2')) t(m)), long as (select *, case when regexp_matches(asr_text, '[\\x{3040}-\\x{30ff}]') then 'japanese_kana' else '' end notes from long_), sc as (select asr_model_name, asr_provider, count(*) samples, count(*) filter (where notes <> '') language_guard_hits, count(*) filter (where trim(asr_text) = '') empty_text_hits, count(*) filter (where length(trim(asr_text)) between 1 and 7) short_text_hits from long group by 1, 2), scored as (select *, greatest(0, samples - 3.0 * language_guard_hits - 2.0 * empty_text_hits - short_text_hits)::double score from sc)")
+LG = with_views("calls", extra="long_ as (select segment_id, clip_path, m asr_model_name, 'p' asr_provider, case m when 'm1' then text else concat(text, engine) end asr_text, confidence asr_confidence, event_id from calls, (values ('m1'), ('m2')) t(m)), long as (select *, case when regexp_matches(asr_text, '[\\x{3040}-\\x{30ff}]') then 'japanese_kana' else '' end notes from long_), sc as (select asr_model_name, asr_provider, count(*) samples, count(*) filter (where notes <> '') language_guard_hits, count(*) filter (where trim(asr_text) = '') empty_text_hits, count(*) filter (where length(trim(asr_text)) between 1 and 7) short_text_hits from long group by 1, 2), scored as (select *, greatest(0, samples - 3.0 * language_guard_hits - 2.0 * empty_text_hits - short_text_hits)::double score from sc)")
 
 
 @query(LG + "select *, round(score / samples, 9) as score_per_sample from scored")
