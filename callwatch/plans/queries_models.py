@@ -72,7 +72,8 @@ _SIM = "case when greatest(length(x.np), length(y.np)) = 0 then 1.0 else greates
 def agreement_queue(spark, sf_dir):
     # written first, as a global sort reads its input twice
     rows = written(models.agreement_queue(views.transcripts(spark, sf_dir).withColumnRenamed("doc_id", "id"), views.MODELS))
-    return rows.orderBy("agreement", "id").withColumn("agreement", F.round("agreement", 9))
+    # bands are of the mean itself, the order is of what is shown
+    return rows.withColumn("agreement", F.round("agreement", 9)).orderBy("agreement", "id")
 
 
 EX = with_views("calls", "external", extra="found as (select c.event_id, c.segment_id, c.clip_path, a.segment_id i, b.clip_path p, coalesce(a.asr_text, b.asr_text) t, coalesce(a.asr_confidence, b.asr_confidence) k from calls c left join (select * from external where segment_id is not null) a on a.segment_id = c.segment_id left join (select * from external where clip_path is not null) b on b.clip_path = c.clip_path)")
