@@ -191,9 +191,11 @@ def feed_of_calls(calls: DataFrame, events: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def ordered_feed(messages: DataFrame) -> DataFrame:
+def ordered_feed(messages: DataFrame, order: tuple[str, ...] = ("ts", "seq", "place", "payload")) -> DataFrame:
     """(channel_id, number, type, payload) of messages (channel_id, ts, seq, place,
-    type, payload): numbered in each channel from 1 by time, seq, place and
-    payload. A channel of any length is numbered over several tasks."""
-    plain = messages.select("channel_id", F.col("ts").alias("__at"), F.col("seq").alias("__seq"), F.col("place").alias("__place"), "type", "payload")
-    return numbered(plain, ["__at", "__seq", "__place", "payload"], "number", "channel_id").select("channel_id", "number", "type", "payload")
+    type, payload): numbered in each channel from 1, by time, seq, place and
+    payload if no other ``order`` is given. A channel of any length is numbered
+    over several tasks."""
+    keys = {c: f"__by_{i}" for i, c in enumerate(order)}
+    plain = messages.select("channel_id", *[F.col(c).alias(k) for c, k in keys.items()], "type", "payload")
+    return numbered(plain, list(keys.values()), "number", "channel_id").select("channel_id", "number", "type", "payload")
