@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from callwatch.functions import automaton
 from callwatch.functions import lexicons as L
+from callwatch.functions.distance import distances
 
 #: White space in the Unicode sense, for Java.
 _SPACES = r"(?U)\s+"
@@ -161,26 +162,21 @@ def clamp_confidence(confidence: Column, score: Column, default: float = 0.85) -
     return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(confidence, score))), F.lit(default))
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.when(a == b, F.lit(0)).otherwise(F.levenshtein(a, b))
-
-
 def edit_distance(a: Column, b: Column) -> Column:
-    return _distance(text_or_empty(a), text_or_empty(b))
+    return distances(text_or_empty(a), text_or_empty(b))["distance"]
 
 
 def cer(reference: Column, hypothesis: Column) -> Column:
     """Character error rate; may exceed 1. An empty reference has 0 against an
     empty hypothesis and else 1."""
-    return let(F.struct(norm_cer(reference).alias("r"), norm_cer(hypothesis).alias("h")), lambda x: F.when(x["r"] == "", F.when(x["h"] == "", F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(_distance(x["r"], x["h"]) / F.length(x["r"])))
+    x = distances(norm_cer(reference), norm_cer(hypothesis))
+    return F.when(x["a"] == 0, F.when(x["b"] == 0, F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(x["distance"] / x["a"])
 
 
 def similarity(a: Column, b: Column) -> Column:
-    def of(x: Column) -> Column:
-        longest = F.greatest(F.length(x["a"]), F.length(x["b"]))
-        return F.when(longest == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - _distance(x["a"], x["b"]) / longest))
-
-    return let(F.struct(norm_agree(a).alias("a"), norm_agree(b).alias("b")), of)
+    x = distances(norm_agree(a), norm_agree(b))
+    longest = F.greatest(x["a"], x["b"])
+    return F.when(longest == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - x["distance"] / longest))
 
 
 def accuracy(error_rate: Column) -> Column:
